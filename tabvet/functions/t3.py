@@ -14,7 +14,6 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-NA = F.lit(None).cast("boolean")
 
 
 def na() -> Column:
