@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabvet.functions.normal import phi
-from tabvet.operators.ranks import DEFAULT_BUCKETS, cumulative, sorted_gaps, value_counts
+from tabvet.operators.ranks import DEFAULT_BUCKETS, cumulative, sorted_gaps, value_counts, with_const_array
 
 _FLOATS = (T.FloatType, T.DoubleType)
 
@@ -119,32 +119,53 @@ def categorical_stats(counts: DataFrame) -> DataFrame:
 
 # Quantiles --------------------------------------------------------------
 
+def _leading_count(arr: Column, pred) -> Column:
+    """Number of leading elements of ``arr`` for which the monotone
+    predicate holds (true ... true false ... false): binary search in 14
+    steps (arrays up to 16384 elements)."""
+    def step(acc, _i):
+        mid = ((acc["lo"] + acc["hi"]) / 2).cast("int")
+        ok = pred(F.try_element_at(arr, mid + 1))
+        return F.when(acc["lo"] < acc["hi"],
+                      F.when(ok, F.struct((mid + 1).alias("lo"), acc["hi"].alias("hi")))
+                      .otherwise(F.struct(acc["lo"].alias("lo"), mid.alias("hi")))).otherwise(acc)
+    init = F.struct(F.lit(0).alias("lo"), F.size(arr).alias("hi"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(14)), init, step, lambda acc: acc["lo"])
+
+
 def quantiles(df: DataFrame, group_cols: list[str], value_col: str, probs: list[float],
               n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
     """Exact linear-interpolation quantiles (pandas/NumPy default) per
-    group, distributed: each distinct value knows its position range from
-    the PS kernel and emits only the target positions it covers.
+    group, distributed: each distinct value knows its position range
+    [a, b] from the PS kernel; the targets it serves (lo_i = floor((n-1)p_i)
+    or hi_i = ceil((n-1)p_i) inside [a, b]) form one contiguous index range
+    found by two binary searches over the sorted probabilities, so a value
+    emits only its hits, whatever the number of probabilities.
 
     Output: (group..., p, q).
     """
+    probs = sorted(float(p) for p in probs)
     vc = value_counts(df, group_cols, value_col)
     c = cumulative(vc, group_cols, value_col, "cnt", n_buckets)
-    n = F.col("tot_cnt")
-    targets = F.array(*[F.lit(float(p)) for p in probs])
-    # positions (0-based) covered by this value: [cum - cnt, cum - 1]
-    lo_pos, hi_pos = F.col("cum_cnt") - F.col("cnt"), F.col("cum_cnt") - 1
-    hits = F.filter(
-        F.transform(targets, lambda p: F.struct(
-            p.alias("p"),
-            F.floor((n - 1) * p).alias("i_lo"),
-            F.ceil((n - 1) * p).alias("i_hi"),
-            ((n - 1) * p - F.floor((n - 1) * p)).alias("frac"))),
-        lambda s: ((s["i_lo"] >= lo_pos) & (s["i_lo"] <= hi_pos)) | ((s["i_hi"] >= lo_pos) & (s["i_hi"] <= hi_pos)))
-    e = c.select(*group_cols, F.col(value_col).cast("double").alias("x"), lo_pos.alias("a"), hi_pos.alias("b"),
-                 F.explode(hits).alias("t"))
-    e = e.select(*group_cols, "x", "t.p", "t.frac",
-                 F.when((F.col("t.i_lo") >= F.col("a")) & (F.col("t.i_lo") <= F.col("b")), F.col("x")).alias("x_lo"),
-                 F.when((F.col("t.i_hi") >= F.col("a")) & (F.col("t.i_hi") <= F.col("b")), F.col("x")).alias("x_hi"))
+    # the probability array is attached once as a column (one-row broadcast)
+    c = with_const_array(c, "_parr", probs)
+    parr = F.col("_parr")
+    nm1 = (F.col("tot_cnt") - 1).cast("double")
+    a, b = F.col("cum_cnt") - F.col("cnt"), F.col("cum_cnt") - 1
+    c = c.withColumn("_i1", _leading_count(parr, lambda p: F.ceil(nm1 * p) < a)) \
+        .withColumn("_i2", _leading_count(parr, lambda p: F.floor(nm1 * p) <= b) - 1)
+    hit = c.select(*group_cols, F.col(value_col).cast("double").alias("x"), a.alias("a"), b.alias("b"),
+                   nm1.alias("nm1"), "_parr",
+                   # sequence(a, b) counts down when a > b: no hits must be an empty array
+                   F.explode(F.when(F.col("_i1") <= F.col("_i2"), F.sequence(F.col("_i1"), F.col("_i2")))
+                             .otherwise(F.array().cast("array<int>"))).alias("i"))
+    parr = F.col("_parr")
+    p = F.element_at(parr, F.col("i") + 1)
+    pos = F.col("nm1") * p
+    ilo, ihi = F.floor(pos), F.ceil(pos)
+    e = hit.select(*group_cols, p.alias("p"), (pos - ilo).alias("frac"),
+                   F.when((ilo >= F.col("a")) & (ilo <= F.col("b")), F.col("x")).alias("x_lo"),
+                   F.when((ihi >= F.col("a")) & (ihi <= F.col("b")), F.col("x")).alias("x_hi"))
     g = e.groupBy(*group_cols, "p").agg(F.max("x_lo").alias("x_lo"), F.max("x_hi").alias("x_hi"),
                                          F.first("frac").alias("frac"))
     return g.select(*group_cols, "p", (F.col("x_lo") + F.col("frac") * (F.col("x_hi") - F.col("x_lo"))).alias("q"))

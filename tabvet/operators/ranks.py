@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DEFAULT_BUCKETS = 256
 
@@ -23,12 +24,28 @@ def _bucket_expr(bounds: str, v: str) -> F.Column:
     return F.expr(
         f"aggregate(sequence(1, 13), named_struct('lo', 0, 'hi', size({bounds})), "
         f"(acc, i) -> IF(acc.lo < acc.hi, "
-        f"  IF(element_at({bounds}, CAST((acc.lo + acc.hi) div 2 AS INT) + 1) < {v}, "
+        f"  IF(try_element_at({bounds}, CAST((acc.lo + acc.hi) div 2 AS INT) + 1) < {v}, "
         f"     named_struct('lo', CAST((acc.lo + acc.hi) div 2 AS INT) + 1, 'hi', acc.hi), "
         f"     named_struct('lo', acc.lo, 'hi', CAST((acc.lo + acc.hi) div 2 AS INT))), acc), "
         f"acc -> acc.lo)")
 
 
+def order_key(df: DataFrame, value_col: str) -> F.Column:
+    """A double that is monotone (non-decreasing) in the value's sort
+    order: numbers as themselves; text as its first 6 UTF-8 bytes read as a
+    48-bit integer (Spark compares strings bytewise), so range buckets cut
+    on this key never split equal values and keep global order."""
+    dt = df.schema[value_col].dataType
+    c = F.col(f"`{value_col}`")
+    if isinstance(dt, (T.StringType, T.BinaryType)):
+        b = F.encode(c, "UTF-8") if isinstance(dt, T.StringType) else c
+        hx = F.rpad(F.hex(F.substring(b, 1, 6)), 12, "0")
+        return F.conv(hx, 16, 10).cast("double")
+    if isinstance(dt, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(c.cast("timestamp")).cast("double")
+    return c.cast("double")
+
+
 def value_counts(df: DataFrame, group_cols: list[str], value_col: str) -> DataFrame:
     """(group..., value, cnt) with NULL values dropped (map-side combined)."""
     return (df.filter(F.col(value_col).isNotNull())
@@ -47,12 +64,12 @@ def cumulative(counts: DataFrame, group_cols: list[str], value_col: str,
     if not g:
         counts, g = counts.withColumn("_all", F.lit(0)), ["_all"]
     probs = [i / n_buckets for i in range(1, n_buckets)]
-    bounds = (counts.groupBy(*g)
-              .agg(F.array_distinct(F.percentile_approx(F.col(value_col).cast("double"), probs, 10000))
-                   .alias("_bounds")))
+    keyed = counts.withColumn("_okey", order_key(counts, value_col))
+    bounds = (keyed.groupBy(*g)
+              .agg(F.array_distinct(F.percentile_approx("_okey", probs, 10000)).alias("_bounds")))
     # one row per group: bounded by the number of groups (columns) -> broadcast
-    b = counts.join(F.broadcast(bounds), g)
-    b = b.withColumn("_bucket", _bucket_expr("_bounds", f"CAST(`{value_col}` AS DOUBLE)")).drop("_bounds")
+    b = keyed.join(F.broadcast(bounds), g)
+    b = b.withColumn("_bucket", _bucket_expr("_bounds", "_okey")).drop("_bounds", "_okey")
     totals = b.groupBy(*g, "_bucket").agg(*[F.sum(c).alias(f"_bt_{c}") for c in count_cols])
     wo = Window.partitionBy(*g).orderBy("_bucket")
     wg = Window.partitionBy(*g)
@@ -102,3 +119,12 @@ def sorted_gaps(df: DataFrame, group_cols: list[str], value_col: str,
         .filter(F.col("next_x").isNotNull())
     both = inner.unionByName(cross).withColumn("gap", F.col("next_x") - F.col("x"))
     return both.drop("_all") if "_all" in both.columns else both
+
+
+def with_const_array(df: DataFrame, name: str, values: list[float]) -> DataFrame:
+    """Attach a fitted (bounded) array as column ``name`` through a one-row
+    broadcast equi-join, so per-row expressions reference it instead of
+    rebuilding a large literal array for every evaluation."""
+    spark = df.sparkSession
+    one = spark.createDataFrame([(0, [float(v) for v in values])], f"_ck int, {name} array<double>")
+    return df.withColumn("_ck", F.lit(0)).join(F.broadcast(one), "_ck").drop("_ck")
