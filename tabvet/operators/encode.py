@@ -638,3 +638,137 @@ def layout(schema: DataFrame) -> DataFrame:
     end = F.sum("output_dim").over(w)
     return schema.select("feature", "position", "output_dim", (end - F.col("output_dim")).alias("start"),
                          end.alias("end"))
+
+
+# ---------------------------------------------------------------------------
+# Fit / transform / inverse of a whole table by routed type
+# ---------------------------------------------------------------------------
+
+class TableEncoder:
+    """Encode every column by its inferred schema (C4): continuous -> median
+    imputation + robust scaling; categorical -> one-hot below 25 values,
+    else label codes; datetime -> z-scored calendar components.  ``fit``
+    runs the encoders' aggregations; ``transform`` is one projection plus
+    the (size-checked) label-dictionary joins; the output column order
+    follows the schema, not completion order."""
+
+    def __init__(self, schema_rows: list[tuple[str, str, str | None]]):
+        self.schema = list(schema_rows)
+        self.cont: ContinuousEncoder | None = None
+        self.onehot: OneHotEncoder | None = None
+        self.labels: dict[str, LabelEncoder] = {}
+        self.dates: dict[str, DatetimeEncoder] = {}
+
+    @classmethod
+    def infer(cls, df: DataFrame, cols: list[str]) -> "TableEncoder":
+        from tabvet.operators.typing import feature_schema
+        rows = {r["feature"]: (r["feature_type"], r["encoding"]) for r in feature_schema(df, cols).collect()}
+        return cls([(c, rows[c][0], rows[c][1]) for c in cols])
+
+    def fit(self, df: DataFrame) -> "TableEncoder":
+        cont = [c for c, t, _ in self.schema if t == "continuous"]
+        oh = [c for c, t, e in self.schema if t == "categorical" and e == "onehot"]
+        if cont:
+            self.cont = ContinuousEncoder(cont, "robust").fit(df)
+        if oh:
+            self.onehot = OneHotEncoder(oh).fit(df)
+        for c, t, e in self.schema:
+            if t == "categorical" and e != "onehot":
+                self.labels[c] = LabelEncoder(c).fit(df)
+            elif t == "datetime":
+                self.dates[c] = DatetimeEncoder(c).fit(df)
+        return self
+
+    def transform(self, df: DataFrame, keep: list[str] | None = None) -> DataFrame:
+        keep = keep or []
+        cont = self.cont.transform_columns(df) if self.cont else {}
+        oh = self.onehot.transform_columns(df) if self.onehot else {}
+        out = [F.col(k) for k in keep]
+        for c, t, e in self.schema:
+            if t == "continuous":
+                out.append(cont[c].alias(c))
+            elif t == "categorical" and e == "onehot":
+                out += [v.alias(n) for n, v in oh.items() if n.startswith(f"{c}_")
+                        and n[len(c) + 1:].isdigit()]
+            elif t == "datetime":
+                out += [v.alias(n) for n, v in self.dates[c].transform_columns(df).items()]
+            else:
+                out.append(_c(c))
+        res = df.select(*out)
+        for c, le in self.labels.items():
+            res = le.transform(res)
+        return res
+
+
+# ---------------------------------------------------------------------------
+# The preparation pipeline routed by semantic type
+# ---------------------------------------------------------------------------
+
+def prepare(df: DataFrame, cols: list[str], key: str, target: str | None = None, hash_components: int = 32,
+            id_hash_max: int = 10_000, categorical_max: int = 50, high_cardinality: int = 100,
+            tol: float = 1e-10) -> tuple[DataFrame, DataFrame]:
+    """Semantic type (C3) per column, then: INVARIANT dropped; IDENTIFIER
+    hashed (fewer than 10 000 values) or dropped; TEMPORAL -> 8 cyclical
+    columns; BINARY -> 0/1; CATEGORICAL -> target encoding above 100
+    values with a target (hashing without), frequency/target encoding above
+    50, dummies below; CONTINUOUS -> non-finite imputation and the variance
+    guard.  Finally NULL / ±inf -> 0.  Returns (prepared table, report with
+    one row per input column: semantic type, cardinality, transformation,
+    output dimensions, warning)."""
+    from tabvet.operators.typing import column_facts, semantic_types
+    st = {r["feature"]: r["semantic_type"] for r in semantic_types(df, cols).collect()}
+    facts = {r["feature"]: r for r in column_facts(df, cols).collect()}
+    out_cols: list = [F.col(key)]
+    report = []
+    frame = df
+    joins = []
+    for c in cols:
+        t = st[c]
+        card = facts[c]["unique_count"] or 0
+        if t == "INVARIANT":
+            report.append((c, t, card, "dropped", 0, f"Dropped invariant column: {c}"))
+        elif t == "IDENTIFIER":
+            if card < id_hash_max:
+                h = feature_hashing(df, c, hash_components)
+                out_cols += [v.alias(n) for n, v in h.items()]
+                report.append((c, t, card, "feature_hashing", hash_components, None))
+            else:
+                report.append((c, t, card, "dropped", 0, f"Dropped high-cardinality ID: {c}"))
+        elif t == "TEMPORAL":
+            cyc = cyclical_time(frame.select(key, c), c, prefix=f"{c}_")
+            joins.append(cyc.drop(c))
+            report.append((c, t, card, "cyclical_encoding", 8, None))
+        elif t == "BINARY":
+            out_cols.append(binary_encoding(df, c).alias(c))
+            report.append((c, t, card, "binary_encoding", 1, None))
+        elif t == "CATEGORICAL":
+            if card > high_cardinality and target is None:
+                h = feature_hashing(df, c, hash_components)
+                out_cols += [v.alias(n) for n, v in h.items()]
+                report.append((c, t, card, "feature_hashing", hash_components, None))
+            elif card > categorical_max:
+                enc = target_encoding(frame.select(key, c, target), c, target) if target else \
+                    frequency_encoding(frame.select(key, c), c, f"{c}_target_enc")
+                joins.append(enc.select(key, f"{c}_target_enc"))
+                report.append((c, t, card, "target_encoding", 1, None))
+            else:
+                d = dummies(df, c)
+                out_cols += [v.alias(n) for n, v in d.items()]
+                report.append((c, t, card, "one_hot_encoding", len(d), None))
+        else:  # CONTINUOUS
+            out_cols.append(_c(c).cast("double").alias(c))
+            report.append((c, t, card, "continuous", 1, None))
+    prepared = df.select(*out_cols)
+    for j in joins:
+        prepared = prepared.join(j, key)
+    cont = [r[0] for r in report if r[3] == "continuous"]
+    if cont:
+        prepared = variance_guard(impute_nonfinite(prepared, cont), cont, key, tol)
+    final = [F.col(key)] + [F.when(F.isnan(F.col(f"`{c}`").cast("double")) | F.col(f"`{c}`").isNull()
+                                   | F.col(f"`{c}`").cast("double").isin(float("inf"), float("-inf")), F.lit(0.0))
+                            .otherwise(F.col(f"`{c}`").cast("double")).alias(c)
+                            for c in prepared.columns if c != key]
+    spark = df.sparkSession
+    rep = spark.createDataFrame(report, "feature string, semantic_type string, cardinality long, "
+                                        "transformation string, output_dimensions int, warning string")
+    return prepared.select(*final), rep

@@ -39,7 +39,7 @@ def load_all() -> dict[str, Query]:
     # import for registration side effects
     import tabvet.plans.q_rules  # noqa: F401
     import tabvet.plans.flagship  # noqa: F401
-    for mod in ("q_rules2", "q_profile", "q_typing", "q_encode", "q_fidelity", "q_temporal",
+    for mod in ("q_rules2", "q_profile", "q_typing", "q_encode", "q_pipeline", "q_fidelity", "q_temporal",
                 "q_heal", "q_privacy", "q_generate", "q_metriclog", "q_sources"):
         try:
             __import__(f"tabvet.plans.{mod}")
