@@ -40,7 +40,7 @@ def load_all() -> dict[str, Query]:
     import tabvet.plans.q_rules  # noqa: F401
     import tabvet.plans.flagship  # noqa: F401
     for mod in ("q_rules2", "q_profile", "q_typing", "q_encode", "q_pipeline", "q_fidelity", "q_temporal",
-                "q_heal", "q_privacy", "q_generate", "q_metriclog", "q_sources"):
+                "q_heal", "q_privacy", "q_generate", "q_metriclog", "q_sources", "q_streaming"):
         try:
             __import__(f"tabvet.plans.{mod}")
         except ModuleNotFoundError as exc:
