@@ -340,3 +340,47 @@ def b15_multimodality(spark, sf):
     e = table(spark, sf, "events").select("value")
     li = _li(spark, sf).select("l_quantity", "l_discount")
     return P.multimodality(e, ["value"]).unionByName(P.multimodality(li, ["l_quantity", "l_discount"]))
+
+
+def _pl_sql(tab, col):
+    return f"""
+WITH fr AS (SELECT {col}, count(*) AS x FROM {tab} WHERE {col} IS NOT NULL GROUP BY {col}),
+cc AS (SELECT x, count(*) AS m FROM fr GROUP BY x),
+c AS (SELECT x, m, sum(m) OVER (ORDER BY x) AS cum_m, sum(m) OVER () AS tot_m,
+        sum(m * ln(x)) OVER (ORDER BY x) AS cum_l, sum(m * ln(x)) OVER () AS tot_l FROM cc),
+t AS (SELECT x, m, cum_m, tot_m, tot_m - cum_m + m AS n_tail, tot_l - cum_l + m * ln(x) AS sum_ln FROM c),
+cand AS (SELECT x AS x_min, n_tail, tot_m, cum_m - m AS before, sum_ln - n_tail * ln(x) AS s
+         FROM (SELECT * FROM t ORDER BY x DESC LIMIT 1000) WHERE n_tail >= 100 AND n_tail / tot_m >= 0.05),
+ca AS (SELECT *, 1 + n_tail / s AS alpha FROM cand WHERE s > 0),
+ks AS (SELECT x_min, alpha, n_tail, max(abs((cu - before) / n_tail - (1 - power(u / x_min, 1 - alpha)))) AS ks
+       FROM (SELECT x AS u, cum_m AS cu FROM c) JOIN ca ON u >= x_min GROUP BY x_min, alpha, n_tail),
+best AS (SELECT arg_min(x_min, (ks, x_min)) AS x_min, arg_min(alpha, (ks, x_min)) AS alpha,
+           arg_min(n_tail, (ks, x_min)) AS n_tail, min(ks) AS ks FROM ks),
+sup AS (SELECT sum(m) AS support_size FROM cc)
+SELECT '{col}' AS feature, CAST(support_size AS BIGINT) AS support_size, CAST(x_min AS BIGINT) AS x_min, round(alpha, 6) AS alpha,
+  round(ks, 6) AS ks, CAST(n_tail AS BIGINT) AS n_tail, round(n_tail / support_size, 6) AS tail_fraction,
+  coalesce(support_size >= 50 AND x_min IS NOT NULL AND alpha BETWEEN 1.2 AND 5.0 AND ks <= 0.2, false) AS is_power_law
+FROM sup, best"""
+
+
+def _pl_round(df):
+    return df.select("feature", F.col("support_size").cast("bigint"), F.col("x_min").cast("bigint"),
+                     r6("alpha").alias("alpha"), r6("ks").alias("ks"), F.col("n_tail").cast("bigint"),
+                     r6("tail_fraction").alias("tail_fraction"), "is_power_law")
+
+
+@query("b20_power_law_partkey", _pl_sql("lineitem", "l_partkey"))
+def b20_power_law_partkey(spark, sf):
+    return _pl_round(P.power_law_fit(_li(spark, sf), "l_partkey"))
+
+
+@query("b20_power_law_words", _pl_sql("(SELECT unnest(string_split(text, ' ')) AS word FROM documents)", "word"))
+def b20_power_law_words(spark, sf):
+    words = table(spark, sf, "documents").select(F.explode(F.split("text", " ")).alias("word"))
+    return _pl_round(P.power_law_fit(words, "word"))
+
+
+@query("b21_power_law_bootstrap")
+def b21_power_law_bootstrap(spark, sf):
+    fit = P.power_law_fit(_li(spark, sf), "l_partkey")
+    return P.power_law_bootstrap(fit, runs=200).select(r6("p_value").alias("p_value"), "runs")
