@@ -84,23 +84,9 @@ def category_coverage(real: DataFrame, synth: DataFrame, cols: list[str]) -> Dat
 
 def _ecdfs(real: DataFrame, synth: DataFrame, cols: list[str], with_next: bool = False) -> DataFrame:
     sc = side_counts(tagged_long(real, synth, cols))
-    c = cumulative(sc, ["feature"], "v", ["c_real", "c_synth"])
-    c = c.withColumn("F", F.col("cum_c_real") / F.col("tot_c_real")) \
+    c = cumulative(sc, ["feature"], "v", ["c_real", "c_synth"], with_next=with_next)
+    return c.withColumn("F", F.col("cum_c_real") / F.col("tot_c_real")) \
         .withColumn("G", F.col("cum_c_synth") / F.col("tot_c_synth"))
-    if with_next:
-        c = _attach_next(c)
-    return c
-
-
-def _attach_next(c: DataFrame) -> DataFrame:
-    """Next larger distinct value per feature without a per-feature window:
-    each row's successor comes from the same frame via the cumulative
-    position (positions of distinct values are consecutive)."""
-    # rank of the distinct value = count of distinct values <= v
-    d = c.select("feature", "v").withColumn("one", F.lit(1))
-    r = cumulative(d, ["feature"], "v", "one").select("feature", "v", F.col("cum_one").alias("_pos"))
-    nxt = r.select("feature", (F.col("_pos") - 1).alias("_pos"), F.col("v").alias("next_v"))
-    return c.join(r, ["feature", "v"]).join(nxt, ["feature", "_pos"], "left").drop("_pos")
 
 
 def ks_two_sample(real: DataFrame, synth: DataFrame, cols: list[str]) -> DataFrame:

@@ -54,7 +54,7 @@ def value_counts(df: DataFrame, group_cols: list[str], value_col: str) -> DataFr
 
 def cumulative(counts: DataFrame, group_cols: list[str], value_col: str,
                count_cols: list[str] | str = "cnt",
-               n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+               n_buckets: int = DEFAULT_BUCKETS, with_next: bool = False) -> DataFrame:
     """Add ``cum_<c>`` = inclusive running sum of each count column in
     ascending ``value_col`` order within each group, plus ``tot_<c>``
     (group total)."""
@@ -80,10 +80,20 @@ def cumulative(counts: DataFrame, group_cols: list[str], value_col: str,
         *[F.sum(f"_bt_{c}").over(wg).alias(f"tot_{c}") for c in count_cols])
     j = b.join(F.broadcast(offsets), g + ["_bucket"])
     wv = Window.partitionBy(*g, "_bucket").orderBy(value_col).rowsBetween(Window.unboundedPreceding, 0)
+    extra = []
+    if with_next:
+        # successor inside the bucket; the last value of a bucket takes the
+        # first value of the next non-empty bucket (tiny per-bucket table)
+        wl = Window.partitionBy(*g, "_bucket").orderBy(value_col)
+        firsts = b.groupBy(*g, "_bucket").agg(F.min(value_col).alias("_first"))
+        nxt = firsts.select(*g, "_bucket", F.lead("_first").over(Window.partitionBy(*g).orderBy("_bucket"))
+                            .alias("_next_bucket_first"))
+        j = j.join(F.broadcast(nxt), g + ["_bucket"])
+        extra = [F.coalesce(F.lead(value_col).over(wl), F.col("_next_bucket_first")).alias("next_v")]
     return j.select(
         *[c for c in counts.columns if c != "_all"],
         *[(F.sum(c).over(wv) + F.col(f"_off_{c}")).alias(f"cum_{c}") for c in count_cols],
-        *[F.col(f"tot_{c}") for c in count_cols])
+        *[F.col(f"tot_{c}") for c in count_cols], *extra)
 
 
 def average_ranks(df: DataFrame, group_cols: list[str], value_col: str,

@@ -27,13 +27,19 @@ BROADCAST_ROWS = 2_000_000
 # ---------------------------------------------------------------------------
 
 def attach_ranks(df: DataFrame, cols: list[str], broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Add ``_r_<c>``: average rank of each value of ``c`` (ties averaged)."""
+    """Add ``_r_<c>``: average rank of each value of ``c`` (ties averaged).
+    All columns are ranked by one prefix-sum pass over the long form; each
+    rank table is joined back by value, broadcast only under a checked
+    size (one grouped count for all columns)."""
+    long = to_long(df.select(*cols), cols)
+    ranks = average_ranks(long, ["feature"], "v").select("feature", "v", "rank", "n")
+    sizes = {r["feature"]: r["k"] for r in ranks.groupBy("feature").agg(F.count(F.lit(1)).alias("k")).collect()}
     out = df
     for c in cols:
-        r = average_ranks(df, [], c).select(F.col(c).alias(f"_v_{c}"), F.col("rank").alias(f"_r_{c}"))
-        n_distinct = r.count()  # size check before choosing the join strategy
-        side = F.broadcast(r) if n_distinct <= broadcast_rows else r
-        out = out.join(side, out[c] == side[f"_v_{c}"], "left").drop(f"_v_{c}")
+        side = ranks.filter(F.col("feature") == c).select(F.col("v").alias(f"_v_{c}"), F.col("rank").alias(f"_r_{c}"))
+        side = F.broadcast(side) if sizes.get(c, 0) <= broadcast_rows else side
+        out = out.join(side, F.nanvl(out[c].cast("double"), F.lit(None).cast("double")) == side[f"_v_{c}"], "left") \
+            .drop(f"_v_{c}")
     return out
 
 
