@@ -511,8 +511,34 @@ class RuleSet:
             v = {name: v[name]} if name in v else {}
         return t3.mask(list(v.values()))
 
+    def pushdown_conjuncts(self, df: DataFrame) -> list[Column]:
+        """Plain typed predicates implied by simple numeric rules (single
+        BETWEEN / comparison atoms on numeric columns).  They are supersets
+        of the rule (NaN passes them), so they only serve scan pushdown and
+        are always combined with the exact three-valued mask."""
+        schema = {f.name: f.dataType for f in df.schema.fields}
+        out = []
+        for r in self.rules:
+            node = r.tree
+            if node is None or node[0] not in ("between", "cmp") or node[1] not in schema:
+                continue
+            if not isinstance(schema[node[1]], _NUMERIC):
+                continue
+            c = F.col(f"`{node[1]}`")
+            if node[0] == "between":
+                out.append((c >= F.lit(node[2])) & (c <= F.lit(node[3])))
+            elif node[3][0] == "num" and node[2] in (">=", "<=", ">", "<", "=", "=="):
+                out.append(_apply_op(c, node[2], F.lit(node[3][1])))
+        return out
+
     def filter_valid(self, df: DataFrame) -> DataFrame:
-        return df.filter(self.mask(df))
+        """Rows satisfying every rule (N/A counts as satisfied).  Simple
+        numeric rules are also emitted as plain conjuncts so Parquet can
+        skip row groups; the exact mask decides."""
+        cond = self.mask(df)
+        for p in self.pushdown_conjuncts(df):
+            cond = p & cond
+        return df.filter(cond)
 
     # E14
     def totals(self, df: DataFrame) -> DataFrame:
