@@ -202,8 +202,8 @@ def d15_sincos_period(spark, sf):
 def _hash_sql(col: str, n: int) -> str:
     r = f"(CAST(('0x' || right(md5(CAST({col} AS VARCHAR)), 2)) AS INTEGER) % {2 * n})"
     return ",\n".join(
-        f"CASE WHEN {col} IS NOT NULL AND {r} % {n} = {i} THEN CASE WHEN ({r} // {n}) % 2 = 0 THEN 1.0 ELSE -1.0 END "
-        f"ELSE 0.0 END AS {col}_hash_{i}" for i in range(n))
+        f"CAST(CASE WHEN {col} IS NOT NULL AND {r} % {n} = {i} THEN CASE WHEN ({r} // {n}) % 2 = 0 THEN 1.0 ELSE -1.0 END "
+        f"ELSE 0.0 END AS DOUBLE) AS {col}_hash_{i}" for i in range(n))
 
 
 @query("d16_feature_hashing", f"SELECT c_custkey, {_hash_sql('c_name', 32)} FROM customer")
@@ -233,8 +233,8 @@ def d18_frequency_encoding(spark, sf):
 
 
 @query("d19_binary_encoding", """
-SELECT l_orderkey, l_linenumber, CASE WHEN l_linestatus IS NULL OR l_linestatus = (SELECT min(l_linestatus) FROM lineitem)
-  THEN 0.0 ELSE 1.0 END AS l_linestatus FROM lineitem""")
+SELECT l_orderkey, l_linenumber, CAST(CASE WHEN l_linestatus IS NULL OR l_linestatus = (SELECT min(l_linestatus) FROM lineitem)
+  THEN 0.0 ELSE 1.0 END AS DOUBLE) AS l_linestatus FROM lineitem""")
 def d19_binary_encoding(spark, sf):
     li = table(spark, sf, "lineitem")
     return li.select("l_orderkey", "l_linenumber", E.binary_encoding(li, "l_linestatus").alias("l_linestatus"))
@@ -346,8 +346,8 @@ k AS (SELECT 'o_orderstatus' AS feature, count(DISTINCT o_orderstatus) AS k FROM
       SELECT 'o_orderpriority', count(DISTINCT o_orderpriority) FROM orders),
 d AS (SELECT fs.feature, fs.position, CAST(CASE WHEN k.k IS NULL THEN 1 WHEN k.k < 25 THEN greatest(2, k.k) ELSE 1 END AS INTEGER) AS output_dim
       FROM fs LEFT JOIN k USING (feature))
-SELECT feature, position, output_dim, sum(output_dim) OVER (ORDER BY position) - output_dim AS start,
-  sum(output_dim) OVER (ORDER BY position) AS "end" FROM d""")
+SELECT feature, position, output_dim, CAST(sum(output_dim) OVER (ORDER BY position) - output_dim AS BIGINT) AS start,
+  CAST(sum(output_dim) OVER (ORDER BY position) AS BIGINT) AS "end" FROM d""")
 def d32_encoded_layout(spark, sf):
     cols = ["o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]
     fs = TY.feature_schema(table(spark, sf, "orders"), cols)

@@ -71,10 +71,10 @@ def datetime_fixture(spark, sf):
 
 @query("c18_detect_groups", f"""WITH {_OH_SQL},
 v AS (SELECT avg(CAST(status_F + status_O + status_P IN (0, 1) AS DOUBLE)) AS share FROM oh)
-SELECT * FROM (VALUES ('hour_sin', 0, 'cyclic', 24.0, 0), ('hour_cos', 0, 'cyclic', 24.0, 1),
+SELECT "column", group_id, kind, CAST(period AS DOUBLE) AS period, position FROM (VALUES ('hour_sin', 0, 'cyclic', 24.0, 0), ('hour_cos', 0, 'cyclic', 24.0, 1),
   ('month_sin', 1, 'cyclic', 12.0, 0), ('month_cos', 1, 'cyclic', 12.0, 1), ('wk_sin', 2, 'cyclic', 7.0, 0),
   ('wk_cos', 2, 'cyclic', 7.0, 1)) AS t("column", group_id, kind, period, position)
-UNION ALL SELECT c, 3, 'onehot', NULL, p FROM (VALUES ('status_F', 0), ('status_O', 1), ('status_P', 2)) AS u(c, p), v
+UNION ALL SELECT c, 3, 'onehot', CAST(NULL AS DOUBLE), p FROM (VALUES ('status_F', 0), ('status_O', 1), ('status_P', 2)) AS u(c, p), v
   WHERE share >= 0.85""")
 def c18_detect_groups(spark, sf):
     cy = cyclic_fixture(spark, sf).drop("event_id")
