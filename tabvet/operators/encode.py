@@ -68,16 +68,25 @@ class ContinuousEncoder:
     def fit(self, df: DataFrame) -> "ContinuousEncoder":
         clean = df.select(*[_num(df, c).alias(c) for c in self.cols])
         long = to_long(clean, self.cols)
-        med = {r["feature"]: r["q"] for r in quantiles(long, ["feature"], "v", [0.5]).collect()}
-        med = {c: (float(med[c]) if med.get(c) is not None else 0.0) for c in self.cols}
+        nulls = {r["feature"]: r["n"] for r in long.groupBy("feature").agg(
+            F.count_if(F.col("v").isNull()).alias("n")).collect()}
+        probs = [0.05, 0.5, 0.95] if self.scaling == "robust" else [0.5]
+        # one quantile pass gives the median and, for columns without NULLs
+        # (imputation changes nothing), the robust range as well
+        q0: dict = {c: {} for c in self.cols}
+        for r in quantiles(long, ["feature"], "v", probs).collect():
+            q0[r["feature"]][r["p"]] = r["q"]
+        med = {c: (float(q0[c][0.5]) if q0[c].get(0.5) is not None else 0.0) for c in self.cols}
         imputed = clean.select(*[F.coalesce(_c(c), F.lit(med[c])).alias(c) for c in self.cols])
         il = to_long(imputed, self.cols)
         mom = {r["feature"]: r for r in il.groupBy("feature").agg(
             F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"),
             F.min("v").alias("min"), F.max("v").alias("max")).collect()}
-        qs: dict = {c: {} for c in self.cols}
-        if self.scaling == "robust":
-            for r in quantiles(il, ["feature"], "v", [0.05, 0.95]).collect():
+        qs: dict = {c: dict(q0[c]) for c in self.cols}
+        with_nulls = [c for c in self.cols if nulls.get(c, 0) > 0]
+        if self.scaling == "robust" and with_nulls:
+            for r in quantiles(to_long(imputed.select(*with_nulls), with_nulls), ["feature"], "v",
+                               [0.05, 0.95]).collect():
                 qs[r["feature"]][r["p"]] = r["q"]
         for c in self.cols:
             m = mom[c]

@@ -70,10 +70,6 @@ def cumulative(counts: DataFrame, group_cols: list[str], value_col: str,
     # one row per group: bounded by the number of groups (columns) -> broadcast
     b = keyed.join(F.broadcast(bounds), g)
     b = b.withColumn("_bucket", _bucket_expr("_bounds", "_okey")).drop("_bounds", "_okey")
-    # one exchange by (group, bucket): the bucket totals and the final window
-    # both reuse this partitioning (the input is already pre-aggregated, so a
-    # hot value is a single row here)
-    b = b.repartition(*g, "_bucket")
     totals = b.groupBy(*g, "_bucket").agg(*[F.sum(c).alias(f"_bt_{c}") for c in count_cols])
     wo = Window.partitionBy(*g).orderBy("_bucket")
     wg = Window.partitionBy(*g)
