@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabvet.operators.ranks import average_ranks
+from tabvet.session import cut_lineage
 from tabvet.operators import typing as TY
 from tabvet.operators.profile import quantiles, to_long
 
@@ -32,7 +33,10 @@ def attach_ranks(df: DataFrame, cols: list[str], broadcast_rows: int = BROADCAST
     rank table is joined back by value, broadcast only under a checked
     size (one grouped count for all columns)."""
     long = to_long(df.select(*cols), cols)
-    ranks = average_ranks(long, ["feature"], "v").select("feature", "v", "rank", "n")
+    # materialised once (reliable checkpoint in the shared folder): each
+    # column's filter would otherwise be pushed below the window and re-run
+    # the whole prefix-sum pass per column
+    ranks = cut_lineage(average_ranks(long, ["feature"], "v").select("feature", "v", "rank", "n"))
     sizes = {r["feature"]: r["k"] for r in ranks.groupBy("feature").agg(F.count(F.lit(1)).alias("k")).collect()}
     out = df
     for c in cols:
