@@ -120,8 +120,9 @@ def d09_inverse_categorical(spark, sf):
         "o_orderkey", "o_orderpriority", "o_orderstatus", "c_decoded")
 
 
-_DT_SQL = """dt AS (SELECT o_orderkey, year(o_orderdate) AS y, month(o_orderdate) AS mo, day(o_orderdate) AS d,
-  hour(o_orderdate) AS h, isodow(o_orderdate) - 1 AS dow, CAST(isodow(o_orderdate) - 1 >= 5 AS INTEGER) AS we FROM orders)"""
+_DT_SQL = """dt AS (SELECT o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS y, CAST(month(o_orderdate) AS INTEGER) AS mo,
+  CAST(day(o_orderdate) AS INTEGER) AS d, CAST(hour(o_orderdate) AS INTEGER) AS h, CAST(isodow(o_orderdate) - 1 AS INTEGER) AS dow,
+  CAST(isodow(o_orderdate) - 1 >= 5 AS INTEGER) AS we FROM orders)"""
 
 
 @query("d10_datetime_parts", f"""

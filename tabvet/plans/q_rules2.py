@@ -163,8 +163,8 @@ def e20_referential_integrity(spark, sf):
 
 
 @query("e21_version_monotonic", """
-WITH v AS (SELECT event_id, user_id, floor(value) AS record_version,
-  lag(floor(value)) OVER (PARTITION BY user_id ORDER BY event_id) AS previous_version FROM events)
+WITH v AS (SELECT event_id, user_id, CAST(floor(value) AS BIGINT) AS record_version,
+  lag(CAST(floor(value) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY event_id) AS previous_version FROM events)
 SELECT event_id, user_id, record_version, previous_version,
   CASE WHEN previous_version IS NULL THEN true ELSE record_version >= previous_version END AS VALID_version_control FROM v""")
 def e21_version_monotonic(spark, sf):

@@ -98,8 +98,10 @@ def f05_order_check_global(spark, sf):
 
 
 @query("f06_calendar_features", """
-SELECT event_id, year(ts) AS YEAR, month(ts) AS MONTH, day(ts) AS DAY, hour(ts) AS HOUR, isodow(ts) - 1 AS DAY_OF_WEEK,
-  CAST(isodow(ts) - 1 IN (5, 6) AS INTEGER) AS IS_WEEKEND, quarter(ts) AS QUARTER, weekofyear(ts) AS WEEK_OF_YEAR FROM events""")
+SELECT event_id, CAST(year(ts) AS INTEGER) AS YEAR, CAST(month(ts) AS INTEGER) AS MONTH, CAST(day(ts) AS INTEGER) AS DAY,
+  CAST(hour(ts) AS INTEGER) AS HOUR, CAST(isodow(ts) - 1 AS INTEGER) AS DAY_OF_WEEK,
+  CAST(isodow(ts) - 1 IN (5, 6) AS INTEGER) AS IS_WEEKEND, CAST(quarter(ts) AS INTEGER) AS QUARTER,
+  CAST(weekofyear(ts) AS INTEGER) AS WEEK_OF_YEAR FROM events""")
 def f06_calendar_features(spark, sf):
     e = _events(spark, sf).select("event_id", "ts")
     return TP.calendar_features(e, "ts").drop("ts")
