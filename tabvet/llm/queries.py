@@ -16,6 +16,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+def vocabulary(name: str) -> str:
+    """Place of a public tokenizer's file."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
 def _query(fn):
     QUERIES[fn.__name__] = fn
     return fn
@@ -48,3 +54,31 @@ g AS (
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(body) AS text_sha256
 FROM g
 """
+
+
+@_query
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases, labels and restriction of every document."""
+    from tabvet.llm import licenses
+    return licenses.digest(licenses.scan(documents(spark, sf_dir)))
+
+
+@_query
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document."""
+    from tabvet.llm import token_counts
+    return token_counts.token_counts(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
+
+
+@_query
+def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, written to Simple-8b files and read back."""
+    from tabvet.llm import simple8b
+    return simple8b.digest(simple8b.round_trip(documents(spark, sf_dir), vocabulary("word_bpe_49k.json")))
+
+
+@_query
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document cut into power-of-two sequences."""
+    from tabvet.llm import packing
+    return packing.digest(packing.pack(documents(spark, sf_dir), vocabulary("word_bpe_49k.json")))
