@@ -150,11 +150,12 @@ def training_profile(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_
               .select(F.col("doc_id").alias("_id"), (F.col("quality") == 0).alias("_reject")))
     plain = docs.select(docs["doc_id"].alias("_id"), body(docs).alias("_text"))
     stats = (plain.join(F.broadcast(picked), "_id").select("_id", "_reject", text_stats(F.col("_text")).alias("_s")))
+    # stored before the filter, which would otherwise measure all texts below the join
     rows = stored(
-        stats.filter(~base_failed(F.col("_s")))
-        .select(*[feature(F.col("_s"), f).alias(f) for f in FEATURES], F.col("_reject").alias("reject"),
+        stats.select(*[feature(F.col("_s"), f).alias(f) for f in FEATURES], F.col("_reject").alias("reject"),
                 F.when(F.pmod(F.xxhash64(F.lit(seed + 1), F.col("_id")), F.lit(3)) == 0, "prune")
-                .otherwise("grow").alias("part")), "quality-rules")
+                .otherwise("grow").alias("part"), base_failed(F.col("_s")).alias("failed")),
+        "quality-rules").filter("not failed")
     cuts = [0.002, 0.005, 0.01, 0.02, *(k / bins for k in range(1, bins)), 0.98, 0.99, 0.995, 0.998]
     head = rows.agg(*[F.percentile_approx(f, cuts, 10_000).alias(f) for f in FEATURES]).head()
     per_reject = rows.filter("reject").agg(
