@@ -82,3 +82,76 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document cut into power-of-two sequences."""
     from tabvet.llm import packing
     return packing.digest(packing.pack(documents(spark, sf_dir), vocabulary("word_bpe_49k.json")))
+
+
+@_query
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often the target mixture takes each document."""
+    from tabvet.llm import mixing
+    return mixing.choose(documents(spark, sf_dir))
+
+
+ORACLE_SQL["op5_mixing"] = r"""
+WITH u AS (
+  SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS tokens,
+         TRY_CAST(nullif(regexp_extract(coalesce(source, ''), '^src([0-9]{1,4})$', 1), '') AS INT) AS num
+  FROM documents),
+units AS (
+  SELECT doc_id, lang, source, tokens,
+         CASE WHEN num = 0 THEN 'web' WHEN num <= 6 THEN 'forum' WHEN num <= 13 THEN 'news'
+              ELSE 'reference' END AS domain
+  FROM u),
+n3 AS (
+  SELECT domain, lang, source, CAST(sum(tokens) AS HUGEINT) AS tokens, 5 AS w, CAST(2 * sum(tokens) AS HUGEINT) AS cap
+  FROM units GROUP BY ALL),
+n2 AS (
+  SELECT domain, lang, sum(cap) AS cap,
+         CASE lang WHEN 'en' THEN 60 WHEN 'de' THEN 15 WHEN 'fr' THEN 15 WHEN 'es' THEN 10 ELSE 5 END AS w
+  FROM n3 GROUP BY domain, lang),
+n1 AS (
+  SELECT domain, sum(cap) AS cap,
+         CASE domain WHEN 'web' THEN 40 WHEN 'forum' THEN 15 WHEN 'news' THEN 25 WHEN 'reference' THEN 20 END AS w
+  FROM n2 GROUP BY domain),
+p1 AS (
+  SELECT *, row_number() OVER o AS n, sum(cap) OVER o AS upto, sum(w) OVER o AS wupto, sum(w) OVER () AS wall,
+         (SELECT least((SELECT sum(cap) FROM n1), (SELECT sum(tokens) FROM n3) * 3 // 5)) AS budget
+  FROM n1 WINDOW o AS (ORDER BY cap / w, domain)),
+c1 AS (
+  SELECT min(n) AS n, arg_min(budget - upto + cap, n) AS rest, arg_min(wall - wupto + w, n) AS weights
+  FROM p1 WHERE (budget - upto + cap) * w < cap * (wall - wupto + w)),
+b1 AS (
+  SELECT domain, CASE WHEN c1.n IS NULL OR p1.n < c1.n THEN cap ELSE rest * w // weights END AS budget
+  FROM p1, c1),
+p2 AS (
+  SELECT n2.*, b1.budget, row_number() OVER o AS n, sum(cap) OVER o AS upto, sum(w) OVER o AS wupto,
+         sum(w) OVER (PARTITION BY domain) AS wall
+  FROM n2 JOIN b1 USING (domain) WINDOW o AS (PARTITION BY domain ORDER BY cap / w, lang)),
+c2 AS (
+  SELECT domain, min(n) AS n, arg_min(budget - upto + cap, n) AS rest, arg_min(wall - wupto + w, n) AS weights
+  FROM p2 WHERE (budget - upto + cap) * w < cap * (wall - wupto + w) GROUP BY domain),
+b2 AS (
+  SELECT domain, lang, CASE WHEN c2.n IS NULL OR p2.n < c2.n THEN cap ELSE rest * w // weights END AS budget
+  FROM p2 LEFT JOIN c2 USING (domain)),
+p3 AS (
+  SELECT n3.*, b2.budget, row_number() OVER o AS n, sum(cap) OVER o AS upto, sum(w) OVER o AS wupto,
+         sum(w) OVER (PARTITION BY domain, lang) AS wall
+  FROM n3 JOIN b2 USING (domain, lang) WINDOW o AS (PARTITION BY domain, lang ORDER BY cap / w, source)),
+c3 AS (
+  SELECT domain, lang, min(n) AS n, arg_min(budget - upto + cap, n) AS rest, arg_min(wall - wupto + w, n) AS weights
+  FROM p3 WHERE (budget - upto + cap) * w < cap * (wall - wupto + w) GROUP BY domain, lang),
+leaf AS (
+  SELECT domain, lang, source, tokens,
+         CASE WHEN c3.n IS NULL OR p3.n < c3.n THEN cap ELSE rest * w // weights END AS budget
+  FROM p3 LEFT JOIN c3 USING (domain, lang)),
+e AS (
+  SELECT units.*, CASE WHEN leaf.tokens > 0 THEN budget // leaf.tokens ELSE 0 END AS complete,
+         CASE WHEN leaf.tokens > 0 THEN budget % leaf.tokens ELSE 0 END AS rest
+  FROM units JOIN leaf USING (domain, lang, source)),
+k AS (
+  SELECT *, substr(md5('17:' || complete::VARCHAR || ':' || coalesce(doc_id::VARCHAR, '')), 1, 15) AS key FROM e),
+s AS (SELECT *, sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY key) AS upto FROM k)
+SELECT doc_id, domain, lang, source, tokens AS n_tokens,
+       CAST(complete + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END AS BIGINT) AS copies
+FROM s
+"""
