@@ -155,3 +155,10 @@ SELECT doc_id, domain, lang, source, tokens AS n_tokens,
        CAST(complete + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END AS BIGINT) AS copies
 FROM s
 """
+
+
+@_query
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class of every document."""
+    from tabvet.llm import near_dedup
+    return near_dedup.classes(documents(spark, sf_dir))
