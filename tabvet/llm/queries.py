@@ -162,3 +162,12 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate class of every document."""
     from tabvet.llm import near_dedup
     return near_dedup.classes(documents(spark, sf_dir))
+
+
+@_query
+def op9_quality_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected grade of every document and the chance of the best one."""
+    from tabvet.llm import ordinal
+    docs = documents(spark, sf_dir)
+    model, grades = ordinal.fit(docs, ordinal.ratings(table(spark, sf_dir, "labels")))
+    return ordinal.grade(docs, model, grades, at_least=2)
