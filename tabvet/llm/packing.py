@@ -20,10 +20,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabvet.llm import encoding
-from tabvet.llm.common import body, scratch
+from tabvet.llm.common import body, scratch, stored
 from tabvet.llm.token_counts import slices
 
 LONGEST = 2048
+#: First numbers of up to this many (bucket, task) pairs are broadcast (20 bytes each), joined by shuffle beyond.
+BROADCAST_PARTS = 1_000_000
 
 _PIECES = "part int, doc_id long, start long, length long, doc_tokens long, nth long, ids binary"
 
@@ -93,7 +95,10 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, longest: int = LONGES
                                         - F.col("all")).alias("base"))
     parts = counts.select("length", "part", (F.sum("n").over(Window.partitionBy("length").orderBy("part"))
                                              - F.col("n")).alias("offset"))
-    offsets = parts.join(buckets, "length").select("length", "part", (F.col("base") + F.col("offset")).alias("first"))
+    offsets = stored(parts.join(buckets, "length")
+                     .select("length", "part", (F.col("base") + F.col("offset")).alias("first")), "packed-offsets")
+    if offsets.count() <= BROADCAST_PARTS:
+        offsets = F.broadcast(offsets)
     return pieces.join(offsets, ["length", "part"]).select(
         "doc_id", "start", "length", "doc_tokens", (F.col("first") + F.col("nth")).alias("sequence_id"),
         F.lit(0).cast("long").alias("offset"), "ids")
