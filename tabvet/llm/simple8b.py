@@ -22,10 +22,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabvet.llm import encoding
-from tabvet.llm.common import body, scratch
+from tabvet.llm.common import body, scratch, stored
 from tabvet.llm.token_counts import slices
 
 BLOCK_IDS = 1 << 16
+#: Offsets of up to this many parts (write tasks) are broadcast, joined by shuffle beyond.
+BROADCAST_PARTS = 1_000_000
 
 #: Ids per word and bits per id of each selector; selector 0 escapes one id
 #: to the next word, selector 15 is a run of zeros.
@@ -172,7 +174,10 @@ def read(spark, path: str) -> DataFrame:
     blocks = spark.read.parquet(path)
     # one row per part; the running sum is over parts, not over documents
     parts = blocks.groupBy("part").agg(F.sum("n_ids").alias("n"))
-    parts = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("offset"))
+    parts = stored(parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("offset")),
+                   "token-parts")
+    if parts.count() <= BROADCAST_PARTS:
+        parts = F.broadcast(parts)
     found = blocks.mapInArrow(_documents, "part int, doc_id long, within long, ids binary")
     return found.join(parts, "part").select("doc_id", (F.col("offset") + F.col("within")).alias("start"), "ids")
 
