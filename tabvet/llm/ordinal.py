@@ -6,12 +6,14 @@ P(grade > k) = sigmoid(score - threshold_k).  The fit is L-BFGS on the
 penalised likelihood; every evaluation is one pass of Spark tasks over the
 stored features, and the driver holds weights and one summed gradient only.
 
-Features are the distinct words of a text (A-Z folded) and the share of words
-of each shape (letters, digits and signs collapsed to classes), hashed to
-2^``BITS`` places.
+Features are the distinct words of a text (A-Z folded), their distinct
+beginnings of 4, 5 and 6 characters, and the share of words of each shape
+(letters, digits and signs collapsed to classes), hashed to 2^``BITS`` places.
 
 The model is fitted on at most ``max_labelled`` rated texts, those with the
-smallest hash of their id; every text is scored.
+smallest hash of their id, and weighs the at most ``max_features`` places
+whose texts' mean grade is farthest from the mean of all (``min_z`` standard
+errors at least); every text is scored.
 
 Defined results: a NULL or empty text has no features and gets the grades of
 the thresholds alone; repeated rows score alike; ratings that are NULL or of
@@ -34,9 +36,10 @@ from pyspark.sql import functions as F
 from tabvet.llm.common import body, stored
 from tabvet.llm.token_counts import slices
 
-BITS = 18
+BITS = 26
 #: Scale of the shares of word shapes beside the 0/1 words.
 SHAPE_SCALE = 8.0
+BEGINNINGS = (4, 5, 6)
 
 _CLASS = bytes(97 if 97 <= c <= 122 or c >= 128 else 65 if 65 <= c <= 90 else 48 if 48 <= c <= 57 else c
                for c in range(256))
@@ -61,13 +64,21 @@ def features(texts: pa.Array, bits: int = BITS) -> tuple[np.ndarray, np.ndarray,
     known = coded.dictionary.cast(pa.large_binary()).to_pylist()
     real = np.fromiter(map(len, known), np.int64, len(known))[which] > 0
     mask = (1 << bits) - 1
-    word_at = np.fromiter((xxhash.xxh3_64_intdigest(w.lower(), 1) & mask for w in known), np.int64, len(known))
+    folded = pc.ascii_lower(coded.dictionary)
+    words_at = []
+    for size in (0, *BEGINNINGS):           # 0: the whole word
+        cut = (pc.utf8_slice_codeunits(folded, 0, size) if size else folded).dictionary_encode()
+        place = np.fromiter((xxhash.xxh3_64_intdigest(w, 10 + size) & mask
+                             for w in cut.dictionary.cast(pa.large_binary()).to_pylist()), np.int64, len(cut.dictionary))
+        words_at.append((pc.utf8_length(folded).to_numpy(zero_copy_only=False) > size,
+                         place[cut.indices.to_numpy(zero_copy_only=False)]))
     shapes: dict[bytes, int] = {}
     shape_at = np.fromiter((shapes.setdefault(s, xxhash.xxh3_64_intdigest(s, 2) & mask) for s in map(_shape, known)),
                            np.int64, len(known))
     owner, which = np.repeat(np.arange(len(per)), per)[real], which[real]
     count = np.bincount(owner, minlength=len(per))
-    have = np.unique((owner << bits) | word_at[which])
+    have = [np.unique((owner[longer[which]] << bits) | at[which][longer[which]]) for longer, at in words_at]
+    have = np.unique(np.concatenate(have))
     shaped, n = np.unique((owner << bits) | shape_at[which], return_counts=True)
     text = np.concatenate([have >> bits, shaped >> bits])
     place = np.concatenate([have & mask, shaped & mask])
@@ -78,19 +89,29 @@ def features(texts: pa.Array, bits: int = BITS) -> tuple[np.ndarray, np.ndarray,
 
 @dataclass
 class Model:
+    places: np.ndarray           # hashed places that count, ascending
     weights: np.ndarray          # one per place
     thresholds: np.ndarray       # ascending, one less than grades
     bits: int = BITS
 
     def score(self, texts: pa.Array) -> np.ndarray:
         text, place, value = features(texts, self.bits)
-        return np.bincount(text, self.weights[place] * value, minlength=len(texts))
+        counts, at = _among(self.places, place)
+        return np.bincount(text[counts], self.weights[at] * value[counts], minlength=len(texts))
 
     def tails(self, score: np.ndarray) -> np.ndarray:
         """P(grade > k) per text and k."""
         return _sigmoid(score[:, None] - self.thresholds[None, :])
 
 
+def _among(places: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which of ``place`` are in the ascending ``places``, their indices)."""
+    at = np.searchsorted(places, place)
+    at[at == len(places)] = 0
+    found = places[at] == place
+    return found, at[found]
+
+
 def _sigmoid(x):
     return 1.0 / (1.0 + np.exp(-np.clip(x, -40, 40)))
 
@@ -119,6 +140,29 @@ def _encode(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordB
                 pa.ListArray.from_arrays(ends, value.astype(np.float32))], names=["grade", "place", "value"])
 
 
+def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per place of a task's rows: texts that have it and the sum of their grades."""
+    for batch in batches:
+        text = pc.list_parent_indices(batch.column("place")).to_numpy()
+        place, which = np.unique(batch.column("place").flatten().to_numpy(), return_inverse=True)
+        grades = np.bincount(which, batch.column("grade").to_numpy()[text], minlength=len(place)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(place, pa.int32()), pa.array(np.bincount(which, minlength=len(place)).astype(np.int64)),
+             pa.array(grades)], names=["place", "n", "grades"])
+
+
+def _narrow(batches: Iterator[pa.RecordBatch], places: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The features at ``places`` only, by their indices."""
+    for batch in batches:
+        text = pc.list_parent_indices(batch.column("place")).to_numpy()
+        found, at = _among(places, batch.column("place").flatten().to_numpy())
+        ends = np.concatenate([[0], np.cumsum(np.bincount(text[found], minlength=batch.num_rows))]).astype(np.int32)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("grade"), pa.ListArray.from_arrays(ends, at.astype(np.int32)),
+             pa.ListArray.from_arrays(ends, batch.column("value").flatten().to_numpy()[found])],
+            names=["grade", "place", "value"])
+
+
 def _gradient(batches: Iterator[pa.RecordBatch], at, size: int) -> Iterator[pa.RecordBatch]:
     weights, thresholds = at.value
     total, slope, out, rows = 0.0, np.zeros(len(thresholds)), np.zeros(size), 0
@@ -138,21 +182,33 @@ def _gradient(batches: Iterator[pa.RecordBatch], at, size: int) -> Iterator[pa.R
 
 
 def fit(docs: DataFrame, ratings: DataFrame, max_labelled: int = 20_000, bits: int = BITS, penalty: float = 1.0,
-        max_passes: int = 40, tasks: int = 8, seed: int = 11) -> tuple[Model | None, int]:
+        max_features: int = 4096, min_z: float = 5.0, min_texts: int = 5, max_passes: int = 60, tasks: int = 8,
+        seed: int = 11) -> tuple[Model | None, int]:
     """The model and its number of grades; ``ratings``: doc_id, grade (from 0)."""
     picked = (ratings.filter("doc_id IS NOT NULL AND grade IS NOT NULL").groupBy("doc_id")
               .agg(F.min("grade").cast("int").alias("grade"))
               .orderBy(F.xxhash64(F.lit(seed), F.col("doc_id")), "doc_id").limit(max_labelled)
               .select(F.col("doc_id").alias("_id"), "grade"))
     plain = docs.select(docs["doc_id"].alias("_id"), body(docs).alias("text"))
-    rows = stored(plain.join(F.broadcast(picked), "_id").select("grade", "text")
-                  .mapInArrow(lambda it: _encode(it, bits), "grade int, place array<int>, value array<float>"),
-                  "ordinal-features").coalesce(tasks)
-    seen = rows.agg(F.max("grade").alias("m"), F.countDistinct("grade").alias("n"), F.count(F.lit(1)).alias("rows")).head()
-    if seen["n"] < 2:
-        return None, int(seen["m"] or 0) + 1
-    k, size = int(seen["m"]), 1 << bits
-    spark = docs.sparkSession
+    form = "grade int, place array<int>, value array<float>"
+    wide = stored(plain.join(F.broadcast(picked), "_id").select("grade", "text")
+                  .mapInArrow(lambda it: _encode(it, bits), form), "ordinal-features")
+    per_grade = {r["grade"]: r["count"] for r in wide.groupBy("grade").count().collect()}
+    if len(per_grade) < 2:
+        return None, max(per_grade, default=0) + 1
+    k, total = max(per_grade), sum(per_grade.values())
+    mean = sum(g * n for g, n in per_grade.items()) / total
+    spread = (sum(n * (g - mean) ** 2 for g, n in per_grade.items()) / total) ** 0.5
+    z = F.abs(F.col("grades") / F.col("n") - mean) * F.sqrt("n") / spread
+    chosen = (wide.select("grade", "place").mapInArrow(_tally, "place int, n long, grades long")
+              .groupBy("place").agg(F.sum("n").alias("n"), F.sum("grades").alias("grades"))
+              .filter(F.col("n") >= min_texts).withColumn("z", z).filter(F.col("z") >= min_z)
+              .orderBy(F.col("z").desc(), "place").limit(max_features).collect())
+    places = np.array(sorted(r["place"] for r in chosen), np.int64)
+    if not len(places):
+        places = np.zeros(1, np.int64)
+    rows = stored(wide.mapInArrow(lambda it: _narrow(it, places), form).coalesce(tasks), "ordinal-rows")
+    size, spark = len(places), docs.sparkSession
 
     def unpack(x):
         gaps = np.exp(x[size + 1:])
@@ -170,8 +226,11 @@ def fit(docs: DataFrame, ratings: DataFrame, max_labelled: int = 20_000, bits: i
         after = np.cumsum(slope[::-1])[::-1]          # a threshold moves with all gaps below it
         return nll, np.concatenate([grad, [after[0]], after[1:] * gaps])
 
-    x = np.concatenate([np.zeros(size), [-1.0], np.zeros(k - 1)])
-    return Model(*unpack(_minimise(evaluate, x, max_passes))[:2], bits), k + 1
+    # thresholds start at the grades' own odds
+    below = (np.cumsum([per_grade.get(g, 0) for g in range(k)]) + 0.5) / (total + 1.0)
+    cuts = np.log(below / (1 - below))
+    x = np.concatenate([np.zeros(size), cuts[:1], np.log(np.maximum(np.diff(cuts), 0.05))])
+    return Model(places, *unpack(_minimise(evaluate, x, max_passes))[:2], bits), k + 1
 
 
 def _minimise(evaluate, x: np.ndarray, max_passes: int, memory: int = 8) -> np.ndarray:
@@ -188,7 +247,7 @@ def _minimise(evaluate, x: np.ndarray, max_passes: int, memory: int = 8) -> np.n
             s, y, r = pairs[-1]
             q *= (s @ y) / (y @ y)
         else:
-            q /= max(1.0, np.abs(grad).max())
+            q *= 0.01
         for (s, y, r), a in zip(pairs, reversed(kept)):
             q += s * (a - r * (y @ q))
         step, before = 1.0, value
@@ -203,7 +262,7 @@ def _minimise(evaluate, x: np.ndarray, max_passes: int, memory: int = 8) -> np.n
                 x, value, grad = new, new_value, new_grad
                 break
             step /= 2
-        if before - value < 1e-4 * max(1.0, abs(before)):
+        if before - value < 1e-5 * max(1.0, abs(before)):
             break
     return x
 
