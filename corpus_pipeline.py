@@ -12,8 +12,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabvet.llm import exact_dedup, quality_rules
+from tabvet.llm import exact_dedup, mixing, near_dedup, packing, quality_rules
 from tabvet.llm.common import documents, stored, table
+from tabvet.llm.queries import vocabulary
 
 ORACLE_SQL = None
 
@@ -28,9 +29,28 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.keep(docs)
 
 
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates."""
+    return near_dedup.keep(docs)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The target mixture in one epoch: a second one would bring back the
+    copies that the stages before removed."""
+    return mixing.mix(docs, max_epochs=1)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Power-of-two sequences of token ids."""
+    return packing.pack(docs, vocabulary("word_bpe_49k.json"))
+
+
 STAGES = [
     ("quality_rules", quality_stage),
     ("exact_dedup", exact_stage),
+    ("near_dedup", near_stage),
+    ("mixing", mixing_stage),
+    ("packing", packing_stage),
 ]
 
 

@@ -171,3 +171,10 @@ def op9_quality_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model, grades = ordinal.fit(docs, ordinal.ratings(table(spark, sf_dir, "labels")))
     return ordinal.grade(docs, model, grades, at_least=2)
+
+
+@_query
+def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model score of every document."""
+    from tabvet.llm import pitman_yor
+    return pitman_yor.scores(documents(spark, sf_dir))
