@@ -112,7 +112,8 @@ def _owners(rows: DataFrame) -> DataFrame:
     ordered = (rows.repartition("bucket", "page")
                .sortWithinPartitions("bucket", "key", "page", F.col("n_chars").desc(),
                                      F.col("doc_id").asc_nulls_last(), "row_id").drop("bucket"))
-    schema = T.StructType([f for f in ordered.schema if f.name != "page"]
+    # losers have neither text nor rest, so every field may be null
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in ordered.schema if f.name != "page"]
                           + [T.StructField("winner", T.LongType()), T.StructField("won", T.BooleanType())])
     return ordered.mapInArrow(_owner, schema)
 
@@ -162,7 +163,7 @@ def build(docs: DataFrame, with_rows: bool = False, page_rows: int = PAGE_ROWS)
     cols = [F.monotonically_increasing_id().alias("row_id"), docs["doc_id"].cast("long").alias("doc_id"),
             F.length(F.coalesce(docs["text"], F.lit(""))).alias("n_chars"), docs["text"]]
     if with_rows:
-        cols.append(F.struct(F.lit(0).alias(pad), *[docs[f"`{c}`"] for c in rest]).alias("rest"))
+        cols.append(F.struct(F.lit(None).cast("int").alias(pad), *[docs[f"`{c}`"] for c in rest]).alias("rest"))
 
     def keyed(df: DataFrame) -> DataFrame:
         return df.mapInArrow(_keyed, T.StructType([*df.schema, T.StructField("key", T.LongType()),
