@@ -12,8 +12,8 @@ beginnings of 4, 5 and 6 characters, and the share of words of each shape
 
 The model is fitted on at most ``max_labelled`` rated texts, those with the
 smallest hash of their id, and weighs the at most ``max_features`` places
-whose texts' mean grade is farthest from the mean of all (``min_z`` standard
-errors at least); every text is scored.
+whose texts pass some grade most unlike all texts (by ``min_z`` standard errors
+at least); every text is scored.
 
 Defined results: a NULL or empty text has no features and gets the grades of
 the thresholds alone; repeated rows score alike; ratings that are NULL or of
@@ -97,7 +97,7 @@ class Model:
     def score(self, texts: pa.Array) -> np.ndarray:
         text, place, value = features(texts, self.bits)
         counts, at = _among(self.places, place)
-        return np.bincount(text[counts], self.weights[at] * value[counts], minlength=len(texts))
+        return np.bincount(text[counts], self.weights[at] * value[counts], minlength=len(texts)).astype(np.float64)
 
     def tails(self, score: np.ndarray) -> np.ndarray:
         """P(grade > k) per text and k."""
@@ -141,14 +141,14 @@ def _encode(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordB
 
 
 def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per place of a task's rows: texts that have it and the sum of their grades."""
+    """(place, grade, number of texts) of a batch of rows."""
     for batch in batches:
+        grade = batch.column("grade").to_numpy().astype(np.int64)
         text = pc.list_parent_indices(batch.column("place")).to_numpy()
-        place, which = np.unique(batch.column("place").flatten().to_numpy(), return_inverse=True)
-        grades = np.bincount(which, batch.column("grade").to_numpy()[text], minlength=len(place)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(place, pa.int32()), pa.array(np.bincount(which, minlength=len(place)).astype(np.int64)),
-             pa.array(grades)], names=["place", "n", "grades"])
+        both, n = np.unique((batch.column("place").flatten().to_numpy().astype(np.int64) << 8) | grade[text],
+                            return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array((both >> 8).astype(np.int32)), pa.array((both & 255).astype(np.int32)),
+                                          pa.array(n.astype(np.int64))], names=["place", "grade", "n"])
 
 
 def _narrow(batches: Iterator[pa.RecordBatch], places: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -197,11 +197,12 @@ def fit(docs: DataFrame, ratings: DataFrame, max_labelled: int = 20_000, bits: i
     if len(per_grade) < 2:
         return None, max(per_grade, default=0) + 1
     k, total = max(per_grade), sum(per_grade.values())
-    mean = sum(g * n for g, n in per_grade.items()) / total
-    spread = (sum(n * (g - mean) ** 2 for g, n in per_grade.items()) / total) ** 0.5
-    z = F.abs(F.col("grades") / F.col("n") - mean) * F.sqrt("n") / spread
-    chosen = (wide.select("grade", "place").mapInArrow(_tally, "place int, n long, grades long")
-              .groupBy("place").agg(F.sum("n").alias("n"), F.sum("grades").alias("grades"))
+    above = {c: sum(n for g, n in per_grade.items() if g > c) / total for c in range(min(per_grade), k)}
+    z = F.greatest(F.lit(0.0), *[
+        F.abs(F.col(f"n{c}") / F.col("n") - p) * F.sqrt("n") / (p * (1 - p)) ** 0.5 for c, p in above.items()])
+    chosen = (wide.select("grade", "place").mapInArrow(_tally, "place int, grade int, n long").groupBy("place")
+              .agg(F.sum("n").alias("n"), *[F.sum(F.when(F.col("grade") > c, F.col("n")).otherwise(0)).alias(f"n{c}")
+                                            for c in above])
               .filter(F.col("n") >= min_texts).withColumn("z", z).filter(F.col("z") >= min_z)
               .orderBy(F.col("z").desc(), "place").limit(max_features).collect())
     places = np.array(sorted(r["place"] for r in chosen), np.int64)
