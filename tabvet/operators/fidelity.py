@@ -381,31 +381,18 @@ def interpret_coverage(c: Column) -> Column:
             .when(c >= 0.5, "Acceptable mode coverage").otherwise("Poor mode coverage - possible mode collapse"))
 
 
-def _batch_diversity(pdf: pd.DataFrame) -> pd.DataFrame:
-    x = pdf.drop(columns=["_batch"]).to_numpy(dtype=float)
-    if len(x) < 2:
-        return pd.DataFrame({"_batch": pdf["_batch"].iloc[:1], "avg_d": [np.nan], "max_d": [np.nan],
-                             "n": [len(x)]})
-    sq = (x * x).sum(1)
-    d2 = np.maximum(sq[:, None] + sq[None, :] - 2 * x @ x.T, 0.0)
-    iu = ~np.eye(len(x), dtype=bool)
-    d = np.sqrt(d2[iu])
-    return pd.DataFrame({"_batch": [pdf["_batch"].iloc[0]], "avg_d": [d.mean()], "max_d": [d.max()], "n": [len(x)]})
-
-
-def diversity(df: DataFrame, cols: list[str], key: str, batch_rows: int = 512, seed: int = 7) -> DataFrame:
-    """The reference scores a training batch by mean / max pairwise L2
-    distance.  Here the whole table is dealt into hash-random batches of
-    about ``batch_rows`` rows; each batch's pairwise distances are computed
-    with NumPy inside its own task (a bounded group) and the batch scores
-    are averaged: diversity = mean over batches of avg_d / max_d."""
-    n = df.count()
-    nb = max(1, -(-n // batch_rows))
-    b = df.select(*[F.col(c).cast("double").alias(c) for c in cols],
-                  F.floor(hu(seed, key) * nb).cast("long").alias("_batch")).dropna()
-    per = b.groupBy("_batch").applyInPandas(_batch_diversity, "_batch long, avg_d double, max_d double, n long")
-    return per.agg(F.avg(F.when(F.col("max_d") > 0, F.col("avg_d") / F.col("max_d")).otherwise(F.lit(1.0)))
-                   .alias("diversity_score"), F.count(F.lit(1)).alias("n_batches"))
+def diversity(df: DataFrame, cols: list[str]) -> DataFrame:
+    """I24 (re-aimed from mean / max pairwise L2 distance of one training
+    batch to the whole table): the root mean square distance over all pairs
+    of rows, sqrt(2 Σ var_j) with ddof-1 variances, over the diagonal of the
+    bounding box, which no pair exceeds.  Rows with a NULL are left out; a
+    table without spread scores 1."""
+    d = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).dropna()
+    a = d.agg(F.sqrt(2 * sum((F.var_samp(c) for c in cols), F.lit(0.0))).alias("rms_distance"),
+              F.sqrt(sum((F.pow(F.max(c) - F.min(c), 2) for c in cols), F.lit(0.0))).alias("bounding_diagonal"))
+    return a.select("rms_distance", "bounding_diagonal",
+                    F.when(F.col("bounding_diagonal") > 0, F.col("rms_distance") / F.col("bounding_diagonal"))
+                    .otherwise(F.lit(1.0)).alias("diversity_score"))
 
 
 def mean_cosine_similarity(df: DataFrame, cols: list[str]) -> DataFrame:

@@ -213,23 +213,14 @@ def unique_value_overlap(real: DataFrame, synth: DataFrame, cols: list[str]) ->
         F.when(F.col("nr") > 0, F.col("ni") / F.col("nr")).otherwise(F.lit(0.0)).alias("unique_value_overlap"))
 
 
-def rare_patterns(df: DataFrame, cols: list[str], n: int = 10, seed: int = 42) -> DataFrame:
-    """Up to ``n`` distinct rows chosen by hash order (a sampling
-    operator: the limit is the feature), each as a '|'-joined string."""
-    d = df.select(*cols).distinct()
-    pat = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("None")) for c in cols])
-    return d.select(pat.alias("pattern")).withColumn("_h", hu(seed, "pattern")).orderBy("_h", "pattern") \
-        .limit(n).drop("_h")
-
-
-def rare_pattern_overlap(real: DataFrame, synth: DataFrame, cols: list[str], n: int = 10) -> DataFrame:
-    """Share of the real sample's patterns present in the synthetic sample."""
-    r, s = rare_patterns(real, cols, n), rare_patterns(synth, cols, n)
-    hit = r.join(s, "pattern", "left_semi")
-    nr = r.agg(F.count(F.lit(1)).alias("nr"))
-    nh = hit.agg(F.count(F.lit(1)).alias("nh"))
-    return nr.withColumn("_k", F.lit(1)).join(nh.withColumn("_k", F.lit(1)), "_k").select(
-        F.when(F.col("nr") > 0, F.col("nh") / F.col("nr")).otherwise(F.lit(0.0)).alias("rare_pattern_overlap"))
+def rare_pattern_overlap(real: DataFrame, synth: DataFrame, cols: list[str]) -> DataFrame:
+    """Share of the real table's distinct rows (over ``cols``, NULL equal
+    to NULL) that occur in the synthetic one."""
+    r = real.select(*cols).distinct()
+    s = synth.select(*[F.col(c).alias(f"s_{c}") for c in cols]).distinct().withColumn("_hit", F.lit(1))
+    same = [r[c].eqNullSafe(s[f"s_{c}"]) for c in cols]
+    return r.join(s, same, "left").agg(F.coalesce(F.count("_hit") / F.nullif(F.count(F.lit(1)), F.lit(0)), F.lit(0.0))
+                                       .alias("rare_pattern_overlap"))
 
 
 def exact_copies(real: DataFrame, synth: DataFrame, cols: list[str]) -> DataFrame:

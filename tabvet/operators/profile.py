@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from tabvet.functions.hashing import hu
 from tabvet.functions.normal import phi
+from tabvet.session import cut_lineage
 from tabvet.operators.ranks import DEFAULT_BUCKETS, cumulative, sorted_gaps, value_counts, with_const_array
 
 _FLOATS = (T.FloatType, T.DoubleType)
@@ -311,32 +312,28 @@ TEMPORAL_PATTERNS = [r"\d{4}-\d{2}-\d{2}", r"\d{2}/\d{2}/\d{4}", r"\d{4}/\d{2}/\
 
 
 def temporal_detect(df: DataFrame, order_key: str) -> DataFrame:
-    """Per column: timestamp/date type -> temporal; numeric -> unix-seconds
-    range (1e9, 2e9); text -> the first 100 values (by ``order_key``) all
-    parse, or one of the first 10 starts with a date pattern."""
-    rows = []
-    w = Window.orderBy(order_key)
-    out = None
+    """Per column but ``order_key``: timestamp/date type -> temporal; numeric
+    -> all values inside the unix-seconds range (1e9, 2e9); text -> every
+    non-null value parses, or a tenth of them starts with a date pattern.
+    One aggregation over all rows and columns."""
+    tests = []
     for f in df.schema.fields:
         if f.name == order_key:
             continue
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-            part = df.agg(F.lit(True).alias("is_temporal"))
+            verdict = F.max(F.lit(True))
         elif isinstance(f.dataType, T.NumericType):
-            part = df.agg(((F.min(c) > 1e9) & (F.max(c) < 2e9)).alias("is_temporal"))
+            verdict = (F.min(c) > 1e9) & (F.max(c) < 2e9)
         else:
-            # first 100 / 10 values: a top-k, the sort is pushed into a limit
-            head = df.filter(c.isNotNull()).select(order_key, c.cast("string").alias("s")).orderBy(order_key).limit(100)
-            head = head.withColumn("rn", F.row_number().over(w))
-            pat = F.lit(False)
-            for p in TEMPORAL_PATTERNS:
-                pat = pat | F.col("s").rlike("^" + p)
-            part = head.agg((F.coalesce(F.bool_and(F.try_to_timestamp(F.col("s")).isNotNull()), F.lit(False))
-                             | F.coalesce(F.bool_or(pat & (F.col("rn") <= 10)), F.lit(False))).alias("is_temporal"))
-        part = part.select(F.lit(f.name).alias("feature"), "is_temporal")
-        out = part if out is None else out.unionByName(part)
-    return out
+            s = c.cast("string")
+            dated = s.rlike("^(" + "|".join(TEMPORAL_PATTERNS) + ")")
+            verdict = (F.coalesce(F.bool_and(F.when(s.isNotNull(), F.try_to_timestamp(s).isNotNull())), F.lit(False))
+                       | F.coalesce(F.avg(dated.cast("double")) >= 0.1, F.lit(False)))
+        tests.append((f.name, verdict))
+    one = df.agg(*[v.alias(f"t{i}") for i, (_, v) in enumerate(tests)])
+    return one.select(F.inline(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(f"t{i}").alias("is_temporal"))
+                                         for i, (n, _) in enumerate(tests)])))
 
 
 # Multimodality via binned KDE ---------------------------------------------
@@ -398,17 +395,17 @@ def anderson_darling(df: DataFrame, cols: list[str], n_buckets: int = DEFAULT_BU
 # Power law on the frequency spectrum ---------------------------------
 
 def power_law_fit(df: DataFrame, col: str, min_support: int = 50, min_tail_fraction: float = 0.05,
-                  min_n_tail: int = 100, max_candidates: int = 1000, alpha_bounds=(1.2, 5.0),
-                  ks_strict: float = 0.2) -> DataFrame:
-    """The 'data' are the category frequencies x.  For each candidate
-    x_min (the largest ``max_candidates`` distinct frequencies): n_tail and
-    Σ ln x over x >= x_min come from suffix sums of the counts-of-counts
-    table, α = 1 + n_tail / Σ ln(x / x_min); KS between the tail's ECDF and
-    1 - (x / x_min)^(1-α) needs the tail support, a range join of the
-    (bounded, broadcast) candidate table with the counts-of-counts table.
+                  min_n_tail: int = 100, alpha_bounds=(1.2, 5.0), ks_strict: float = 0.2) -> DataFrame:
+    """The 'data' are the category frequencies x.  For each distinct
+    frequency as candidate x_min: n_tail and Σ ln x over x >= x_min come from
+    suffix sums of the counts-of-counts table, α = 1 + n_tail / Σ ln(x / x_min);
+    KS between the tail's ECDF and 1 - (x / x_min)^(1-α) joins the candidates
+    with the tail's support.  The table has one row per distinct frequency
+    (k of them need k (k + 1) / 2 counted items at least, so it stays small),
+    and the tail rules leave only candidates with enough items above them.
     Best x_min = smallest KS among candidates passing the tail rules;
     power law if the tail rules hold, α within bounds and KS <= 0.2
-    (the bootstrap p-value of B21 can be required on top)."""
+    (``power_law`` also asks for the bootstrap p-value of B21)."""
     freqs = df.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("x"))
     cc = freqs.groupBy("x").agg(F.count(F.lit(1)).alias("m")).withColumn("mlnx", F.col("m") * F.log("x"))
     c = cumulative(cc, [], "x", ["m", "mlnx"])
@@ -416,14 +413,13 @@ def power_law_fit(df: DataFrame, col: str, min_support: int = 50, min_tail_fract
     tail = c.select("x", "m", "cum_m", "tot_m",
                     (F.col("tot_m") - F.col("cum_m") + F.col("m")).alias("n_tail"),
                     (F.col("tot_mlnx") - F.col("cum_mlnx") + F.col("mlnx")).alias("sum_ln"))
-    # the largest candidates: a bounded top-k by design (max_candidates)
-    cand = tail.orderBy(F.desc("x")).limit(max_candidates).select(
+    cand = tail.select(
         F.col("x").alias("x_min"), "n_tail", "tot_m", (F.col("cum_m") - F.col("m")).alias("before"),
         (F.col("sum_ln") - F.col("n_tail") * F.log("x")).alias("s"))
     cand = cand.filter((F.col("n_tail") >= min_n_tail) & (F.col("n_tail") / F.col("tot_m") >= min_tail_fraction)
                        & (F.col("s") > 0)).withColumn("alpha", 1.0 + F.col("n_tail") / F.col("s"))
     sup = c.select(F.col("x").alias("u"), F.col("cum_m").alias("cu"))
-    j = sup.join(F.broadcast(cand), F.col("u") >= F.col("x_min"))
+    j = sup.join(cand, F.col("u") >= F.col("x_min"))
     ecdf = (F.col("cu") - F.col("before")) / F.col("n_tail")
     model = 1.0 - F.pow(F.col("u") / F.col("x_min"), 1.0 - F.col("alpha"))
     ks = j.groupBy("x_min", "alpha", "n_tail", "tot_m").agg(F.max(F.abs(ecdf - model)).alias("ks"))
@@ -443,11 +439,14 @@ def power_law_bootstrap(fit: DataFrame, runs: int = 200, seed: int = 42) -> Data
     """``runs`` synthetic tails of n_tail draws x = x_min U^{1/(1-α)},
     rounded and floored at x_min (U a hash uniform of (seed, run, i)); KS
     of each against the fitted model; p = share of runs with KS >= the
-    observed KS.  Draw rows are generated from the one-row fit with
-    ``sequence`` explodes (runs x n_tail rows, all distributed)."""
-    f = fit.filter(F.col("x_min").isNotNull())
-    draws = f.select("x_min", "alpha", "n_tail", "ks", F.explode(F.sequence(F.lit(1), F.lit(runs))).alias("run")) \
-        .withColumn("i", F.explode(F.sequence(F.lit(1), F.col("n_tail").cast("int"))))
+    observed KS.  The runs x n_tail draw rows come from a distributed range;
+    the one-row fit is known to the driver."""
+    one = fit.filter(F.col("x_min").isNotNull()).select("x_min", "alpha", "n_tail", "ks").first()
+    n_tail = int(one["n_tail"]) if one else 0
+    draws = fit.sparkSession.range(runs * n_tail).select(
+        F.lit(one["x_min"] if one else 1).alias("x_min"), F.lit(one["alpha"] if one else 2.0).alias("alpha"),
+        F.lit(n_tail).cast("long").alias("n_tail"), F.lit(one["ks"] if one else 0.0).alias("ks"),
+        F.expr(f"CAST(id div {max(n_tail, 1)} + 1 AS INT)").alias("run"), (F.col("id") % max(n_tail, 1) + 1).alias("i"))
     u = F.greatest(hu(seed, "run", "i"), F.lit(1e-300))
     x = F.greatest(F.round(F.col("x_min") * F.pow(u, 1.0 / (1.0 - F.col("alpha")))), F.col("x_min").cast("double"))
     sims = draws.select("run", "x_min", "alpha", "n_tail", "ks", x.alias("x"))
@@ -457,3 +456,12 @@ def power_law_bootstrap(fit: DataFrame, runs: int = 200, seed: int = 42) -> Data
     per = c.groupBy("run", "ks").agg(F.max(F.abs(F.col("cum_m") / F.col("n_tail") - model)).alias("ks_sim"))
     return per.agg(F.avg((F.col("ks_sim") >= F.col("ks")).cast("double")).alias("p_value"),
                    F.count(F.lit(1)).alias("runs"))
+
+
+def power_law(df: DataFrame, col: str, p_min: float = 0.05, runs: int = 200, **rules) -> DataFrame:
+    """B20 with B21: the fit's row with the bootstrap p-value; a power law
+    also needs p >= ``p_min``."""
+    fit = cut_lineage(power_law_fit(df, col, **rules))
+    p = power_law_bootstrap(fit, runs).select(F.lit(col).alias("feature"), "p_value")
+    return fit.join(p, "feature", "left").withColumn(
+        "is_power_law", F.col("is_power_law") & F.coalesce(F.col("p_value") >= p_min, F.lit(False)))

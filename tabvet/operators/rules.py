@@ -187,9 +187,10 @@ def parse_rule(text: str):
     if not isinstance(text, str) or not text.strip():
         raise RuleError("empty rule")
     expr = text.strip()
-    m = re.match(r"^\s*IF\s+(.+?)\s+THEN\s+(.+?)\s*$", expr, flags=re.I | re.S)
-    if m:
-        return ("if", parse_rule(m.group(1)), parse_rule(m.group(2)))
+    words = list(_scan_top(expr))
+    then = next((w for w in words if w[2] == "THEN"), None)
+    if then and words[0][::2] == (0, "IF"):
+        return ("if", parse_rule(expr[words[0][1]:then[0]]), parse_rule(expr[then[1]:]))
     operands, ops = _split_logical(expr)
     if ops:
         return ("chain", [parse_rule(o) for o in operands], ops)

@@ -93,7 +93,7 @@ def feature_schema(df: DataFrame, cols: list[str]) -> DataFrame:
     k, n = F.coalesce(F.col("unique_count"), F.lit(0)), F.col("n_rows")
     low = (k < 15) | ((k / n < 0.01) & (k < 50))
     cont = F.col("is_numeric") & ~low
-    # a text column whose name says 'date' is datetime only if its first
+    # a text column whose name says 'date' is datetime only if all its
     # values parse; the name test is applied to typed columns directly
     dated = F.col("is_temporal_type") | (F.lower(F.col("feature")).contains("date") & F.col("_parses"))
     parses = _name_date_parse(df, cols)
@@ -116,15 +116,13 @@ def _name_date_parse(df: DataFrame, cols: list[str]) -> DataFrame:
     for c in cols:
         dt = df.schema[c].dataType
         if "date" in c.lower() and isinstance(dt, T.StringType):
-            head = df.select(F.col(f"`{c}`").alias("s")).limit(100)
-            parts.append(head.agg(F.bool_and(F.col("s").isNull() | F.try_to_timestamp("s").isNotNull())
-                                  .alias("_parses")).select(F.lit(c).alias("feature"), "_parses"))
+            s = F.col(f"`{c}`")
+            parts.append((c, F.coalesce(F.bool_and(s.isNull() | F.try_to_timestamp(s).isNotNull()), F.lit(True))))
     if not parts:
         return spark.createDataFrame([], "feature string, _parses boolean")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    one = df.agg(*[p.alias(f"p{i}") for i, (_, p) in enumerate(parts)])
+    return one.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"p{i}").alias("_parses"))
+                                         for i, (c, _) in enumerate(parts)])))
 
 
 # C5, C6 ---------------------------------------------------------------------

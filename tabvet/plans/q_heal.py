@@ -84,18 +84,16 @@ def c18_detect_groups(spark, sf):
 
 
 @query("c19_cyclic_period", f"""WITH {_cyc_sql()},
-nm AS (SELECT median(sqrt(wk_sin * wk_sin + wk_cos * wk_cos)) AS m FROM cy),
+nm AS (SELECT avg(CAST(sqrt(wk_sin * wk_sin + wk_cos * wk_cos) >= 0.8 AS DOUBLE)) AS m FROM cy),
 a AS (SELECT DISTINCT round(atan2(wk_sin, wk_cos), 2) AS a FROM cy),
 g AS (SELECT min(nx - a) AS step FROM (SELECT a, lead(a) OVER (ORDER BY a) AS nx FROM a) WHERE nx IS NOT NULL),
 e AS (SELECT 2 * pi() / step AS est FROM g)
 SELECT CASE WHEN abs(est - 7) / 7 < 0.25 THEN 7.0 WHEN abs(est - 12) / 12 < 0.25 THEN 12.0 WHEN abs(est - 24) / 24 < 0.25 THEN 24.0
   WHEN abs(est - 31) / 31 < 0.25 THEN 31.0 WHEN abs(est - 52) / 52 < 0.25 THEN 52.0 WHEN abs(est - 60) / 60 < 0.25 THEN 60.0
-  WHEN abs(est - 365) / 365 < 0.25 THEN 365.0 ELSE round(est, 1) END AS period FROM e, nm WHERE m >= 0.8""")
+  WHEN abs(est - 365) / 365 < 0.25 THEN 365.0 ELSE round(est, 1) END AS period FROM e, nm WHERE m >= 0.5""")
 def c19_cyclic_period(spark, sf):
     cy = cyclic_fixture(spark, sf)
-    p = HL.infer_cyclic_period(cy, "wk_sin", "wk_cos")
-    # the inferred period is a fitted parameter of the scanned table
-    return cy.agg(F.count(F.lit(1)).alias("_n")).select(F.lit(p).cast("double").alias("period"))
+    return HL.cyclic_period(cy, "wk_sin", "wk_cos")
 
 
 @query("c20_group_lookup", """

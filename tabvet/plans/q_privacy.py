@@ -59,7 +59,7 @@ def j03_membership_risk(spark, sf):
     cols = ["o_totalprice", "o_custkey"]
     r = PV.membership_risk(train.select(*[F.col(c).cast("double") for c in cols]),
                            holdout.select(*[F.col(c).cast("double") for c in cols]),
-                           synth.select(*[F.col(c).cast("double") for c in cols]), cols, n_shadow=3, trees=30, depth=10)
+                           synth.select(*[F.col(c).cast("double") for c in cols]), cols, n_shadow=3, trees=100, depth=10)
     return r.select(r6("auc_mean").alias("auc_mean"), r6("auc_std").alias("auc_std"), "n_shadow")
 
 
@@ -97,16 +97,11 @@ def _copies_pair(spark, sf):
 _RARE_COLS = ["o_orderstatus", "o_orderpriority", "o_custkey"]
 
 
-def _pat_sql(src):
-    p = "concat_ws('|', o_orderstatus, o_orderpriority, CAST(o_custkey AS VARCHAR))"
-    return (f"(SELECT pattern FROM (SELECT DISTINCT {p} AS pattern FROM {src}) "
-            f"ORDER BY {hu_sql(42, 'pattern')}, pattern LIMIT 10)")
-
-
 _RARE_SQL = f"""ro2 AS (SELECT * FROM orders WHERE o_orderkey % 2 = 0),
 so2 AS (SELECT * FROM orders WHERE o_orderkey % 2 = 1 OR o_orderkey % 50 = 0),
-rp AS {_pat_sql('ro2')}, sp AS {_pat_sql('so2')},
-rare AS (SELECT (SELECT count(*) FROM rp WHERE pattern IN (SELECT pattern FROM sp)) / (SELECT count(*) FROM rp) AS r)"""
+rp AS (SELECT DISTINCT o_orderstatus, o_orderpriority, o_custkey FROM ro2),
+sp AS (SELECT DISTINCT o_orderstatus, o_orderpriority, o_custkey FROM so2),
+rare AS (SELECT (SELECT count(*) FROM (SELECT * FROM rp INTERSECT SELECT * FROM sp)) / (SELECT count(*) FROM rp) AS r)"""
 
 
 @query("j06_rare_pattern_overlap", f"WITH {_RARE_SQL} SELECT round(r, 6) AS rare_pattern_overlap FROM rare")

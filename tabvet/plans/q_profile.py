@@ -322,11 +322,10 @@ SELECT 'o_orderdate' AS feature, true AS is_temporal
 UNION ALL SELECT 'o_totalprice', min(o_totalprice) > 1e9 AND max(o_totalprice) < 2e9 FROM o
 UNION ALL SELECT 'o_unix', min(o_unix) > 1e9 AND max(o_unix) < 2e9 FROM o
 UNION ALL SELECT 'o_orderpriority', coalesce(bool_and(TRY_CAST(v AS TIMESTAMP) IS NOT NULL), false)
-  OR coalesce(bool_or(rn <= 10 AND (regexp_matches(v, '^\\d{4}-\\d{2}-\\d{2}') OR regexp_matches(v, '^\\d{2}/\\d{2}/\\d{4}')
-     OR regexp_matches(v, '^\\d{4}/\\d{2}/\\d{2}') OR regexp_matches(v, '^\\d{2}-\\d{2}-\\d{4}'))), false)
-  FROM (SELECT o_orderpriority AS v, row_number() OVER (ORDER BY o_orderkey) AS rn FROM o ORDER BY o_orderkey LIMIT 100)
+  OR coalesce(avg(CAST(regexp_matches(v, '^(\\d{4}-\\d{2}-\\d{2}|\\d{2}/\\d{2}/\\d{4}|\\d{4}/\\d{2}/\\d{2}|\\d{2}-\\d{2}-\\d{4})') AS DOUBLE)) >= 0.1, false)
+  FROM (SELECT o_orderpriority AS v FROM o)
 UNION ALL SELECT 'o_date_text', coalesce(bool_and(TRY_CAST(v AS TIMESTAMP) IS NOT NULL), false)
-  FROM (SELECT o_date_text AS v FROM o ORDER BY o_orderkey LIMIT 100)""")
+  FROM (SELECT o_date_text AS v FROM o)""")
 def b23_temporal_detect(spark, sf):
     o = table(spark, sf, "orders")
     src = o.select("o_orderkey", "o_orderdate", "o_totalprice", "o_orderpriority",
@@ -350,7 +349,7 @@ c AS (SELECT x, m, sum(m) OVER (ORDER BY x) AS cum_m, sum(m) OVER () AS tot_m,
         sum(m * ln(x)) OVER (ORDER BY x) AS cum_l, sum(m * ln(x)) OVER () AS tot_l FROM cc),
 t AS (SELECT x, m, cum_m, tot_m, tot_m - cum_m + m AS n_tail, tot_l - cum_l + m * ln(x) AS sum_ln FROM c),
 cand AS (SELECT x AS x_min, n_tail, tot_m, cum_m - m AS before, sum_ln - n_tail * ln(x) AS s
-         FROM (SELECT * FROM t ORDER BY x DESC LIMIT 1000) WHERE n_tail >= 100 AND n_tail / tot_m >= 0.05),
+         FROM t WHERE n_tail >= 100 AND n_tail / tot_m >= 0.05),
 ca AS (SELECT *, 1 + n_tail / s AS alpha FROM cand WHERE s > 0),
 ks AS (SELECT x_min, alpha, n_tail, max(abs((cu - before) / n_tail - (1 - power(u / x_min, 1 - alpha)))) AS ks
        FROM (SELECT x AS u, cum_m AS cu FROM c) JOIN ca ON u >= x_min GROUP BY x_min, alpha, n_tail),

@@ -8,6 +8,7 @@ the CLI only.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,8 +38,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
 
-    Only when the setting is absent (local tests) a scratch folder is
-    created and registered; on a cluster the configured shared path wins.
+    Where the setting is absent, a local master gets a scratch folder of its
+    own (driver and tasks share its disk); any other master must name a
+    folder that driver and executors share, so this raises.
     """
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if conf:
@@ -47,12 +49,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    require_local(spark.sparkContext.master)
     path = tempfile.mkdtemp(prefix="tabvet-ckpt-")
     spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
     return path
 
 
+def require_local(master: str) -> None:
+    """Raise unless driver and tasks run on one machine."""
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that all machines share (master is {master})")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder (survives
     executor loss, unlike a local checkpoint)."""

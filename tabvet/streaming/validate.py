@@ -104,12 +104,13 @@ def run_update(stream: DataFrame, name: str, keys: list[str] | None = None) -> D
     out, ck = scratch_path(spark, f"{name}-out"), scratch_path(spark, f"{name}-ckpt")
 
     def sink(batch: DataFrame, batch_id: int):
-        batch.withColumn("_batch", F.lit(batch_id)).write.mode("append").parquet(out)
+        # a folder per batch, overwritten when the batch is tried again
+        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     q = stream.writeStream.foreachBatch(sink).option("checkpointLocation", ck).outputMode("update") \
         .trigger(availableNow=True).start()
     q.awaitTermination()
     keys = keys or ["user_id"]
     allv = spark.read.parquet(out)
-    latest = allv.groupBy(*keys).agg(F.max("_batch").alias("_batch"))
-    return allv.join(latest, [*keys, "_batch"]).drop("_batch")
+    latest = allv.groupBy(*keys).agg(F.max("batch").alias("batch"))
+    return allv.join(latest, [*keys, "batch"]).drop("batch")
