@@ -24,6 +24,7 @@ the grade asked for.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -45,41 +46,48 @@ _CLASS = bytes(97 if 97 <= c <= 122 or c >= 128 else 65 if 65 <= c <= 90 else 48
                for c in range(256))
 
 
-def _shape(word: bytes) -> bytes:
-    """Classes of a word's characters, runs collapsed: b"Abc," -> b"Aa,"."""
-    out = bytearray()
-    for c in word.translate(_CLASS):
-        if not out or out[-1] != c:
-            out.append(c)
-    return bytes(out[:16])
+def _shapes(words: list[bytes]) -> list[bytes]:
+    """Classes of each word's characters, runs collapsed: b"Abc," -> b"Aa,"."""
+    flat = re.sub(rb"([^\n])\1+", rb"\1", b"\n".join(words).translate(_CLASS))
+    return [s[:16] for s in flat.split(b"\n")] if words else []
 
 
-def features(texts: pa.Array, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, place, value) of the features of every text, by text."""
+def features(texts: pa.Array, bits: int = BITS, places: np.ndarray | None = None):
+    """(text, place, value) of the features of every text, by text; only
+    those at ``places`` (ascending) where that is given, as indices into it."""
     import xxhash
     words = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
     per = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
     coded = words.flatten().dictionary_encode()
     which = coded.indices.to_numpy(zero_copy_only=False)
-    known = coded.dictionary.cast(pa.large_binary()).to_pylist()
-    real = np.fromiter(map(len, known), np.int64, len(known))[which] > 0
+    real = (pc.binary_length(coded.dictionary).to_numpy(zero_copy_only=False) > 0)[which]
+    owner, which = np.repeat(np.arange(len(per)), per)[real], which[real]
+    count = np.bincount(owner, minlength=len(per))
     mask = (1 << bits) - 1
+
+    def hashed(values: list[bytes], salt: int) -> np.ndarray:
+        return np.fromiter((xxhash.xxh3_64_intdigest(v, salt) & mask for v in values), np.int64, len(values))
+
+    def pairs(use: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """(text, place) keys of the tokens whose distinct word is in ``use``."""
+        if places is not None:
+            found, at = _among(places, place)
+            use, place = use & found, place.copy()
+            place[found] = at
+        mine = use[which]
+        return (owner[mine] << bits) | place[which[mine]]
+
     folded = pc.ascii_lower(coded.dictionary)
-    words_at = []
+    longer = pc.utf8_length(folded).to_numpy(zero_copy_only=False)
+    have = []
     for size in (0, *BEGINNINGS):           # 0: the whole word
         cut = (pc.utf8_slice_codeunits(folded, 0, size) if size else folded).dictionary_encode()
-        place = np.fromiter((xxhash.xxh3_64_intdigest(w, 10 + size) & mask
-                             for w in cut.dictionary.cast(pa.large_binary()).to_pylist()), np.int64, len(cut.dictionary))
-        words_at.append((pc.utf8_length(folded).to_numpy(zero_copy_only=False) > size,
-                         place[cut.indices.to_numpy(zero_copy_only=False)]))
-    shapes: dict[bytes, int] = {}
-    shape_at = np.fromiter((shapes.setdefault(s, xxhash.xxh3_64_intdigest(s, 2) & mask) for s in map(_shape, known)),
-                           np.int64, len(known))
-    owner, which = np.repeat(np.arange(len(per)), per)[real], which[real]
-    count = np.bincount(owner, minlength=len(per))
-    have = [np.unique((owner[longer[which]] << bits) | at[which][longer[which]]) for longer, at in words_at]
+        place = hashed(cut.dictionary.cast(pa.large_binary()).to_pylist(), 10 + size)
+        have.append(np.unique(pairs(longer > size, place[cut.indices.to_numpy(zero_copy_only=False)])))
     have = np.unique(np.concatenate(have))
-    shaped, n = np.unique((owner << bits) | shape_at[which], return_counts=True)
+    shapes = pa.array(_shapes(coded.dictionary.cast(pa.large_binary()).to_pylist()), pa.large_binary()).dictionary_encode()
+    place = hashed(shapes.dictionary.to_pylist(), 2)[shapes.indices.to_numpy(zero_copy_only=False)]
+    shaped, n = np.unique(pairs(np.ones(len(place), bool), place), return_counts=True)
     text = np.concatenate([have >> bits, shaped >> bits])
     place = np.concatenate([have & mask, shaped & mask])
     value = np.concatenate([np.ones(len(have)), SHAPE_SCALE * n / np.maximum(count[shaped >> bits], 1)])
@@ -95,9 +103,8 @@ class Model:
     bits: int = BITS
 
     def score(self, texts: pa.Array) -> np.ndarray:
-        text, place, value = features(texts, self.bits)
-        counts, at = _among(self.places, place)
-        return np.bincount(text[counts], self.weights[at] * value[counts], minlength=len(texts)).astype(np.float64)
+        text, at, value = features(texts, self.bits, self.places)
+        return np.bincount(text, self.weights[at] * value, minlength=len(texts)).astype(np.float64)
 
     def tails(self, score: np.ndarray) -> np.ndarray:
         """P(grade > k) per text and k."""
