@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabvet.session import cut_lineage
 from tabvet.operators import sequence as S
 from tabvet.operators.profile import quantiles
 
@@ -89,22 +90,48 @@ def best_so_far(log: DataFrame, order: list[str] = ORDER, mode: str = "min",
     return d.withColumn("is_best", F.col("_prev_best").isNull() | better).drop("_prev_best", "_r")
 
 
-def early_stop_point(log: DataFrame, patience: int = 10, min_delta: float = 1e-4, order: list[str] = ORDER,
-                     rows_per_chunk: int = S.ROWS_PER_CHUNK) -> DataFrame:
-    """L7 (re-aimed): a reading improves when it is below the running
-    minimum of all earlier readings by more than ``min_delta``; the stop
-    point is the first position that is ``patience`` readings past the
-    last improvement.  The running minimum replaces the callback's
-    stateful best (identical when min_delta = 0), which makes the scan an
-    associative prefix computation."""
-    d = S.with_prefix(log, ["metric"], order, "value", "_prev_min", "min", inclusive=False,
+def improvements(log: DataFrame, min_delta: float = 1e-4, mode: str = "min", order: list[str] = ORDER,
+                 rows_per_chunk: int = S.ROWS_PER_CHUNK) -> DataFrame:
+    """Readings (``_r`` positions and signed values ``_v`` added) that improve
+    on the best of a metric, the best moving only when a reading beats it by
+    more than ``min_delta``.  Only a record low can do so; each record points
+    to the first later one below it minus the delta (the highest such value,
+    as records fall), and the records that the first reading reaches are found
+    by doubling the pointers."""
+    signed = F.col("value") if mode == "min" else -F.col("value")
+    d = S.with_prefix(log.withColumn("_v", signed), ["metric"], order, "_v", "_low", "min", inclusive=False,
                       rows_per_chunk=rows_per_chunk)
-    imp = F.col("_prev_min").isNull() | (F.col("value") < F.col("_prev_min") - min_delta)
-    d = d.withColumn("_imp_r", F.when(imp, F.col("_r")).otherwise(F.lit(0)))
+    records = cut_lineage(d.filter(F.col("_low").isNull() | (F.col("_v") < F.col("_low")))
+                          .select("metric", F.col("_r").alias("r"), F.col("_v").alias("v")))
+    both = records.select("metric", "r", F.col("v").alias("at"), F.lit(1).alias("kind"), F.col("v").alias("own")) \
+        .unionByName(records.select("metric", "r", (F.col("v") - min_delta).alias("at"), F.lit(0).alias("kind"),
+                                    F.lit(None).cast("double").alias("own")))
+    below = S.with_prefix(both, ["metric"], ["at", "kind", "r"], "own", "to", "max", inclusive=False,
+                          rows_per_chunk=rows_per_chunk).filter("kind = 0")
+    jump = cut_lineage(below.select("metric", "r", "to").join(records, ["metric", "r"]).select("metric", "v", "to")
+                       .filter(F.col("to").isNotNull()))
+    reached = records.filter("r = 1").select("metric", "v")
+    while True:
+        further = reached.join(jump, ["metric", "v"]).select("metric", F.col("to").alias("v"))
+        if further.isEmpty():
+            break
+        reached = cut_lineage(reached.unionByName(further).distinct())
+        ahead = jump.select("metric", F.col("v").alias("to"), F.col("to").alias("next"))
+        jump = cut_lineage(jump.join(ahead, ["metric", "to"]).select("metric", "v", F.col("next").alias("to")))
+    return reached.join(records, ["metric", "v"]).select("metric", F.col("r").alias("_r"), F.col("v").alias("_v"))
+
+
+def early_stop_point(log: DataFrame, patience: int = 10, min_delta: float = 1e-4, order: list[str] = ORDER,
+                     mode: str = "min", rows_per_chunk: int = S.ROWS_PER_CHUNK) -> DataFrame:
+    """Per metric the first position that is ``patience`` readings past
+    the last improvement (``improvements``; mode ``max`` for growing metrics);
+    metrics that never stop have no row."""
+    better = improvements(log, min_delta, mode, order, rows_per_chunk).select("metric", "_r", F.lit(1).alias("_hit"))
+    d = S.row_index(log, ["metric"], order, rows_per_chunk).join(better, ["metric", "_r"], "left")
+    d = d.withColumn("_imp_r", F.when(F.col("_hit").isNotNull(), F.col("_r")).otherwise(F.lit(0))).drop("_hit")
     d = S.with_prefix(d.drop("_r"), ["metric"], order, "_imp_r", "_last_imp", "max", inclusive=True,
                       rows_per_chunk=rows_per_chunk)
-    waited = F.col("_r") - F.col("_last_imp")
-    hits = d.filter(waited >= patience)
+    hits = d.filter(F.col("_r") - F.col("_last_imp") >= patience)
     return hits.groupBy("metric").agg(F.min("_r").alias("stop_position"),
                                       F.min_by(F.struct(*order), "_r").alias("stop_at"))
 
@@ -130,13 +157,15 @@ def export(wide: DataFrame, ts_col: str, metrics: list[str]) -> DataFrame:
 
 def retention(log: DataFrame, max_readings: int = 10_000, keep: int = 5_000, order: list[str] = ORDER,
               rows_per_chunk: int = S.ROWS_PER_CHUNK) -> DataFrame:
-    """A metric with more than ``max_readings`` keeps its newest
-    ``keep``; smaller metrics keep everything."""
+    """What a log keeps that is cut back to its newest ``keep`` readings
+    whenever it passes ``max_readings``: it then grows again, so a metric of
+    n > max_readings readings holds the newest
+    keep + (n - max_readings - 1) mod (max_readings + 1 - keep)."""
     d = S.row_index(log, ["metric"], order, rows_per_chunk)
     sizes = d.groupBy("metric").agg(F.count(F.lit(1)).alias("_n"))
-    j = d.join(sizes, "metric")
-    from_end = F.col("_n") - F.col("_r") + 1
-    return j.filter((F.col("_n") <= max_readings) | (from_end <= keep)).drop("_n", "_r")
+    held = F.when(F.col("_n") <= max_readings, F.col("_n")).otherwise(
+        keep + (F.col("_n") - max_readings - 1) % (max_readings + 1 - keep))
+    return d.join(sizes, "metric").filter(F.col("_n") - F.col("_r") < held).drop("_n", "_r")
 
 
 def detection_stats(log: DataFrame, window: int = 50, order: list[str] = ORDER,

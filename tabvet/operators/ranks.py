@@ -46,6 +46,26 @@ def order_key(df: DataFrame, value_col: str) -> F.Column:
     return c.cast("double")
 
 
+#: Distinct texts per group that text bounds are taken from.
+TEXT_SAMPLE = 16_384
+
+
+def _text_bounds(values: DataFrame, group_cols: list[str], value_col: str, n_buckets: int) -> DataFrame:
+    """(group..., _bounds): texts that cut each group's distinct values into
+    ``n_buckets`` ranges of like size, from about TEXT_SAMPLE of them picked
+    by hash.  Whole texts are compared, so a common beginning does no harm."""
+    sizes = values.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_n"))
+    place = F.pmod(F.xxhash64(value_col), F.lit(1 << 40)) / float(1 << 40)
+    picked = (values.join(F.broadcast(sizes), group_cols).filter(place * F.col("_n") < TEXT_SAMPLE)
+              .groupBy(*group_cols).agg(F.array_sort(F.collect_list(value_col)).alias("_s")))
+    cut = F.transform(F.sequence(F.lit(1), F.lit(n_buckets - 1)),
+                      lambda i: F.get("_s", F.floor(i * F.size("_s") / n_buckets).cast("int")))
+    cuts = picked.select(*group_cols, F.array_distinct(F.filter(cut, lambda x: x.isNotNull())).alias("_bounds"))
+    # a group too small to have been picked from is one bucket
+    return sizes.join(cuts, group_cols, "left").select(
+        *group_cols, F.coalesce("_bounds", F.array().cast("array<string>")).alias("_bounds"))
+
+
 def value_counts(df: DataFrame, group_cols: list[str], value_col: str) -> DataFrame:
     """(group..., value, cnt) with NULL values dropped (map-side combined)."""
     return (df.filter(F.col(value_col).isNotNull())
@@ -63,10 +83,14 @@ def cumulative(counts: DataFrame, group_cols: list[str], value_col: str,
     g = list(group_cols)
     if not g:
         counts, g = counts.withColumn("_all", F.lit(0)), ["_all"]
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    keyed = counts.withColumn("_okey", order_key(counts, value_col))
-    bounds = (keyed.groupBy(*g)
-              .agg(F.array_distinct(F.percentile_approx("_okey", probs, 10000)).alias("_bounds")))
+    if isinstance(counts.schema[value_col].dataType, T.StringType):
+        keyed = counts.withColumn("_okey", F.col(f"`{value_col}`"))
+        bounds = _text_bounds(keyed, g, "_okey", n_buckets)
+    else:
+        probs = [i / n_buckets for i in range(1, n_buckets)]
+        keyed = counts.withColumn("_okey", order_key(counts, value_col))
+        bounds = (keyed.groupBy(*g)
+                  .agg(F.array_distinct(F.percentile_approx("_okey", probs, 10000)).alias("_bounds")))
     # one row per group: bounded by the number of groups (columns) -> broadcast
     b = keyed.join(F.broadcast(bounds), g)
     b = b.withColumn("_bucket", _bucket_expr("_bounds", "_okey")).drop("_bounds", "_okey")

@@ -198,15 +198,14 @@ def validate_and_heal(df: DataFrame, reference: DataFrame, rules, key: str, heal
                       strategy: str = "aggressive", jitter: float = 0.0) -> DataFrame:
     """H8: hard/soft rules (E23) -> contextual healing of the first healable
     variable of each violated rule (G9, one-hot winner G10) -> group repair
-    (G7) -> likelihood (H4), entropy (H5), confidence (H6) -> count clamp
+    of violating rows (G7) -> likelihood (H4), entropy (H5), confidence (H6) -> count clamp
     (G12) -> triage (H7).  ``aggressive`` drops discarded rows,
     ``conservative`` keeps their original values.  Output: the table's
     columns plus the audit trail (H10): status, confidence, entropy,
     violations, corrections."""
     cols = list(df.columns)
     checked = rules.check(df).withColumnRenamed("violations", "_viol0").withColumnRenamed("soft_score", "_soft0")
-    orig = checked.select(*[_c(c).alias(f"_orig_{c}") for c in cols], key)
-    healed = checked
+    healed = checked.select("*", *[_c(c).alias(f"_orig_{c}") for c in cols if c != key])
     for rule_name, variables in heal_vars.items():
         viol = F.array_contains(F.col("_viol0"), rule_name)
         target = next((v for v in variables if v in df.columns and v in reference.columns), None)
@@ -225,15 +224,7 @@ def validate_and_heal(df: DataFrame, reference: DataFrame, rules, key: str, heal
         F.array().cast("array<string>")
     healed = healed.withColumn("corrections", corrections).drop(*corr_cols)
     if groups:
-        base = healed.select(*cols)
-        repaired = HL.repair_groups(base, groups, reference)
-        extra = [c for c in healed.columns if c not in cols]
-        healed = repaired.withColumn("_rid", F.col(key)).join(healed.select(F.col(key).alias("_rid"), *extra), "_rid") \
-            .drop("_rid")
-    after = rules.check(healed.select(*cols))
-    healed = healed.join(after.select(F.col(key).alias("_k2"), F.col("violations").alias("_viol1"),
-                                      F.col("soft_score").alias("_soft1")),
-                         healed[key] == F.col("_k2")).drop("_k2")
+        healed = HL.repair_groups(healed, groups, reference, only=F.size("_viol0") > 0)
     scored = bayes.score(healed, "_bayes")
     scored = entropy.score(scored, "entropy_score")
     ncorr = F.size("corrections")
@@ -241,10 +232,9 @@ def validate_and_heal(df: DataFrame, reference: DataFrame, rules, key: str, heal
     scored = scored.withColumn("confidence", conf).withColumn("status", triage(F.col("confidence"), ncorr, threshold))
     if count_like:
         scored = HL.nonnegative_integer(scored, [c for c in count_like if c in cols])
-    j = scored.join(orig, key)
     discarded = F.col("status") == "discarded"
     out_cols = [F.when(discarded, F.col(f"_orig_{c}")).otherwise(_c(c)).alias(c) if c != key else _c(c) for c in cols]
-    res = j.select(*out_cols, "status", "confidence", "entropy_score", F.col("_viol0").alias("violations"),
+    res = scored.select(*out_cols, "status", "confidence", "entropy_score", F.col("_viol0").alias("violations"),
                    "corrections")
     if strategy == "aggressive":
         res = res.filter(~discarded)

@@ -22,7 +22,7 @@ ROWS_PER_CHUNK = 1_000_000
 
 def _n_buckets(df: DataFrame, rows_per_chunk: int) -> int:
     n = df.count()
-    return int(max(1, min(8192, -(-n // rows_per_chunk))))
+    return int(max(1, -(-n // rows_per_chunk)))
 
 
 def row_index(df: DataFrame, entity: list[str], order: list[str],

@@ -36,6 +36,18 @@ def d31_fit_transform(spark, sf):
                                       else F.col(c) for c in out.columns if c != "o_orderkey"])
 
 
+@query("d31_inverse_transform", """
+SELECT o_orderkey, o_orderstatus, o_orderpriority, round(CAST(o_totalprice AS DOUBLE), 2) AS o_totalprice,
+  round(CAST(o_custkey AS DOUBLE), 2) AS o_custkey, make_timestamp(year(o_orderdate), month(o_orderdate), least(day(o_orderdate), 28), hour(o_orderdate), 0, 0) AS o_orderdate
+FROM orders""")
+def d31_inverse_transform(spark, sf):
+    o = table(spark, sf, "orders")
+    te = E.TableEncoder.infer(o, D31_COLS).fit(o)
+    back = te.inverse_transform(te.transform(o, keep=["o_orderkey"]), keep=["o_orderkey"])
+    return back.select("o_orderkey", "o_orderstatus", "o_orderpriority", r6("o_totalprice", 2).alias("o_totalprice"),
+                       r6("o_custkey", 2).alias("o_custkey"), F.date_trunc("hour", "o_orderdate").cast("timestamp_ntz").alias("o_orderdate"))
+
+
 @query("d28_prepare")
 def d28_prepare(spark, sf):
     prepared, _ = E.prepare(_orders_x(spark, sf), ORD_COLS[1:], "o_orderkey")

@@ -188,15 +188,25 @@ def l06_stagnation_flags(spark, sf):
     return d.select("metric", "event_id", r6("rolling_var", 2).alias("rolling_var"), "stagnating")
 
 
-@query("l07_early_stop_point", f"""WITH {_POS},
-m AS (SELECT *, min(value) OVER (PARTITION BY metric ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pm FROM p),
-i AS (SELECT *, CASE WHEN pm IS NULL OR value < pm - 1e-4 THEN r ELSE 0 END AS imp FROM m),
-l AS (SELECT *, max(imp) OVER (PARTITION BY metric ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS li FROM i)
-SELECT metric, min(r) AS stop_position FROM l WHERE r - li >= 10 GROUP BY metric""")
+def _stop_sql(mode):
+    new = "p.value < s.best - 1e-4" if mode == "min" else "p.value > s.best + 1e-4"
+    return f"""WITH RECURSIVE {_POS},
+s AS (SELECT metric, r, value AS best, 0 AS waited FROM p WHERE r = 1
+      UNION ALL SELECT p.metric, p.r, CASE WHEN {new} THEN p.value ELSE s.best END,
+        CASE WHEN {new} THEN 0 ELSE s.waited + 1 END FROM s JOIN p ON p.metric = s.metric AND p.r = s.r + 1)
+SELECT metric, min(r) AS stop_position FROM s WHERE waited >= 10 GROUP BY metric"""
+
+
+@query("l07_early_stop_point", _stop_sql("min"))
 def l07_early_stop_point(spark, sf):
     return ML.early_stop_point(_log(spark, sf), 10, 1e-4).select("metric", "stop_position")
 
 
+@query("l07_early_stop_point_max", _stop_sql("max"))
+def l07_early_stop_point_max(spark, sf):
+    return ML.early_stop_point(_log(spark, sf), 10, 1e-4, mode="max").select("metric", "stop_position")
+
+
 @query("l08_ratio_alarm", """
 WITH w AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS bucket_start, avg(value) FILTER (WHERE event_type = 'click') AS a,
              avg(value) FILTER (WHERE event_type = 'view') AS b FROM events WHERE event_type IN ('click', 'view') GROUP BY 1)
@@ -228,11 +238,11 @@ def l13_append_readings(spark, sf):
     return appended.groupBy("metric").agg(F.count(F.lit(1)).alias("readings"))
 
 
-@query("l14_retention", f"""WITH {_POS}
-SELECT metric, CAST(count(*) AS BIGINT) AS kept, min(event_id) AS oldest_kept FROM p WHERE n <= 1000 OR n - r + 1 <= 500 GROUP BY metric""")
+@query("l14_retention", f"""WITH {_POS},
+k AS (SELECT *, CASE WHEN n <= 10000 THEN n ELSE 5000 + (n - 10001) % 5001 END AS held FROM p)
+SELECT metric, CAST(count(*) AS BIGINT) AS kept, min(event_id) AS oldest_kept FROM k WHERE n - r < held GROUP BY metric""")
 def l14_retention(spark, sf):
-    # thresholds scaled to the table: above 1000 readings keep the newest 500
-    kept = ML.retention(_log(spark, sf), max_readings=1000, keep=500)
+    kept = ML.retention(_log(spark, sf))
     return kept.groupBy("metric").agg(F.count(F.lit(1)).alias("kept"), F.min("event_id").alias("oldest_kept"))
 
 
