@@ -17,10 +17,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabvet.functions.hashing import hu
 from tabvet.operators.profile import kolmogorov_p, to_long
-from tabvet.operators.ranks import cumulative
+from tabvet.operators.ranks import _bucket_expr, cumulative
 from tabvet.operators.relations import chi2_sf, correlation_matrix
+from tabvet.session import cut_lineage
 
 REAL, SYNTH = 0, 1
 
@@ -278,49 +278,74 @@ def matrix_similarity(pm: DataFrame) -> DataFrame:
                  (1.0 - F.sqrt(F.sum(d * d)) / F.sqrt(2.0 * F.count(F.lit(1)))).alias("frobenius_similarity"))
 
 
-def kendall_tau_b(df: DataFrame, a: str, b: str) -> DataFrame:
-    """I17 for discrete columns: τ-b from the contingency table of distinct
-    (x, y) pairs with 2-D prefix sums over the dense value grid (windows on
-    the grid, never a row self-join); requires a bounded grid (the number
-    of distinct x times distinct y is checked)."""
-    d = df.select(F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")).dropna()
-    cells = d.groupBy("x", "y").agg(F.count(F.lit(1)).alias("c"))
-    xs = d.select("x").distinct()
-    ys = d.select("y").distinct()
-    nx, ny = xs.count(), ys.count()
-    if nx * ny > 4_000_000:
-        raise ValueError("kendall_tau_b: value grid too large; bin the columns first")
-    xi = xs.select("x", F.row_number().over(Window.orderBy("x")).alias("i"))
-    yi = ys.select("y", F.row_number().over(Window.orderBy("y")).alias("j"))
-    # dense (i, j) grid generated per x value (bounded: nx * ny checked above)
-    grid = xi.withColumn("j", F.explode(F.sequence(F.lit(1), F.lit(int(ny))))).join(F.broadcast(yi), "j")
-    g = grid.join(cells, ["x", "y"], "left").fillna(0, ["c"])
-    # S(i, j) = Σ_{i' <= i, j' <= j} c : running sums along j then i
-    wj = Window.partitionBy("i").orderBy("j").rowsBetween(Window.unboundedPreceding, 0)
-    g = g.withColumn("row", F.sum("c").over(wj))
-    wi = Window.partitionBy("j").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    g = g.withColumn("S", F.sum("row").over(wi))
-    # column totals up to i (all j) and row totals up to j (all i)
-    colsum = g.groupBy("i").agg(F.sum("c").alias("ci"))
-    colcum = colsum.select("i", F.sum("ci").over(Window.orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
-                           .alias("Ci"))
-    s_prev = g.select(F.col("i").alias("ip"), F.col("j").alias("jp"), F.col("S").alias("Sp"))
-    g2 = g.join(s_prev, (g["i"] - 1 == s_prev["ip"]) & (g["j"] - 1 == s_prev["jp"]), "left") \
-        .withColumn("ll", F.coalesce("Sp", F.lit(0)))
-    # cells with x' < x and y' > y: (all y, x' < x) - (y' <= y, x' < x)
-    s_left = g.select(F.col("i").alias("il"), F.col("j").alias("jl"), F.col("S").alias("Sl"))
-    g3 = g2.join(s_left, (g2["i"] - 1 == s_left["il"]) & (g2["j"] == s_left["jl"]), "left") \
-        .join(colcum.select(F.col("i").alias("ic"), "Ci"), g2["i"] - 1 == F.col("ic"), "left")
-    ul = F.coalesce(F.col("Ci"), F.lit(0)) - F.coalesce(F.col("Sl"), F.lit(0))
-    agg = g3.agg(F.sum(F.col("c") * F.col("ll")).alias("C"), F.sum(F.col("c") * ul).alias("D"),
-                 F.sum("c").alias("n"))
-    tx = cells.groupBy("x").agg(F.sum("c").alias("t")).agg(F.sum(F.col("t") * (F.col("t") - 1) / 2).alias("n1"))
-    ty = cells.groupBy("y").agg(F.sum("c").alias("t")).agg(F.sum(F.col("t") * (F.col("t") - 1) / 2).alias("n2"))
-    j = agg.withColumn("_k", F.lit(1)).join(tx.withColumn("_k", F.lit(1)), "_k") \
-        .join(ty.withColumn("_k", F.lit(1)), "_k")
+#: Weighted value pairs that one task sorts at most, as long as there are at most KENDALL_RANGES of them a column.
+KENDALL_CELLS = 20_000
+KENDALL_RANGES = 2048
+
+
+def _signed_pairs(x: np.ndarray, y: np.ndarray, c: np.ndarray) -> float:
+    """Σ c_i c_j sign(x_j - x_i) sign(y_j - y_i) over all pairs: bit by bit of
+    the ranks of x, the upper half of each block is looked up in its lower
+    half sorted by y."""
+    xr, yr = np.unique(x, return_inverse=True)[1], np.unique(y, return_inverse=True)[1]
+    span, total = int(yr.max()) + 1, 0.0
+    for bit in range(int(xr.max()).bit_length()):
+        block, upper = xr >> (bit + 1), ((xr >> bit) & 1).astype(bool)
+        low = block[~upper] * span + yr[~upper]
+        order = np.argsort(low, kind="stable")
+        low, upto = low[order], np.concatenate([[0.0], np.cumsum(c[~upper][order])])
+        first = block[upper] * span
+        at = [upto[np.searchsorted(low, k, side)] for k, side in (
+            (first, "left"), (first + yr[upper], "left"), (first + yr[upper], "right"), (first + span, "left"))]
+        total += float((c[upper] * ((at[1] - at[0]) - (at[3] - at[2]))).sum())
+    return total
+
+
+def _signed_group(pdf: pd.DataFrame) -> pd.DataFrame:
+    s = _signed_pairs(pdf["x"].to_numpy(), pdf["y"].to_numpy(), pdf["c"].to_numpy(float))
+    return pd.DataFrame({"pair": pdf["pair"].iloc[:1].to_numpy(), "s": [s]})
+
+
+def kendall_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
+    """τ-b of every two columns (col1, col2, kendall_tau_b), rows with a
+    NULL in either left out.  Distinct (x, y) pairs with their counts are cut
+    into quantile ranges of x and of y.  Concordant minus discordant pairs are
+    those within one x range, those within one y range but in different x
+    ranges, and those in different ranges of both, which need the ranges'
+    totals only."""
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
+    each = F.array(*[F.struct(F.lit(k).alias("pair"), F.col(f"`{a}`").cast("double").alias("x"),
+                              F.col(f"`{b}`").cast("double").alias("y")) for k, (a, b) in enumerate(pairs)])
+    cells = cut_lineage(df.select(F.explode(each).alias("p")).select("p.*").dropna()
+                        .groupBy("pair", "x", "y").agg(F.count(F.lit(1)).alias("c")))
+    ranges = max(1, min(KENDALL_RANGES, -(-cells.count() // (KENDALL_CELLS * len(pairs)))))
+    probs = [i / ranges for i in range(1, ranges)] or [0.5]
+    bounds = cells.groupBy("pair").agg(*[F.array_distinct(F.percentile_approx(v, probs, 10_000)).alias(f"_{v}")
+                                         for v in "xy"])
+    cut = cells.join(F.broadcast(bounds), "pair").select(
+        "pair", "x", "y", "c", *[(_bucket_expr(f"_{v}", v) if ranges > 1 else F.lit(0)).alias(f"b{v}") for v in "xy"])
+    schema = "pair int, s double"
+    signed = cut.groupBy("pair", "bx").applyInPandas(lambda p: _signed_group(p), schema)
+    if ranges > 1:
+        across = cut.groupBy("pair", "bx", "by", "y").agg(F.sum("c").alias("c"))
+        same_y = across.select("pair", "by", F.col("bx").alias("x"), "y", "c").groupBy("pair", "by").applyInPandas(
+            lambda p: _signed_group(p), schema)
+        totals = across.groupBy("pair", F.col("bx").alias("x"), F.col("by").alias("y")).agg(F.sum("c").alias("c"))
+        signed = signed.unionByName(same_y).unionByName(totals.groupBy("pair").applyInPandas(
+            lambda p: _signed_group(p), schema))
+    tie = F.sum(F.col("c") * (F.col("c") - 1) / 2)
+    tx = cells.groupBy("pair", "x").agg(F.sum("c").alias("c")).groupBy("pair").agg(tie.alias("n1"))
+    ty = cells.groupBy("pair", "y").agg(F.sum("c").alias("c")).groupBy("pair").agg(tie.alias("n2"))
     n0 = F.col("n") * (F.col("n") - 1) / 2
-    tau = (F.col("C") - F.col("D")) / F.sqrt((n0 - F.col("n1")) * (n0 - F.col("n2")))
-    return j.select(F.lit(a).alias("col1"), F.lit(b).alias("col2"), tau.alias("kendall_tau_b"))
+    names = df.sparkSession.createDataFrame([(k, a, b) for k, (a, b) in enumerate(pairs)], "pair int, col1 string, col2 string")
+    return (names.join(signed.groupBy("pair").agg(F.sum("s").alias("s")), "pair")
+            .join(cells.groupBy("pair").agg(F.sum("c").alias("n")), "pair").join(tx, "pair").join(ty, "pair")
+            .select("col1", "col2", (F.col("s") / F.sqrt((n0 - F.col("n1")) * (n0 - F.col("n2")))).alias("kendall_tau_b")))
+
+
+def kendall_tau_b(df: DataFrame, a: str, b: str) -> DataFrame:
+    """I17 for one pair of columns."""
+    return kendall_matrix(df, [a, b])
 
 
 # ---------------------------------------------------------------------------

@@ -276,6 +276,25 @@ def i17_kendall_tau_b(spark, sf):
     return k.select("col1", "col2", r6("kendall_tau_b").alias("kendall_tau_b"))
 
 
+def _tau_sql(a, b):
+    return f"""SELECT '{a}' AS col1, '{b}' AS col2, round((cc - dd) / sqrt((n * (n - 1) / 2 - n1) * (n * (n - 1) / 2 - n2)), 6) AS kendall_tau_b
+FROM (WITH cells AS (SELECT CAST({a} AS DOUBLE) AS x, CAST({b} AS DOUBLE) AS y, count(*) AS c FROM lineitem GROUP BY 1, 2)
+  SELECT (SELECT sum(CASE WHEN p.y < q.y THEN p.c * q.c ELSE 0 END) FROM cells p JOIN cells q ON p.x < q.x) AS cc,
+    (SELECT sum(CASE WHEN p.y > q.y THEN p.c * q.c ELSE 0 END) FROM cells p JOIN cells q ON p.x < q.x) AS dd,
+    (SELECT sum(c) FROM cells) AS n, (SELECT sum(t * (t - 1) / 2) FROM (SELECT sum(c) AS t FROM cells GROUP BY x)) AS n1,
+    (SELECT sum(t * (t - 1) / 2) FROM (SELECT sum(c) AS t FROM cells GROUP BY y)) AS n2)"""
+
+
+_TAU_COLS = ["l_quantity", "l_linenumber", "l_discount", "l_tax"]
+
+
+@query("i17_kendall_matrix", "\nUNION ALL ".join(
+    _tau_sql(a, b) for i, a in enumerate(_TAU_COLS) for b in _TAU_COLS[i + 1:]))
+def i17_kendall_matrix(spark, sf):
+    k = FI.kendall_matrix(table(spark, sf, "lineitem"), _TAU_COLS)
+    return k.select("col1", "col2", r6("kendall_tau_b").alias("kendall_tau_b"))
+
+
 _MSIM_SQL = f"""{_PAIR_L},
 a AS ({_corr_long_sql('rl', NUM_L, 'r_real')}), b AS ({_corr_long_sql('sl', NUM_L, 'r_synth')}),
 v AS (SELECT a.col1, a.col2, r_real, r_synth FROM a JOIN b USING (col1, col2)),

@@ -108,3 +108,21 @@ def test_repair_only_where_asked(spark):
     df = spark.createDataFrame([(1, 0.2, 0.9), (2, 0.2, 0.9)], "id long, s_a double, s_b double")
     got = heal.repair_groups(df, [heal.Group("onehot", ("s_a", "s_b"))], only=F.col("id") == 1).orderBy("id").collect()
     assert [tuple(r) for r in got] == [(1, 0.0, 1.0), (2, 0.2, 0.9)]
+
+
+def test_kendall_of_continuous_columns(spark, monkeypatch):
+    import numpy as np
+    import pandas as pd
+
+    from tabvet.operators import fidelity
+    r = np.random.default_rng(0)
+    x = r.normal(size=700)
+    df = pd.DataFrame({"a": x, "b": x + r.normal(size=700), "c": np.round(x), "d": r.integers(0, 4, 700).astype(float)})
+    monkeypatch.setattr(fidelity, "KENDALL_CELLS", 40)          # many ranges
+    got = {(k["col1"], k["col2"]): k["kendall_tau_b"] for k in
+           fidelity.kendall_matrix(spark.createDataFrame(df), list("abcd")).collect()}
+    for (i, j), tau in got.items():
+        u, v = (np.sign(df[k].to_numpy()[:, None] - df[k].to_numpy()[None, :]) for k in (i, j))
+        want = (u * v).sum() / np.sqrt((u != 0).sum() * (v != 0).sum())
+        assert abs(tau - want) < 1e-12
+    assert len(got) == 6
