@@ -270,7 +270,7 @@ def links(reps: DataFrame, docs: DataFrame, words: int = WORDS, threshold: float
     return straight.unionByName(stored(crossed, "crossed"))
 
 
-#: Ids of bucketed texts are broadcast up to this many (8 bytes each), joined by shuffle beyond.
+#: Ids of bucketed or dropped texts are broadcast up to this many (8 bytes each), joined by shuffle beyond.
 BROADCAST_IDS = 1_000_000
 
 
@@ -292,7 +292,9 @@ def classes(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD) -
 def keep(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` without those that a smaller id's class holds."""
     found = stored(classes(docs, words, threshold), "classes")
-    gone = found.filter("NOT kept").select("doc_id").distinct()
+    gone = stored(found.filter("NOT kept").select("doc_id").distinct(), "gone")
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
     left = docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
     again = found.filter("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1")
     return left if again.isEmpty() else left.filter("doc_id IS NULL").unionByName(
