@@ -236,7 +236,8 @@ def links(reps: DataFrame, docs: DataFrame, words: int = WORDS, threshold: float
     texts = stored(bodies.join(F.broadcast(wanted) if small else wanted, "doc", "left_semi")
                    .dropDuplicates(["doc"]), "near-texts")
 
-    pages = pairs.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / (2 * tile)).cast("int").alias("pages"))
+    # stored, so that a small table is broadcast and a hot pivot's rows stay where they are
+    pages = stored(pairs.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / (2 * tile)).cast("int").alias("pages")), "pages")
     members = (pairs.join(pages, "pivot").join(texts, "doc")
                .select("pivot", F.pmod(F.xxhash64("doc"), F.col("pages")).cast("int").alias("page"),
                        F.lit(True).alias("member"), "doc", "text"))
@@ -250,11 +251,11 @@ def links(reps: DataFrame, docs: DataFrame, words: int = WORDS, threshold: float
     straight = measured.filter(linked).select(F.col("pivot").alias("a"), F.col("doc").alias("b"))
 
     # groups with members near their pivot that it does not link
-    sizes = (measured.filter(F.col("similarity") >= near).groupBy("pivot")
+    sizes = stored(measured.filter(F.col("similarity") >= near).groupBy("pivot")
              .agg(F.sum(F.when(linked, 0).otherwise(1)).alias("loose"), F.sum(F.when(linked, 1).otherwise(0)).alias("tight"))
              .filter("loose > 0 AND loose + tight > 1")
              .select("pivot", F.ceil(F.col("loose") / tile).cast("int").alias("pu"),
-                     F.ceil(F.col("tight") / tile).cast("int").alias("pl")))
+                     F.ceil(F.col("tight") / tile).cast("int").alias("pl")), "tile-sizes")
     around = (measured.filter(F.col("similarity") >= near).join(sizes, "pivot")
               .select("pivot", "doc", linked.alias("linked"), "pu", "pl",
                       F.when(linked, F.col("pu") + F.pmod(F.xxhash64("doc"), F.greatest("pl", F.lit(1))))
