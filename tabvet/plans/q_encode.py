@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tabvet.functions.hashing import hu_sql
 from tabvet.operators import encode as E
 from tabvet.operators import typing as TY
+from tabvet.functions.normal import phi_inv_sql
 from tabvet.plans.registry import query, r6
 from tabvet.session import table
 from tabvet.sources.fixtures import CUSTOMER_NULLS_SQL, customer_nulls
@@ -252,7 +253,19 @@ def d20_dummies(spark, sf):
     return c.select("c_custkey", *[v.alias(k) for k, v in d.items()])
 
 
-@query("d21_quantile_gaussian")
+def _quantile_gauss_sql():
+    probs = ", ".join(repr(i / 999) for i in range(1000))
+    return f"""q AS (SELECT quantile_cont(CAST(o_totalprice AS DOUBLE), [{probs}]) AS q FROM orders),
+x AS (SELECT o_orderkey, CAST(o_totalprice AS DOUBLE) AS x, q, len(list_filter(q, lambda v: v < CAST(o_totalprice AS DOUBLE))) AS l,
+        len(list_filter(q, lambda v: v <= CAST(o_totalprice AS DOUBLE))) - 1 AS r FROM orders, q),
+y AS (SELECT o_orderkey, x, CASE WHEN x - 1e-7 < q[1] THEN 0.0 WHEN x + 1e-7 > q[1000] THEN 1.0
+        WHEN l <= r THEN (l / 999.0 + r / 999.0) / 2.0
+        ELSE r / 999.0 + (x - q[r + 1]) * (l / 999.0 - r / 999.0) / (q[l + 1] - q[r + 1]) END AS y FROM x),
+g AS (SELECT o_orderkey, x, CASE WHEN y <= 0 THEN -5.199337582187471 WHEN y >= 1 THEN 5.199337582187471
+        ELSE least(greatest({phi_inv_sql('y')}, -5.199337582187471), 5.199337582187471) END AS g FROM y)"""
+
+
+@query("d21_quantile_gaussian", f"WITH {_quantile_gauss_sql()} SELECT o_orderkey, round(g, 6) AS o_totalprice_gauss FROM g")
 def d21_quantile_gaussian(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
     qg = E.QuantileGaussian("o_totalprice").fit(o)

@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
+from tabvet.functions.hashing import hu_sql
 from tabvet.operators import heal as HL
 from tabvet.operators import integrity as I
 from tabvet.operators import score as SC
@@ -231,7 +232,15 @@ def g07_repair_groups(spark, sf):
     return out.select("event_id", *[r6(c).alias(c) for c in out.columns if c != "event_id"])
 
 
-@query("g08_heal_batch")
+@query("g08_heal_batch", f"""WITH {_OH_SQL}, ref AS (SELECT *, row_number() OVER (ORDER BY o_orderkey) AS r FROM oh
+  WHERE o_orderkey % 13 <> 0 AND o_orderkey % 17 <> 0),
+mode AS (SELECT CASE WHEN f >= o AND f >= p THEN 0 WHEN o >= p THEN 1 ELSE 2 END AS m
+  FROM (SELECT sum(status_F) AS f, sum(status_O) AS o, sum(status_P) AS p FROM ref)),
+pick AS (SELECT oh.*, status_F + status_O + status_P <> 1 AS bad,
+  CAST(floor({hu_sql('13:0', 'o_orderkey')} * (SELECT count(*) FROM ref)) AS BIGINT) + 1 AS r FROM oh),
+h AS (SELECT pick.o_orderkey, {', '.join(f"CASE WHEN bad THEN ref.status_{s} ELSE pick.status_{s} END AS status_{s}" for s in 'FOP')}
+  FROM pick LEFT JOIN ref USING (r))
+SELECT o_orderkey, {_oh_proj_sql(0).replace('THEN 1 ELSE', 'THEN m + 1 ELSE')} FROM h, mode""")
 def g08_heal_batch(spark, sf):
     oh = onehot_fixture(spark, sf)
     ref = onehot_fixture(spark, sf).filter((F.col("o_orderkey") % 13 != 0) & (F.col("o_orderkey") % 17 != 0))

@@ -334,7 +334,18 @@ def b23_temporal_detect(spark, sf):
     return P.temporal_detect(src, "o_orderkey")
 
 
-@query("b15_multimodality")
+@query("b15_multimodality", """
+WITH long AS (SELECT 'value' AS feature, CAST(value AS DOUBLE) AS v FROM events
+  UNION ALL SELECT 'l_quantity', CAST(l_quantity AS DOUBLE) FROM lineitem UNION ALL SELECT 'l_discount', CAST(l_discount AS DOUBLE) FROM lineitem),
+st AS (SELECT feature, min(v) AS lo, max(v) AS hi, count(v) AS n, stddev_samp(v) AS sd FROM long WHERE v IS NOT NULL GROUP BY feature),
+hist AS (SELECT feature, least(floor((v - lo) / ((hi - lo) / 2048)), 2047) AS b, count(*) AS c FROM long JOIN st USING (feature)
+  WHERE v IS NOT NULL GROUP BY feature, b),
+dens AS (SELECT feature, gi, sum(c * exp(-0.5 * power((lo + gi * (hi - lo) / 999 - (lo + (b + 0.5) * ((hi - lo) / 2048))) / (sd * power(n, -0.2)), 2)))
+    / (any_value(n) * any_value(sd * power(n, -0.2)) * sqrt(2 * pi())) AS d
+  FROM hist JOIN st USING (feature), range(1000) AS t(gi) GROUP BY feature, gi),
+pk AS (SELECT feature, d, lag(d) OVER w AS dp, lead(d) OVER w AS dn FROM dens WINDOW w AS (PARTITION BY feature ORDER BY gi)),
+n AS (SELECT feature, count(*) FILTER (d > dp AND d > dn AND d >= 0.01) AS n_peaks FROM pk GROUP BY feature)
+SELECT feature, n_peaks, CAST(least(1.0, n_peaks * 0.3) AS DOUBLE) AS multimodality_score, least(1.0, n_peaks * 0.3) > 0.3 AS is_multimodal FROM n""")
 def b15_multimodality(spark, sf):
     e = table(spark, sf, "events").select("value")
     li = _li(spark, sf).select("l_quantity", "l_discount")
