@@ -1,149 +1,30 @@
 """Privacy metrics.
 
-Nearest neighbours are exact without a cross join: points are binned on
-a grid; each query row only meets base rows in the (2m+1)^d cells around
-it, and rows whose k-th distance is not yet provably final (beyond the
-radius the searched block guarantees) are retried with a doubled block.
-Duplicate base points are pre-aggregated with a multiplicity, so a value
-shared by many rows is one candidate, not many.
+Nearest neighbours come from ``neighbours`` (exact, adaptive cells).
 """
 
 from __future__ import annotations
 
-import itertools
-import math
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabvet.functions.hashing import hu
+from tabvet.operators import neighbours
 from tabvet.operators.ranks import cumulative
-from tabvet.session import cut_lineage
-
-
-def _grid(query: DataFrame, base: DataFrame, cols: list[str]):
-    """Isotropic cells (same width h on every axis, so the radius a block
-    of cells guarantees is m x h) sized to hold about four base points each
-    when spread evenly; g = cells along the widest axis."""
-    both = query.select(*cols).unionByName(base.select(*cols))
-    mm = both.agg(*[F.min(c).alias(f"lo_{c}") for c in cols], *[F.max(c).alias(f"hi_{c}") for c in cols]).first()
-    n = max(base.select(*cols).distinct().count(), 1)
-    ranges = [max(float(mm[f"hi_{c}"] - mm[f"lo_{c}"]), 1e-12) for c in cols]
-    vol = 1.0
-    for r in ranges:
-        vol *= r
-    width = (vol * 4.0 / n) ** (1.0 / len(cols))
-    width = max(width, max(ranges) / 4096.0)
-    g = int(max(math.ceil(r / width) for r in ranges))
-    h = {c: width for c in cols}
-    _grid.cells = {c: int(math.ceil(r / width)) for c, r in zip(cols, ranges)}
-    return {c: float(mm[f"lo_{c}"]) for c in cols}, h, g
-
-
-def _explode_block(df: DataFrame, cols: list[str], m: int, cells: dict, src: str, dst: str) -> DataFrame:
-    """One row per cell of the (2m+1)^d block around each row, clamped per
-    axis to the cells that exist along it (a near-constant axis has one
-    cell, so the block only grows where the data spreads).  Per-axis
-    ``sequence`` explodes keep the plan small for any block size."""
-    for c in cols:
-        r = min(m, cells[c] + 1)
-        df = df.withColumn("_o", F.explode(F.sequence(F.lit(-r), F.lit(r)))) \
-            .withColumn(f"{dst}{c}", F.col(f"{src}{c}") + F.col("_o")).drop("_o")
-    return df
-
-
-def _cell(c: str, lo: dict, h: dict) -> Column:
-    return F.floor((F.col(c).cast("double") - F.lit(lo[c])) / F.lit(h[c])).cast("long")
-
-
-def _next_block(unresolved: DataFrame, got: str, kth: str, k: int, m: int, min_h: float, g: int) -> int:
-    """Next block half-width: a query that already has k candidates needs
-    at most its found k-th distance, so the block jumps straight there
-    (one scalar collected); queries short of candidates double it."""
-    row = unresolved.agg(F.max(F.when(F.col(got) >= k, F.col(kth))).alias("r"),
-                         F.count_if(F.col(got) < k).alias("short")).first()
-    nxt = 2 * m if (row["short"] or 0) > 0 or row["r"] is None else m
-    if row["r"] is not None:
-        nxt = max(nxt, int(math.ceil(row["r"] / min_h)) + 1)
-    return min(max(nxt, m + 1), g + 1)
 
 
 def knn(query: DataFrame, base: DataFrame, cols: list[str], qkey: str, k: int = 5,
         exclude_self: str | None = None) -> DataFrame:
-    """Exact k nearest base rows (L2 over ``cols``) for each query row:
-    (qkey, kth_distance, mean_distance).  With ``exclude_self`` naming a
-    key present in both tables, a row does not count as its own neighbour."""
-    lo, h, g = _grid(query, base, cols)
-    cells = dict(_grid.cells)
-    min_h = min(h.values())
-    if exclude_self:
-        b = base.select(F.col(exclude_self).alias("_bid"), *cols).withColumn("_n", F.lit(1))
-    else:
-        b = base.select(*cols).dropna().groupBy(*cols).agg(F.count(F.lit(1)).alias("_n")).withColumn("_bid", F.lit(None))
-    b = b.select("_bid", "_n", *[F.col(c).alias(f"_b_{c}") for c in cols],
-                 *[_cell(c, lo, h).alias(f"_bc_{c}") for c in cols])
-    q = query.select(F.col(qkey).alias("_q"), *[F.col(c).cast("double").alias(f"_q_{c}") for c in cols],
-                     *[_cell(c, lo, h).alias(f"_qc_{c}") for c in cols])
-    pending, done, m = q, None, 1
-    while True:
-        ex = _explode_block(pending, cols, m, cells, "_qc_", "_bc_")
-        cand = ex.join(b, [f"_bc_{c}" for c in cols])
-        if exclude_self:
-            cand = cand.filter(F.col("_bid") != F.col("_q"))
-        dist = F.sqrt(sum((F.col(f"_b_{c}") - F.col(f"_q_{c}")) ** 2 for c in cols))
-        cand = cand.select("_q", dist.alias("_d"), "_n")
-        w = Window.partitionBy("_q").orderBy("_d").rowsBetween(Window.unboundedPreceding, 0)
-        cand = cand.withColumn("_cum", F.sum("_n").over(w)).filter(F.col("_cum") - F.col("_n") < k)
-        take = F.least(F.col("_n"), F.lit(k) - (F.col("_cum") - F.col("_n")))
-        res = cand.groupBy("_q").agg(F.max("_d").alias("kth_distance"), F.sum(F.col("_d") * take).alias("_s"),
-                                     F.sum(take).alias("_got"))
-        last = m >= g + 1
-        ok = res.filter((F.col("_got") >= k) & ((F.col("kth_distance") <= m * min_h) | F.lit(last)))
-        ok = ok.select(F.col("_q").alias(qkey), "kth_distance", (F.col("_s") / F.col("_got")).alias("mean_distance"))
-        ok = cut_lineage(ok)
-        done = ok if done is None else cut_lineage(done.unionByName(ok))
-        if last:
-            break
-        # reliable checkpoints keep each round's plan small (no growing lineage)
-        pending = cut_lineage(pending.join(ok.select(F.col(qkey).alias("_q")), "_q", "left_anti"))
-        if pending.isEmpty():
-            break
-        m = _next_block(res.join(pending.select("_q"), "_q", "left_semi"), "_got", "kth_distance", k, m, min_h, g)
-    return done
+    """k nearest base rows (L2 over ``cols``) for each query row: (qkey,
+    kth_distance, mean_distance).  With ``exclude_self`` the query rows are
+    base rows, and a row does not count as its own neighbour."""
+    return neighbours.kth(query, base, cols, qkey, k, own=bool(exclude_self))
 
 
 def knn_pairs(df: DataFrame, cols: list[str], key: str, k: int) -> DataFrame:
-    """(key, neighbour key, distance, rank) for the k nearest other rows of
-    the same table, exact, from the same grid search (ties by key)."""
-    lo, h, g = _grid(df, df, cols)
-    cells = dict(_grid.cells)
-    min_h = min(h.values())
-    b = df.select(F.col(key).alias("_bid"), *[F.col(c).cast("double").alias(f"_b_{c}") for c in cols],
-                  *[_cell(c, lo, h).alias(f"_bc_{c}") for c in cols])
-    q = df.select(F.col(key).alias("_q"), *[F.col(c).cast("double").alias(f"_q_{c}") for c in cols],
-                  *[_cell(c, lo, h).alias(f"_qc_{c}") for c in cols])
-    pending, done, m = q, None, 1
-    while True:
-        ex = _explode_block(pending, cols, m, cells, "_qc_", "_bc_")
-        cand = ex.join(b, [f"_bc_{c}" for c in cols]).filter(F.col("_bid") != F.col("_q"))
-        dist = F.sqrt(sum((F.col(f"_b_{c}") - F.col(f"_q_{c}")) ** 2 for c in cols))
-        cand = cand.select("_q", "_bid", dist.alias("_d"))
-        w = Window.partitionBy("_q").orderBy("_d", "_bid")
-        top = cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-        stat = top.groupBy("_q").agg(F.count(F.lit(1)).alias("_got"), F.max("_d").alias("_kd"))
-        last = m >= g + 1
-        ok = stat.filter((F.col("_got") >= k) & ((F.col("_kd") <= m * min_h) | F.lit(last))).select("_q")
-        part = top.join(ok, "_q", "left_semi").select(F.col("_q").alias(key), F.col("_bid").alias("neighbor"),
-                                                       F.col("_d").alias("distance"), "rank")
-        part = cut_lineage(part)
-        done = part if done is None else cut_lineage(done.unionByName(part))
-        if last:
-            break
-        pending = cut_lineage(pending.join(ok, "_q", "left_anti"))
-        if pending.isEmpty():
-            break
-        m = _next_block(stat.join(pending.select("_q"), "_q", "left_semi"), "_got", "_kd", k, m, min_h, g)
-    return done
+    """(key, neighbor, distance, rank) for the k nearest other rows of the
+    same table (ties by key)."""
+    return neighbours.pairs(df, cols, key, k)
 
 
 def nn_distance(real: DataFrame, synth: DataFrame, cols: list[str], skey: str, k: int = 5) -> DataFrame:
@@ -160,31 +41,9 @@ def overlap_ratio(real: DataFrame, synth: DataFrame, cols: list[str], rkey: str,
     pooled = (real.select(F.lit(0).alias("side"), F.col(rkey).cast("long").alias("k"), *cols)
               .unionByName(synth.select(F.lit(1).alias("side"), F.col(skey).cast("long").alias("k"), *cols)).dropna())
     pooled = pooled.withColumn("pid", F.col("side") * F.lit(10 ** 12) + F.col("k"))
-    near = knn(pooled, pooled, cols, "pid", 1, exclude_self="pid")
-    return _overlap_from_near(pooled, near, cols)
-
-
-def _overlap_from_near(pooled: DataFrame, near: DataFrame, cols: list[str]) -> DataFrame:
-    """Resolve ties: among rows at exactly the nearest distance, the one with
-    the lowest pooled id decides whether the neighbour is cross-table."""
-    j = pooled.join(near, "pid")
-    lo, h, g = _grid(pooled, pooled, cols)
-    cells = dict(_grid.cells)
-    q = j.select("pid", "side", "kth_distance", *[F.col(c).cast("double").alias(f"q_{c}") for c in cols],
-                 *[_cell(c, lo, h).alias(f"qc_{c}") for c in cols])
-    b = pooled.select(F.col("pid").alias("bid"), F.col("side").alias("bside"),
-                      *[F.col(c).cast("double").alias(f"b_{c}") for c in cols],
-                      *[_cell(c, lo, h).alias(f"qc_{c}") for c in cols])
-    # radius kth_distance may exceed one cell; search the block it needs
-    mx = q.agg(F.max("kth_distance")).first()[0] or 0.0
-    m = max(1, int(math.ceil(mx / min(h.values()))) + 1)
-    m = min(m, g + 1)
-    ex = _explode_block(q, cols, m, cells, "qc_", "qc_")
-    cand = ex.join(b, [f"qc_{c}" for c in cols]).filter(F.col("bid") != F.col("pid"))
-    dist = F.sqrt(sum((F.col(f"b_{c}") - F.col(f"q_{c}")) ** 2 for c in cols))
-    at = cand.filter(dist <= F.col("kth_distance") + 1e-12)
-    first = at.groupBy("pid", "side").agg(F.min_by("bside", "bid").alias("nside"))
-    ratio = first.agg((F.count_if(F.col("side") != F.col("nside")) / F.count(F.lit(1))).alias("data_overlap_ratio"))
+    near = knn_pairs(pooled, cols, "pid", 1)
+    crosses = (F.col("pid") < 10 ** 12) != (F.col("neighbor") < 10 ** 12)
+    ratio = near.agg((F.count_if(crosses) / F.count(F.lit(1))).alias("data_overlap_ratio"))
     return ratio.withColumn("privacy_score", F.greatest(F.lit(0.0), 1.0 - F.col("data_overlap_ratio")))
 
 

@@ -126,3 +126,36 @@ def test_kendall_of_continuous_columns(spark, monkeypatch):
         want = (u * v).sum() / np.sqrt((u != 0).sum() * (v != 0).sum())
         assert abs(tau - want) < 1e-12
     assert len(got) == 6
+
+
+def _brute_neighbours(points, k):
+    out = {}
+    for a, pa in points:
+        near = sorted((sum((x - y) ** 2 for x, y in zip(pa, pb)) ** 0.5, b) for b, pb in points if b != a)
+        out[a] = near[:k]
+    return out
+
+
+@pytest.mark.parametrize("cells", [8, 1000])
+def test_neighbours_of_clustered_and_equal_points(spark, monkeypatch, cells):
+    from tabvet.operators import neighbours
+    monkeypatch.setattr(neighbours, "CELL_POINTS", cells)
+    r = random.Random(2)
+    rows = [(i, (1.0, 2.0)) for i in range(360)] + [(360, (1e9, -1e9))]
+    rows += [(361 + i, (r.gauss(0, 1), r.gauss(0, 1))) for i in range(39)]
+    df = spark.createDataFrame([(i, *p) for i, p in rows], "id long, a double, b double")
+    want = _brute_neighbours(rows, 3)
+    got = {}
+    for x in privacy.knn_pairs(df, ["a", "b"], "id", 3).collect():
+        got.setdefault(x["id"], {})[x["rank"]] = (x["distance"], x["neighbor"])
+    assert {i: [v[k] for k in sorted(v)] for i, v in got.items()} == {
+        i: [(pytest.approx(d, rel=1e-12), b) for d, b in v] for i, v in want.items()}
+    kth = {x["id"]: x["kth_distance"] for x in privacy.knn(df, df, ["a", "b"], "id", 3, exclude_self="id").collect()}
+    assert kth == {i: pytest.approx(v[-1][0], rel=1e-12) for i, v in want.items()}
+
+
+def test_neighbours_with_fewer_base_rows_than_k(spark):
+    base = spark.createDataFrame([(0.0, 0.0), (3.0, 4.0)], "a double, b double")
+    query = spark.createDataFrame([(1, 0.0, 0.0), (2, 3.0, 4.0)], "id long, a double, b double")
+    got = sorted(tuple(x) for x in privacy.knn(query, base, ["a", "b"], "id", 5).collect())
+    assert got == [(1, 5.0, 2.5), (2, 5.0, 2.5)]
