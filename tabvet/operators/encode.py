@@ -18,13 +18,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabvet.session import sized
 from tabvet.functions.hashing import normal_draw
 from tabvet.functions.normal import phi, phi_inv
 from tabvet.operators.profile import quantiles, to_long
 from tabvet.operators.ranks import cumulative, with_const_array
 
 MISSING = "__MISSING__"
-BROADCAST_ROWS = 2_000_000
 MAX_ONEHOT = 50
 
 
@@ -44,8 +44,7 @@ def _num(df: DataFrame, c: str) -> Column:
 
 def _join_small(df: DataFrame, side: DataFrame, on, how: str = "left") -> DataFrame:
     """Join a fitted dictionary: broadcast only after checking its size."""
-    n = side.count()
-    return df.join(F.broadcast(side) if n <= BROADCAST_ROWS else side, on, how)
+    return df.join(sized(side), on, how)
 
 
 # ---------------------------------------------------------------------------
@@ -140,26 +139,26 @@ def _cat_text(c: str) -> Column:
 
 class OneHotEncoder:
     """Sorted categories of the text form (NULL -> '__MISSING__'); columns
-    ``{col}_{i}``; an unseen value encodes as all zeros."""
+    ``{col}_{i}``; an unseen value encodes as all zeros.  A column of more
+    than ``max_categories`` gets one column ``{col}_code`` of label codes."""
 
     def __init__(self, cols: list[str], max_categories: int = MAX_ONEHOT):
         self.cols, self.max_categories = list(cols), max_categories
         self.categories: dict[str, list[str]] = {}
+        self.coded: dict[str, LabelEncoder] = {}
 
     def fit(self, df: DataFrame) -> "OneHotEncoder":
         cats = df.select(*[_cat_text(c).alias(c) for c in self.cols])
         long = cats.unpivot([], self.cols, "feature", "v").distinct()
         sizes = {r["feature"]: r["k"] for r in long.groupBy("feature").agg(F.count(F.lit(1)).alias("k")).collect()}
-        big = [c for c, k in sizes.items() if k > self.max_categories]
-        if big:
-            raise ValueError(f"too many categories for one-hot: {big}")
-        for r in long.groupBy("feature").agg(F.array_sort(F.collect_list("v")).alias("cats")).collect():
+        self.coded = {c: LabelEncoder(c).fit(df) for c, k in sizes.items() if k > self.max_categories}
+        for r in long.filter(~F.col("feature").isin(list(self.coded))).groupBy("feature").agg(F.array_sort(F.collect_list("v")).alias("cats")).collect():
             self.categories[r["feature"]] = list(r["cats"])
         return self
 
     def transform_columns(self, df: DataFrame) -> dict[str, Column]:
         out = {}
-        for c in self.cols:
+        for c in self.categories:
             v = _cat_text(c)
             for i, cat in enumerate(self.categories[c]):
                 out[f"{c}_{i}"] = F.when(v == F.lit(cat), F.lit(1.0)).otherwise(F.lit(0.0))
@@ -167,15 +166,25 @@ class OneHotEncoder:
 
     def transform(self, df: DataFrame, keep: list[str] | None = None) -> DataFrame:
         keep = keep if keep is not None else [c for c in df.columns if c not in self.cols]
+        for c, le in self.coded.items():
+            df = le.transform(df, f"{c}_code")
         t = self.transform_columns(df)
-        return df.select(*[_c(k) for k in keep], *[v.alias(k) for k, v in t.items()])
+        return df.select(*[_c(k) for k in keep], *[v.alias(k) for k, v in t.items()],
+                         *[_c(f"{c}_code") for c in self.coded])
 
     def inverse(self, df: DataFrame, default: str = MISSING) -> DataFrame:
         """First argmax of the one-hot block; all-zero rows decode NULL;
         a block absent from the table decodes to ``default``."""
         out = []
         used = set()
+        for c, le in self.coded.items():
+            if f"{c}_code" in df.columns:
+                df = le.inverse(df, f"{c}_code").drop(f"{c}_code")
         for c in self.cols:
+            if c in self.coded:
+                if c not in df.columns:
+                    out.append(F.lit(default).alias(c))
+                continue
             names = [f"{c}_{i}" for i in range(len(self.categories[c]))]
             present = [n for n in names if n in df.columns]
             if not present:

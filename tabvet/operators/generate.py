@@ -10,19 +10,14 @@ by the sequence kernel.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabvet.functions.hashing import hu, normal_draw
 from tabvet.operators import sequence as S
 from tabvet.operators.privacy import knn_pairs
-
-BROADCAST_ROWS = 2_000_000
-
-
-def _checked(side: DataFrame) -> DataFrame:
-    return F.broadcast(side) if side.count() <= BROADCAST_ROWS else side
-
+from tabvet.operators.ranks import cumulative
+from tabvet.session import sized
 
 def indexed(real: DataFrame, key: str) -> tuple[DataFrame, int]:
     """Dense 1..n index of the real rows in key order."""
@@ -39,28 +34,47 @@ def bootstrap(spark, real: DataFrame, key: str, n: int, seed: int = 1) -> DataFr
     return out.join(r, "_r").drop("_r")
 
 
+#: Stretches of a group's counts that draws and categories are joined on.
+DRAW_RANGES = 1024
+
+
 def categorical_table(real: DataFrame, col: str, given: list[str] | None = None) -> DataFrame:
-    """Empirical (conditional) category frequencies as (given..., cats,
-    cum) arrays sorted by category: one row per condition group."""
+    """Empirical (conditional) category counts: (given..., _cat, _lo, _hi,
+    _total), a category of the sorted ones owning the stretch [_lo, _hi) of
+    its condition group's counts.  One row per category, never a list."""
     given = given or []
-    c = real.filter(F.col(col).isNotNull()).groupBy(*given, F.col(col).cast("string").alias("v")) \
-        .agg(F.count(F.lit(1)).alias("n"))
-    # one row per condition group with its (bounded) category list
-    t = c.groupBy(*given).agg(F.array_sort(F.collect_list(F.struct("v", "n"))).alias("_vn"))
-    ns = F.transform("_vn", lambda s: s["n"])
-    cum = F.transform(ns, lambda x, i: F.aggregate(F.slice(ns, 1, i + 1), F.lit(0).cast("long"), lambda a, y: a + y))
-    return t.select(*given, F.transform("_vn", lambda s: s["v"]).alias("_cats"), cum.alias("_cum"))
+    c = real.filter(F.col(col).isNotNull()).groupBy(*given, F.col(col).cast("string").alias("_cat")) \
+        .agg(F.count(F.lit(1)).alias("_n"))
+    if not given:
+        c = cumulative(c, [], "_cat", "_n").select("_cat", "_n", F.col("cum__n").alias("_hi"),
+                                                   F.col("tot__n").alias("_total"))
+    else:
+        group = Window.partitionBy(*given)
+        upto = group.orderBy("_cat").rowsBetween(Window.unboundedPreceding, 0)
+        total = c.groupBy(*given).agg(F.sum("_n").alias("_total"))
+        c = c.withColumn("_hi", F.sum("_n").over(upto)).join(total, given)
+    return c.select(*given, "_cat", (F.col("_hi") - F.col("_n")).alias("_lo"), "_hi", "_total")
 
 
 def draw_categorical(df: DataFrame, table: DataFrame, given: list[str], out: str, row_id: str, seed: int) -> DataFrame:
     """K2 (re-aimed: the Gumbel-softmax head becomes a draw from the
-    empirical, optionally conditional, frequencies): inverse CDF over the
-    categories in sorted order, u = HU(seed, row_id)."""
-    j = df.join(_checked(table), given, "left") if given else \
-        df.withColumn("_k", F.lit(1)).join(F.broadcast(table.withColumn("_k", F.lit(1))), "_k").drop("_k")
-    u = hu(seed, row_id) * F.element_at("_cum", -1)
-    idx = F.size(F.filter("_cum", lambda c: c <= u)) + 1
-    return j.withColumn(out, F.element_at("_cats", idx)).drop("_cats", "_cum")
+    empirical, optionally conditional, frequencies): the category whose
+    stretch holds HU(seed, row_id) x total.  Draws and categories meet by
+    group and range of the counts."""
+    stretch = F.sequence(F.greatest(F.expr(f"_lo * {DRAW_RANGES} div _total") - 1, F.lit(0)),
+                         F.expr(f"_hi * {DRAW_RANGES} div _total") + 1)
+    owned = sized(table.withColumn("_range", F.explode(stretch)).withColumnRenamed("_total", "_all"))
+    if given:
+        groups = table.groupBy(*given).agg(F.first("_total").alias("_total"))
+        j = df.join(sized(groups), given, "left")
+    else:
+        one = F.lit(1)
+        groups = table.agg(F.first("_total").alias("_total")).withColumn("_k", one)
+        j = df.withColumn("_k", one).join(groups, "_k").drop("_k")
+    at = hu(seed, row_id) * F.col("_total")
+    j = j.withColumn("_at", at).withColumn("_pick", F.floor(F.col("_at") * DRAW_RANGES / F.col("_total")))
+    on = [j[g] == owned[g] for g in given] + [j["_pick"] == owned["_range"], j["_at"] >= owned["_lo"], j["_at"] < owned["_hi"]]
+    return j.join(owned, on, "left").select(*[j[c] for c in df.columns], owned["_cat"].alias(out))
 
 
 def gaussian_table(real: DataFrame, col: str, given: list[str] | None = None) -> DataFrame:
@@ -71,8 +85,9 @@ def gaussian_table(real: DataFrame, col: str, given: list[str] | None = None) ->
 def draw_gaussian(df: DataFrame, table: DataFrame, given: list[str], out: str, row_id: str, seed: int) -> DataFrame:
     """K3: μ + σ z with z from Box-Muller over hash uniforms; (μ, σ) per
     condition group."""
-    j = df.join(_checked(table), given, "left") if given else \
-        df.withColumn("_k", F.lit(1)).join(F.broadcast(table.withColumn("_k", F.lit(1))), "_k").drop("_k")
+    one = F.lit(1)
+    j = df.join(sized(table), given, "left") if given else \
+        df.withColumn("_k", one).join(F.broadcast(table.withColumn("_k", one)), "_k").drop("_k")
     z = normal_draw(seed, row_id)
     return j.withColumn(out, F.col("_mu") + F.coalesce(F.col("_sd"), F.lit(0.0)) * z).drop("_mu", "_sd")
 
@@ -131,10 +146,12 @@ def smote(spark, df: DataFrame, target: str, minority, key: str, numeric: list[s
     out = out.join(mino.select(F.col(key).alias("neighbor"), *[F.col(c).alias(f"_y_{c}") for c in numeric]), "neighbor")
     lam = hu(f"{seed}l", "row_id")
     others = [c for c in df.columns if c not in numeric and c != key]
+    # most frequent value per column, the smallest of equals: counts first, so no task holds a column's values
     modes = {}
-    if others:
-        row = mino.agg(*[F.mode(F.col(c)).alias(c) for c in others]).first()
-        modes = {c: row[c] for c in others}
+    for c in others:
+        top = mino.filter(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("_n")).agg(
+            F.min(F.struct((-F.col("_n")).alias("n"), F.col(c).alias("v"))).alias("m")).first()["m"]
+        modes[c] = top["v"] if top else None
     syn = out.select((F.lit(-1) - F.col("row_id")).cast(df.schema[key].dataType).alias(key),
                      *[(F.col(f"_x_{c}") + lam * (F.col(f"_y_{c}") - F.col(f"_x_{c}"))).alias(c) for c in numeric],
                      *[F.lit(modes[c]).cast(df.schema[c].dataType).alias(c) for c in others],

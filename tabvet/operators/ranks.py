@@ -54,9 +54,10 @@ def _text_bounds(values: DataFrame, group_cols: list[str], value_col: str, n_buc
     """(group..., _bounds): texts that cut each group's distinct values into
     ``n_buckets`` ranges of like size, from about TEXT_SAMPLE of them picked
     by hash.  Whole texts are compared, so a common beginning does no harm."""
-    sizes = values.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_n"))
+    values = values.select(*group_cols, value_col)
+    sizes = values.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_group_size"))
     place = F.pmod(F.xxhash64(value_col), F.lit(1 << 40)) / float(1 << 40)
-    picked = (values.join(F.broadcast(sizes), group_cols).filter(place * F.col("_n") < TEXT_SAMPLE)
+    picked = (values.join(F.broadcast(sizes), group_cols).filter(place * F.col("_group_size") < TEXT_SAMPLE)
               .groupBy(*group_cols).agg(F.array_sort(F.collect_list(value_col)).alias("_s")))
     cut = F.transform(F.sequence(F.lit(1), F.lit(n_buckets - 1)),
                       lambda i: F.get("_s", F.floor(i * F.size("_s") / n_buckets).cast("int")))

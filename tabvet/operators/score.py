@@ -14,17 +14,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabvet.session import sized
 from tabvet.operators import heal as HL
 
-BROADCAST_ROWS = 2_000_000
-
-
 def _c(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
 def _join_checked(df: DataFrame, side: DataFrame, on, how="left") -> DataFrame:
-    return df.join(F.broadcast(side) if side.count() <= BROADCAST_ROWS else side, on, how)
+    return df.join(sized(side), on, how)
 
 
 # H1 / H2 / H3 -----------------------------------------------------------------

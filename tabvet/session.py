@@ -10,8 +10,11 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
@@ -69,6 +72,26 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Sides of a join are broadcast up to this many bytes.
+BROADCAST_BYTES = 128 << 20
+
+
+def sized(side: DataFrame) -> DataFrame:
+    """``side`` written once into the shared folder and marked for broadcast if
+    its rows measure at most BROADCAST_BYTES (texts by their length, other
+    values by 16 bytes); beyond that the join shuffles."""
+    spark = side.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/side-{uuid.uuid4().hex}"
+    side.write.parquet(path)
+    kept = spark.read.schema(side.schema).parquet(path)
+    texts = [F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)) for f in side.schema
+             if isinstance(f.dataType, T.StringType)]
+    other = [16 * F.coalesce(F.size(F.col(f"`{f.name}`")), F.lit(1)) if isinstance(f.dataType, T.ArrayType) else F.lit(16)
+             for f in side.schema if not isinstance(f.dataType, T.StringType)]
+    size = kept.agg(F.sum(sum(texts + other, F.lit(0)).cast("long"))).first()[0] or 0
+    return F.broadcast(kept) if size <= BROADCAST_BYTES else kept
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one of the driver's parquet tables."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

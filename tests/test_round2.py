@@ -159,3 +159,13 @@ def test_neighbours_with_fewer_base_rows_than_k(spark):
     query = spark.createDataFrame([(1, 0.0, 0.0), (2, 3.0, 4.0)], "id long, a double, b double")
     got = sorted(tuple(x) for x in privacy.knn(query, base, ["a", "b"], "id", 5).collect())
     assert got == [(1, 5.0, 2.5), (2, 5.0, 2.5)]
+
+
+def test_wide_categories_become_label_codes(spark):
+    from tabvet.operators import encode
+    df = spark.createDataFrame([(i, f"v{i % 60:02d}", "ab"[i % 2]) for i in range(120)], "id long, many string, few string")
+    enc = encode.OneHotEncoder(["many", "few"]).fit(df)
+    out = enc.transform(df)
+    assert out.columns == ["id", "few_0", "few_1", "many_code"]
+    back = {r["id"]: (r["many"], r["few"]) for r in enc.inverse(out).collect()}
+    assert back == {i: (f"v{i % 60:02d}", "ab"[i % 2]) for i in range(120)}
