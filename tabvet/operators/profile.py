@@ -460,8 +460,11 @@ def power_law_bootstrap(fit: DataFrame, runs: int = 200, seed: int = 42) -> Data
 
 def power_law(df: DataFrame, col: str, p_min: float = 0.05, runs: int = 200, **rules) -> DataFrame:
     """B20 with B21: the fit's row with the bootstrap p-value; a power law
-    also needs p >= ``p_min``."""
+    also needs p >= ``p_min``.  A fit that fails the other rules is not
+    bootstrapped (p_value NULL)."""
     fit = cut_lineage(power_law_fit(df, col, **rules))
+    if not fit.first()["is_power_law"]:
+        return fit.withColumn("p_value", F.lit(None).cast("double"))
     p = power_law_bootstrap(fit, runs).select(F.lit(col).alias("feature"), "p_value")
     return fit.join(p, "feature", "left").withColumn(
         "is_power_law", F.col("is_power_law") & F.coalesce(F.col("p_value") >= p_min, F.lit(False)))

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabvet.session import cut_lineage
 from tabvet.operators import profile as P
 
 _TEMPORAL = (T.DateType, T.TimestampType, T.TimestampNTZType)
@@ -150,12 +151,13 @@ def cli_metadata(df: DataFrame, cols: list[str]) -> DataFrame:
 # C1, C2 ---------------------------------------------------------------------
 
 def deep_types(df: DataFrame, cols: list[str], strict: bool = False, alpha: float = 0.05) -> DataFrame:
-    """Deep-type decision tree.  Numeric columns: integer -> DISCRETE_UNIFORM
-    (power-law branch reported by B20 separately); multimodal; gaussian
-    (Jarque-Bera re-aim or KS p > alpha); heavy tail; cyclic; default
-    CONTINUOUS_MULTIMODAL.  Text: ORDINAL / LOW (<10) / HIGH cardinality.
-    ``strict=False`` tests cyclicity before the integer branch (the
-    reference's cyclic test is unreachable, SURVEY Q2)."""
+    """Deep-type decision tree.  Numeric columns: integer -> DISCRETE_UNIFORM;
+    multimodal; gaussian (Jarque-Bera re-aim or KS p > alpha); heavy tail;
+    cyclic; default CONTINUOUS_MULTIMODAL.  Text: ORDINAL / LOW (<10) / HIGH
+    cardinality.  Integers of 20 values or more, heavy tails and categories of
+    high cardinality become their power-law types where B20 and B21 accept
+    the frequencies of the values.  ``strict=False`` tests cyclicity before
+    the integer branch (SURVEY Q2)."""
     num = [c for c in cols if _is_numeric(df.schema[c].dataType)]
     txt = [c for c in cols if c not in num]
     out = None
@@ -175,17 +177,30 @@ def deep_types(df: DataFrame, cols: list[str], strict: bool = False, alpha: floa
              .when(F.col("tail_behavior") == "HEAVY_TAILED", "CONTINUOUS_HEAVY_TAILED")
              .when(F.col("is_cyclic"), "CYCLIC")
              .otherwise("CONTINUOUS_MULTIMODAL"))
-        out = j.select("feature", F.lit(True).alias("is_numeric"), t.alias("deep_type"))
+        out = j.select("feature", F.lit(True).alias("is_numeric"), t.alias("deep_type"), "unique_count")
     if txt:
         cp = P.categorical_profile(df, txt).select("feature", "unique_count")
         orde = P.ordinality(df, txt).select("feature", "is_ordinal")
         j = cp.join(orde, "feature")
         t = (F.when(F.col("is_ordinal"), "ORDINAL").when(F.col("unique_count") < 10, "CATEGORICAL_LOW_CARDINALITY")
              .otherwise("CATEGORICAL_HIGH_CARDINALITY"))
-        part = j.select("feature", F.lit(False).alias("is_numeric"), t.alias("deep_type"))
+        part = j.select("feature", F.lit(False).alias("is_numeric"), t.alias("deep_type"), "unique_count")
         out = part if out is None else out.unionByName(part)
-    return out
-
+    out = cut_lineage(out)
+    # one row per column comes back; only the columns that the test applies to are fitted
+    for r in out.collect():
+        if r["deep_type"] in POWER_LAW_TYPES and r["unique_count"] >= 20:
+            if P.power_law(df, r["feature"]).first()["is_power_law"]:
+                out = out.withColumn("deep_type", F.when(F.col("feature") == r["feature"], POWER_LAW_TYPES[r["deep_type"]])
+                                     .otherwise(F.col("deep_type")))
+    return out.drop("unique_count")
+
+
+#: Types that a power law of the value frequencies turns into another.
+POWER_LAW_TYPES = {
+    "DISCRETE_UNIFORM": "DISCRETE_POWER_LAW", "CATEGORICAL_HIGH_CARDINALITY": "CATEGORICAL_POWER_LAW",
+    "CONTINUOUS_HEAVY_TAILED": "CONTINUOUS_POWER_LAW_HEAVY_TAIL",
+}
 
 # Transformation recommended per deep type (default: quantile_gaussian).
 TRANSFORMS = [

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tabvet.functions.hashing import hu_sql
 from tabvet.functions.normal import phi_sql
 from tabvet.operators import profile as P
 from tabvet.plans.registry import query, r6
@@ -352,9 +353,8 @@ def b15_multimodality(spark, sf):
     return P.multimodality(e, ["value"]).unionByName(P.multimodality(li, ["l_quantity", "l_discount"]))
 
 
-def _pl_sql(tab, col):
-    return f"""
-WITH fr AS (SELECT {col}, count(*) AS x FROM {tab} WHERE {col} IS NOT NULL GROUP BY {col}),
+def _pl_ctes(tab, col):
+    return f"""fr AS (SELECT {col}, count(*) AS x FROM {tab} WHERE {col} IS NOT NULL GROUP BY {col}),
 cc AS (SELECT x, count(*) AS m FROM fr GROUP BY x),
 c AS (SELECT x, m, sum(m) OVER (ORDER BY x) AS cum_m, sum(m) OVER () AS tot_m,
         sum(m * ln(x)) OVER (ORDER BY x) AS cum_l, sum(m * ln(x)) OVER () AS tot_l FROM cc),
@@ -366,7 +366,11 @@ ks AS (SELECT x_min, alpha, n_tail, max(abs((cu - before) / n_tail - (1 - power(
        FROM (SELECT x AS u, cum_m AS cu FROM c) JOIN ca ON u >= x_min GROUP BY x_min, alpha, n_tail),
 best AS (SELECT arg_min(x_min, (ks, x_min)) AS x_min, arg_min(alpha, (ks, x_min)) AS alpha,
            arg_min(n_tail, (ks, x_min)) AS n_tail, min(ks) AS ks FROM ks),
-sup AS (SELECT sum(m) AS support_size FROM cc)
+sup AS (SELECT sum(m) AS support_size FROM cc)"""
+
+
+def _pl_sql(tab, col):
+    return f"""WITH {_pl_ctes(tab, col)}
 SELECT '{col}' AS feature, CAST(support_size AS BIGINT) AS support_size, CAST(x_min AS BIGINT) AS x_min, round(alpha, 6) AS alpha,
   round(ks, 6) AS ks, CAST(n_tail AS BIGINT) AS n_tail, round(n_tail / support_size, 6) AS tail_fraction,
   coalesce(support_size >= 50 AND x_min IS NOT NULL AND alpha BETWEEN 1.2 AND 5.0 AND ks <= 0.2, false) AS is_power_law
@@ -390,7 +394,14 @@ def b20_power_law_words(spark, sf):
     return _pl_round(P.power_law_fit(words, "word"))
 
 
-@query("b21_power_law_bootstrap")
+@query("b21_power_law_bootstrap", f"""WITH {_pl_ctes('lineitem', 'l_partkey')},
+i AS (SELECT run, unnest(range(1, CAST(n_tail AS BIGINT) + 1)) AS i, best.* FROM best, range(1, 201) AS t(run)),
+x AS (SELECT run, x_min, alpha, n_tail, ks,
+  greatest(round(x_min * power(greatest({hu_sql(42, 'run', 'i')}, 1e-300), 1.0 / (1.0 - alpha))), CAST(x_min AS DOUBLE)) AS x FROM i),
+v AS (SELECT run, x, x_min, alpha, n_tail, ks, count(*) AS m FROM x GROUP BY ALL),
+rc AS (SELECT *, sum(m) OVER (PARTITION BY run ORDER BY x) AS cum FROM v),
+p AS (SELECT run, ks, max(abs(cum / n_tail - (1.0 - power(x / x_min, 1.0 - alpha)))) AS ks_sim FROM rc GROUP BY run, ks)
+SELECT round(avg(CAST(ks_sim >= ks AS DOUBLE)), 6) AS p_value, count(*) AS runs FROM p""")
 def b21_power_law_bootstrap(spark, sf):
     fit = P.power_law_fit(_li(spark, sf), "l_partkey")
     return P.power_law_bootstrap(fit, runs=200).select(r6("p_value").alias("p_value"), "runs")

@@ -169,3 +169,16 @@ def test_wide_categories_become_label_codes(spark):
     assert out.columns == ["id", "few_0", "few_1", "many_code"]
     back = {r["id"]: (r["many"], r["few"]) for r in enc.inverse(out).collect()}
     assert back == {i: (f"v{i % 60:02d}", "ab"[i % 2]) for i in range(120)}
+
+
+def test_power_law_categories_get_their_type(spark):
+    from tabvet.operators import typing as ty
+    r = random.Random(11)
+    sizes = [max(12, round(12 * r.random() ** (-1 / 1.6))) for _ in range(300)]
+    sizes = [min(s, 3000) for s in sizes]
+    df = spark.createDataFrame([(f"word {chr(97 + i % 26)}{i}", s) for i, s in enumerate(sizes)], "w string, n int") \
+        .select("w", F.explode(F.sequence(F.lit(1), "n")).alias("k")).withColumn("u", F.format_string("name %05d", F.col("k") % 500))
+    got = {x["feature"]: x["deep_type"] for x in ty.deep_types(df, ["w"]).collect()}
+    assert got == {"w": "CATEGORICAL_POWER_LAW"}
+    flat = spark.range(6000).select(F.format_string("name %03d", F.col("id") % 300).alias("v"))
+    assert ty.deep_types(flat, ["v"]).first()["deep_type"] == "CATEGORICAL_HIGH_CARDINALITY"
