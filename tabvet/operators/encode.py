@@ -730,13 +730,15 @@ class TableEncoder:
 
 def prepare(df: DataFrame, cols: list[str], key: str, target: str | None = None, hash_components: int = 32,
             id_hash_max: int = 10_000, categorical_max: int = 50, high_cardinality: int = 100,
-            tol: float = 1e-10) -> tuple[DataFrame, DataFrame]:
+            tol: float = 1e-10, balance: tuple[str, object] | None = None) -> tuple[DataFrame, DataFrame]:
     """Semantic type (C3) per column, then: INVARIANT dropped; IDENTIFIER
     hashed (fewer than 10 000 values) or dropped; TEMPORAL -> 8 cyclical
     columns; BINARY -> 0/1; CATEGORICAL -> target encoding above 100
     values with a target (hashing without), frequency/target encoding above
     50, dummies below; CONTINUOUS -> non-finite imputation and the variance
-    guard.  Finally NULL / ±inf -> 0.  Returns (prepared table, report with
+    guard.  Finally NULL / ±inf -> 0.  ``balance`` = (class column, minority
+    value) resamples the prepared table by SMOTE (K6): the class column is
+    kept and ``synthetic`` marks the added rows.  Returns (prepared table, report with
     one row per input column: semantic type, cardinality, transformation,
     output dimensions, warning)."""
     from tabvet.operators.typing import column_facts, semantic_types
@@ -795,4 +797,14 @@ def prepare(df: DataFrame, cols: list[str], key: str, target: str | None = None,
     spark = df.sparkSession
     rep = spark.createDataFrame(report, "feature string, semantic_type string, cardinality long, "
                                         "transformation string, output_dimensions int, warning string")
-    return prepared.select(*final), rep
+    out = prepared.select(*final)
+    if balance:
+        from tabvet.operators.generate import smote
+        column, minority = balance
+        classed = out.join(df.select(key, F.col(f"`{column}`").alias("_class")), key)
+        names = [c for c in out.columns if c != key]
+        plain = [f"x{i}" for i in range(len(names))]          # names with dots can't be told from fields
+        classed = classed.select(key, *[F.col(f"`{c}`").alias(p) for c, p in zip(names, plain)], "_class")
+        grown = smote(df.sparkSession, classed, "_class", minority, key, plain)
+        out = grown.select(key, *[F.col(p).alias(c) for p, c in zip(plain, names)], F.col("_class").alias(column), "synthetic")
+    return out, rep

@@ -54,6 +54,16 @@ def d28_prepare(spark, sf):
     return prepared.select(*[r6(c).alias(c) if c != "o_orderkey" else F.col(c) for c in prepared.columns])
 
 
+@query("d28_prepare_balanced", """
+SELECT o_orderstatus, false AS synthetic, CAST(count(*) AS BIGINT) AS rows FROM orders GROUP BY o_orderstatus
+UNION ALL SELECT 'P', true, CAST(count(*) - 2 * count(*) FILTER (o_orderstatus = 'P') AS BIGINT) FROM orders
+HAVING count(*) > 2 * count(*) FILTER (o_orderstatus = 'P')""")
+def d28_prepare_balanced(spark, sf):
+    o = table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_custkey", "o_orderpriority", "o_orderstatus")
+    out, _ = E.prepare(o, ["o_totalprice", "o_custkey", "o_orderpriority"], "o_orderkey", balance=("o_orderstatus", "P"))
+    return out.groupBy("o_orderstatus", "synthetic").agg(F.count(F.lit(1)).alias("rows"))
+
+
 @query("l10_deep_type_distribution", f"WITH {_DEEP_SQL} SELECT deep_type, CAST(count(*) AS BIGINT) AS n FROM deep GROUP BY deep_type")
 def l10_deep_type_distribution(spark, sf):
     return _deep(spark, sf).groupBy("deep_type").agg(F.count(F.lit(1)).alias("n"))
