@@ -23,8 +23,9 @@ NUM_L = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 def pair_orders(spark, sf):
     o = table(spark, sf, "orders")
     real = o.filter(F.col("o_orderkey") % 2 == 0)
-    synth = o.filter((F.col("o_orderkey") % 2 == 1) & (F.col("o_orderpriority") != "5-LOW")) \
-        .withColumn("o_totalprice", F.col("o_totalprice") * 1.1 + 5)
+    low = F.col("o_orderpriority") == "5-LOW"          # a category that the synthetic side never has
+    synth = o.filter(F.col("o_orderkey") % 2 == 1).withColumn("o_totalprice", F.col("o_totalprice") * 1.1 + 5) \
+        .withColumn("o_orderpriority", F.when(low, "1-URGENT").otherwise(F.col("o_orderpriority")))
     return real, synth
 
 
@@ -34,8 +35,9 @@ def pair_lineitem(spark, sf):
 
 
 _PAIR_O = """ro AS (SELECT * FROM orders WHERE o_orderkey % 2 = 0),
-so AS (SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice * 1.1 + 5 AS o_totalprice, o_orderdate, o_orderpriority
-       FROM orders WHERE o_orderkey % 2 = 1 AND o_orderpriority <> '5-LOW')"""
+so AS (SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice * 1.1 + 5 AS o_totalprice, o_orderdate,
+         CASE WHEN o_orderpriority = '5-LOW' THEN '1-URGENT' ELSE o_orderpriority END AS o_orderpriority
+       FROM orders WHERE o_orderkey % 2 = 1)"""
 _PAIR_L = """rl AS (SELECT * FROM lineitem WHERE l_orderkey % 2 = 0), sl AS (SELECT * FROM lineitem WHERE l_orderkey % 2 = 1)"""
 
 
@@ -203,7 +205,19 @@ def i12_histogram_js_100(spark, sf):
     return h.select("feature", r6("divergence").alias("divergence"))
 
 
-@query("i13_kde_js")
+@query("i13_kde_js", f"""WITH {_PAIR_O}, tl AS ({_tl(NUM_O)}),
+st AS (SELECT feature, min(v) AS lo, max(v) AS hi FROM tl GROUP BY feature),
+ss AS (SELECT feature, side, count(v) AS n, stddev_samp(v) AS sd FROM tl GROUP BY feature, side),
+hb AS (SELECT feature, side, least(floor((v - lo) / ((hi - lo) / 2048)), 2047) AS b, count(*) AS c FROM tl JOIN st USING (feature)
+       WHERE v IS NOT NULL GROUP BY feature, side, b),
+de AS (SELECT feature, side, gi, sum(c * exp(-0.5 * power((lo + gi * (hi - lo) / 99 - (lo + (b + 0.5) * ((hi - lo) / 2048)))
+         / (sd * power(n, -0.2)), 2))) AS d FROM hb JOIN st USING (feature) JOIN ss USING (feature, side), range(100) AS t(gi)
+       GROUP BY feature, side, gi),
+w AS (SELECT feature, gi, sum(d) FILTER (side = 0) AS p, sum(d) FILTER (side = 1) AS q FROM de GROUP BY feature, gi),
+hn AS (SELECT feature, p / sum(p) OVER (PARTITION BY feature) AS p, q / sum(q) OVER (PARTITION BY feature) AS q FROM w),
+js AS (SELECT feature, sqrt(greatest(sum(0.5 * CASE WHEN p > 0 THEN p * ln(p / ((p + q) / 2)) ELSE 0 END
+         + 0.5 * CASE WHEN q > 0 THEN q * ln(q / ((p + q) / 2)) ELSE 0 END), 0)) AS d FROM hn GROUP BY feature)
+SELECT feature, round(d, 6) AS divergence FROM js""")
 def i13_kde_js(spark, sf):
     k = FI.kde_js(*pair_orders(spark, sf), NUM_O)
     return k.select("feature", r6("divergence").alias("divergence"))
