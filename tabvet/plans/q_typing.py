@@ -330,16 +330,10 @@ def c16_uniform_bins(spark, sf):
     return b.groupBy("o_totalprice").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _labels_thin(spark, sf):
-    lab = table(spark, sf, "labels")
-    return lab.filter((F.col("toxic") == 0) | (F.col("doc_id") % 3 == 0))
-
-
 @query("c17_class_imbalance", """
-WITH l AS (SELECT * FROM labels WHERE toxic = 0 OR doc_id % 3 = 0),
-c AS (SELECT toxic, count(*) AS cnt FROM l GROUP BY toxic)
+WITH c AS (SELECT toxic, count(*) AS cnt FROM labels GROUP BY toxic)
 SELECT 'toxic' AS target, CAST(count(*) AS BIGINT) AS n_classes, CAST(arg_min(toxic, cnt) AS VARCHAR) AS minority,
   round(min(cnt) / sum(cnt), 6) AS minority_share, min(cnt) / sum(cnt) < 0.1 AS is_imbalanced FROM c""")
 def c17_class_imbalance(spark, sf):
-    ci = TY.class_imbalance(_labels_thin(spark, sf), "toxic")
+    ci = TY.class_imbalance(table(spark, sf, "labels"), "toxic")
     return ci.withColumn("minority_share", r6("minority_share"))
