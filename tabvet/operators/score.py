@@ -8,7 +8,6 @@ plan rather than row by row.
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
