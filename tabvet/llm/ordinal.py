@@ -3,17 +3,25 @@
 Ratings are grades 0 < 1 < 2 < ...  One weight per hashed text feature is
 shared by all grades, and ordered thresholds cut the score:
 P(grade > k) = sigmoid(score - threshold_k).  The fit is L-BFGS on the
-penalised likelihood; every evaluation is one pass of Spark tasks over the
-stored features, and the driver holds weights and one summed gradient only.
+penalised likelihood; every hashed place of the rated texts has a weight and
+an L2 penalty is the only regulariser.  The optimum is a sum of the texts'
+feature vectors, so the driver works on one coefficient per rated text; Spark
+holds the features by parts of the places and returns, per gradient, the
+scores that the texts' slopes give each other.
+
+A place's values are scaled by its evidence, z^8 / (z^8 + 4^8), where z is the
+larger, over the grade cuts, of the standard errors by which its texts pass
+the cut unlike all texts that reach the grade below it: places of no evidence
+(most occur once) have small weights instead of sharing the blame of a rare
+word, and no rank or count leaves a rare word out.
 
 Features are the distinct words of a text (A-Z folded), their distinct
 beginnings of 4, 5 and 6 characters, and the share of words of each shape
 (letters, digits and signs collapsed to classes), hashed to 2^``BITS`` places.
 
 The model is fitted on at most ``max_labelled`` rated texts, those with the
-smallest hash of their id, and weighs the at most ``max_features`` places
-whose texts pass some grade most unlike all texts (by ``min_z`` standard errors
-at least); every text is scored.
+smallest hash of their id; every text is scored.  A caller may screen places
+(``min_texts`` with the place, ``min_z``); by default none is left out.
 
 Defined results: a NULL or empty text has no features and gets the grades of
 the thresholds alone; repeated rows score alike; ratings that are NULL or of
@@ -40,7 +48,11 @@ from tabvet.llm.token_counts import slices
 BITS = 26
 #: Scale of the shares of word shapes beside the 0/1 words.
 SHAPE_SCALE = 8.0
+#: Standard errors at which a place's values count half.
+HALF_Z = 4.0
 BEGINNINGS = (4, 5, 6)
+#: Features of the rated texts a part holds, about: sets the number of parts.
+PART_FEATURES = 500_000
 
 _CLASS = bytes(97 if 97 <= c <= 122 or c >= 128 else 65 if 65 <= c <= 90 else 48 if 48 <= c <= 57 else c
                for c in range(256))
@@ -52,6 +64,17 @@ def _shapes(words: list[bytes]) -> list[bytes]:
     return [s[:16] for s in flat.split(b"\n")] if words else []
 
 
+def _distinct(keys: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, ascending, and their counts, or the sums of ``weights``
+    of keys that come in order.  (np.unique hashes: several times slower.)"""
+    if weights is None:
+        keys = np.sort(keys)
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    if weights is None:
+        return keys[first], np.diff(np.append(first, len(keys)))
+    return keys[first], np.add.reduceat(weights, first) if len(first) else weights
+
+
 def features(texts: pa.Array, bits: int = BITS, places: np.ndarray | None = None):
     """(text, place, value) of the features of every text, by text; only
     those at ``places`` (ascending) where that is given, as indices into it."""
@@ -63,19 +86,23 @@ def features(texts: pa.Array, bits: int = BITS, places: np.ndarray | None = None
     real = (pc.binary_length(coded.dictionary).to_numpy(zero_copy_only=False) > 0)[which]
     owner, which = np.repeat(np.arange(len(per)), per)[real], which[real]
     count = np.bincount(owner, minlength=len(per))
+    # distinct (text, word) pairs and how often each is there
+    both, times = _distinct((owner << 32) | which)
+    owner, which = both >> 32, both & 0xFFFFFFFF
     mask = (1 << bits) - 1
 
     def hashed(values: list[bytes], salt: int) -> np.ndarray:
         return np.fromiter((xxhash.xxh3_64_intdigest(v, salt) & mask for v in values), np.int64, len(values))
 
-    def pairs(use: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """(text, place) keys of the tokens whose distinct word is in ``use``."""
+    def pairs(use: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(text, place) keys of the tokens whose distinct word is in ``use``,
+        and which tokens those are."""
         if places is not None:
             found, at = _among(places, place)
             use, place = use & found, place.copy()
             place[found] = at
         mine = use[which]
-        return (owner[mine] << bits) | place[which[mine]]
+        return (owner[mine] << bits) | place[which[mine]], mine
 
     folded = pc.ascii_lower(coded.dictionary)
     longer = pc.utf8_length(folded).to_numpy(zero_copy_only=False)
@@ -83,11 +110,13 @@ def features(texts: pa.Array, bits: int = BITS, places: np.ndarray | None = None
     for size in (0, *BEGINNINGS):           # 0: the whole word
         cut = (pc.utf8_slice_codeunits(folded, 0, size) if size else folded).dictionary_encode()
         place = hashed(cut.dictionary.cast(pa.large_binary()).to_pylist(), 10 + size)
-        have.append(np.unique(pairs(longer > size, place[cut.indices.to_numpy(zero_copy_only=False)])))
-    have = np.unique(np.concatenate(have))
+        have.append(pairs(longer > size, place[cut.indices.to_numpy(zero_copy_only=False)])[0])
+    have = _distinct(np.concatenate(have))[0]
     shapes = pa.array(_shapes(coded.dictionary.cast(pa.large_binary()).to_pylist()), pa.large_binary()).dictionary_encode()
     place = hashed(shapes.dictionary.to_pylist(), 2)[shapes.indices.to_numpy(zero_copy_only=False)]
-    shaped, n = np.unique(pairs(np.ones(len(place), bool), place), return_counts=True)
+    keys, mine = pairs(np.ones(len(place), bool), place)
+    order = np.argsort(keys, kind="stable")
+    shaped, n = _distinct(keys[order], times[mine][order])
     text = np.concatenate([have >> bits, shaped >> bits])
     place = np.concatenate([have & mask, shaped & mask])
     value = np.concatenate([np.ones(len(have)), SHAPE_SCALE * n / np.maximum(count[shaped >> bits], 1)])
@@ -147,49 +176,93 @@ def _encode(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordB
                 pa.ListArray.from_arrays(ends, value.astype(np.float32))], names=["grade", "place", "value"])
 
 
-def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(place, grade, number of texts) of a batch of rows."""
-    for batch in batches:
-        grade = batch.column("grade").to_numpy().astype(np.int64)
-        text = pc.list_parent_indices(batch.column("place")).to_numpy()
-        both, n = np.unique((batch.column("place").flatten().to_numpy().astype(np.int64) << 8) | grade[text],
-                            return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array((both >> 8).astype(np.int32)), pa.array((both & 255).astype(np.int32)),
-                                          pa.array(n.astype(np.int64))], names=["place", "grade", "n"])
+_DEALT = "part int, text array<int>, place array<int>, value array<float>"
+_PART = "text array<int>, at array<int>, value array<float>, places array<int>, scale array<float>"
 
 
-def _narrow(batches: Iterator[pa.RecordBatch], places: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """The features at ``places`` only, by their indices."""
+def _deal(batches: Iterator[pa.RecordBatch], texts: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
+    """The features of a batch of texts, dealt to parts by place."""
     for batch in batches:
-        text = pc.list_parent_indices(batch.column("place")).to_numpy()
-        found, at = _among(places, batch.column("place").flatten().to_numpy())
-        ends = np.concatenate([[0], np.cumsum(np.bincount(text[found], minlength=batch.num_rows))]).astype(np.int32)
+        row = np.searchsorted(texts, batch.column("id").to_numpy()).astype(np.int32)
+        text = row[pc.list_parent_indices(batch.column("place")).to_numpy()]
+        place, value = (batch.column(c).flatten().to_numpy() for c in ("place", "value"))
+        part = place % parts
+        order = np.argsort(part, kind="stable")
+        ends = np.concatenate([[0], np.cumsum(np.bincount(part, minlength=parts))]).astype(np.int32)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("grade"), pa.ListArray.from_arrays(ends, at.astype(np.int32)),
-             pa.ListArray.from_arrays(ends, batch.column("value").flatten().to_numpy()[found])],
-            names=["grade", "place", "value"])
+            [pa.array(np.arange(parts, dtype=np.int32)),
+             *[pa.ListArray.from_arrays(ends, x[order]) for x in (text, place, value)]],
+            names=["part", "text", "place", "value"])
+
+
+def evidence(text: np.ndarray, at: np.ndarray, places: int, grade: np.ndarray) -> np.ndarray:
+    """Per place, the most standard errors by which its texts pass a grade cut
+    unlike all texts that reach the grade below the cut."""
+    z, of_text = np.zeros(places), grade[text]
+    for cut in range(int(grade.max())):
+        reach = of_text >= cut
+        p = (grade[grade >= cut] > cut).mean()
+        if 0 < p < 1:
+            n = np.bincount(at[reach], minlength=places)
+            over = np.bincount(at[of_text > cut], minlength=places)
+            z = np.maximum(z, np.abs(over - n * p) / np.sqrt(np.maximum(n, 1) * p * (1 - p)))
+    return z
+
+
+def _gather(batches: Iterator[pa.RecordBatch], grade: np.ndarray, min_texts: int, min_z: float) -> Iterator[pa.RecordBatch]:
+    """Rows come part by part; one row per part, values scaled."""
+    part, held = None, []
+
+    def close():
+        text, place, value = (np.concatenate(x) for x in zip(*held))
+        places, at = np.unique(place, return_inverse=True)
+        z = evidence(text, at, len(places), grade)
+        scale = (z / HALF_Z) ** 8
+        scale /= 1 + scale
+        scale[(z < min_z) | (np.bincount(at, minlength=len(places)) < min_texts)] = 0
+        row = (text, at.astype(np.int32), (value * scale[at]).astype(np.float32), places, scale.astype(np.float32))
+        return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(np.array([0, len(x)], np.int32), x) for x in row],
+                                          names=["text", "at", "value", "places", "scale"])
+
+    for batch in batches:
+        for k, p in enumerate(batch.column("part").to_pylist()):
+            if p != part:
+                if held:
+                    yield close()
+                part, held = p, []
+            held.append([batch.column(c)[k].values.to_numpy() for c in ("text", "place", "value")])
+    if held:
+        yield close()
+
+
+def _weights(batch: pa.RecordBatch, by_text: np.ndarray) -> Iterator[tuple]:
+    """Per part: text, index of place and value of its features, weights and row of its places."""
+    for k in range(batch.num_rows):
+        text, at, value, places, scale = (batch.column(c)[k].values.to_numpy() for c in batch.schema.names)
+        yield text, at, value, np.bincount(at, by_text[text] * value, minlength=len(places)), places, scale
+
+
+def _product(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
+    """Scores of all texts under the weights that the coefficients give the
+    places of these parts."""
+    out = np.zeros(len(sent.value))
+    for batch in batches:
+        for text, at, value, weight, _, _ in _weights(batch, sent.value):
+            out += np.bincount(text, weight[at] * value, minlength=len(out))
+    yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()])], names=["scores"])
 
 
-def _gradient(batches: Iterator[pa.RecordBatch], at, size: int) -> Iterator[pa.RecordBatch]:
-    weights, thresholds = at.value
-    total, slope, out, rows = 0.0, np.zeros(len(thresholds)), np.zeros(size), 0
+def _weigh(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
+    """Places and weights of these parts, for unscaled values."""
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        text = pc.list_parent_indices(batch.column("place")).to_numpy()
-        place = batch.column("place").flatten().to_numpy()
-        value = batch.column("value").flatten().to_numpy().astype(np.float64)
-        score = np.bincount(text, weights[place] * value, minlength=batch.num_rows)
-        nll, by_score, by_cut = loss(score, batch.column("grade").to_numpy(), thresholds)
-        out += np.bincount(place, by_score[text] * value, minlength=size)
-        total, slope, rows = total + nll, slope + by_cut, rows + batch.num_rows
-    yield pa.RecordBatch.from_arrays([pa.array([total]), pa.array([rows], pa.int64()), pa.array([slope.tobytes()]),
-                                      pa.array([out.astype(np.float32).tobytes()])],
-                                     names=["nll", "rows", "slope", "gradient"])
+        for _, _, _, weight, places, scale in _weights(batch, sent.value):
+            yield pa.RecordBatch.from_arrays([pa.array([places[scale > 0].tobytes()]),
+                                              pa.array([(weight * scale)[scale > 0].astype(np.float32).tobytes()])],
+                                             names=["place", "weight"])
 
 
 def fit(docs: DataFrame, ratings: DataFrame, max_labelled: int = 20_000, bits: int = BITS, penalty: float = 1.0,
-        max_features: int = 4096, min_z: float = 5.0, min_texts: int = 5, max_passes: int = 60, tasks: int = 8,
+        min_z: float = 0.0, min_texts: int = 1, max_passes: int = 60, tasks: int = 8,
         seed: int = 11) -> tuple[Model | None, int]:
     """The model and its number of grades; ``ratings``: doc_id, grade (from 0)."""
     picked = (ratings.filter("doc_id IS NOT NULL AND grade IS NOT NULL").groupBy("doc_id")
@@ -197,80 +270,106 @@ def fit(docs: DataFrame, ratings: DataFrame, max_labelled: int = 20_000, bits: i
               .orderBy(F.xxhash64(F.lit(seed), F.col("doc_id")), "doc_id").limit(max_labelled)
               .select(F.col("doc_id").alias("_id"), "grade"))
     plain = docs.select(docs["doc_id"].alias("_id"), body(docs).alias("text"))
-    form = "grade int, place array<int>, value array<float>"
     wide = stored(plain.join(F.broadcast(picked), "_id").select("grade", "text")
-                  .mapInArrow(lambda it: _encode(it, bits), form), "ordinal-features")
+                  .mapInArrow(lambda it: _encode(it, bits), "grade int, place array<int>, value array<float>")
+                  .withColumn("id", F.monotonically_increasing_id()), "ordinal-features")
     per_grade = {r["grade"]: r["count"] for r in wide.groupBy("grade").count().collect()}
     if len(per_grade) < 2:
         return None, max(per_grade, default=0) + 1
-    k, total = max(per_grade), sum(per_grade.values())
-    above = {c: sum(n for g, n in per_grade.items() if g > c) / total for c in range(min(per_grade), k)}
-    z = F.greatest(F.lit(0.0), *[
-        F.abs(F.col(f"n{c}") / F.col("n") - p) * F.sqrt("n") / (p * (1 - p)) ** 0.5 for c, p in above.items()])
-    chosen = (wide.select("grade", "place").mapInArrow(_tally, "place int, grade int, n long").groupBy("place")
-              .agg(F.sum("n").alias("n"), *[F.sum(F.when(F.col("grade") > c, F.col("n")).otherwise(0)).alias(f"n{c}")
-                                            for c in above])
-              .filter(F.col("n") >= min_texts).withColumn("z", z).filter(F.col("z") >= min_z)
-              .orderBy(F.col("z").desc(), "place").limit(max_features).collect())
-    places = np.array(sorted(r["place"] for r in chosen), np.int64)
-    if not len(places):
-        places = np.zeros(1, np.int64)
-    rows = stored(wide.mapInArrow(lambda it: _narrow(it, places), form).coalesce(tasks), "ordinal-rows")
-    size, spark = len(places), docs.sparkSession
-
-    def unpack(x):
-        gaps = np.exp(x[size + 1:])
-        return x[:size], x[size] + np.concatenate([[0.0], np.cumsum(gaps)]), gaps
-
-    def evaluate(x):
-        weights, thresholds, gaps = unpack(x)
-        sent = spark.sparkContext.broadcast((weights, thresholds))
-        got = rows.mapInArrow(lambda it: _gradient(it, sent, size),
-                              "nll double, rows long, slope binary, gradient binary").collect()   # <= tasks rows
+    k, total, spark = max(per_grade), sum(per_grade.values()), docs.sparkSession
+    held = sorted((r["id"], r["grade"]) for r in wide.select("id", "grade").collect())    # <= max_labelled ids
+    texts, grade = np.array([i for i, _ in held], np.int64), np.array([g for _, g in held], np.int64)
+    size = wide.agg(F.sum(F.size("place").cast("long")).alias("n")).head()["n"]
+    parts = max(tasks, -(-size // PART_FEATURES))
+    rows = stored(wide.select("id", "place", "value").mapInArrow(lambda it: _deal(it, texts, parts), _DEALT)
+                  .filter(F.size("place") > 0).repartition("part").sortWithinPartitions("part")
+                  .mapInArrow(lambda it: _gather(it, grade, min_texts, min_z), _PART), "ordinal-parts")
+
+    def scores(by_text: np.ndarray) -> np.ndarray:
+        sent = spark.sparkContext.broadcast(by_text)
+        got = rows.mapInArrow(lambda it: _product(it, sent), "scores binary").collect()       # a row per task
         sent.unpersist()
-        nll = sum(r["nll"] for r in got) + 0.5 * penalty * float(weights @ weights)
-        slope = sum(np.frombuffer(r["slope"]) for r in got)
-        grad = penalty * weights + sum(np.frombuffer(r["gradient"], np.float32).astype(np.float64) for r in got)
-        after = np.cumsum(slope[::-1])[::-1]          # a threshold moves with all gaps below it
-        return nll, np.concatenate([grad, [after[0]], after[1:] * gaps])
+        return sum((np.frombuffer(r["scores"]) for r in got), np.zeros(len(by_text)))
+
+    def ordered(x):
+        gaps = np.exp(x[1:])
+        return x[0] + np.concatenate([[0.0], np.cumsum(gaps)]), gaps
+
+    def value(at: Point) -> float:
+        return loss(at.scores, grade, ordered(at.free)[0])[0] + 0.5 * penalty * float(at.by_text @ at.scores)
+
+    def slope(at: Point) -> Point:
+        thresholds, gaps = ordered(at.free)
+        _, by_score, by_cut = loss(at.scores, grade, thresholds)
+        after = np.cumsum(by_cut[::-1])[::-1]          # a threshold moves with all gaps below it
+        return Point(penalty * at.by_text + by_score, penalty * at.scores + scores(by_score),
+                     np.concatenate([[after[0]], after[1:] * gaps]))
 
     # thresholds start at the grades' own odds
     below = (np.cumsum([per_grade.get(g, 0) for g in range(k)]) + 0.5) / (total + 1.0)
     cuts = np.log(below / (1 - below))
-    x = np.concatenate([np.zeros(size), cuts[:1], np.log(np.maximum(np.diff(cuts), 0.05))])
-    return Model(places, *unpack(_minimise(evaluate, x, max_passes))[:2], bits), k + 1
+    start = Point(np.zeros(total), np.zeros(total), np.concatenate([cuts[:1], np.log(np.maximum(np.diff(cuts), 0.05))]))
+    best = _minimise(value, slope, start, max_passes)
+    sent = spark.sparkContext.broadcast(best.by_text)
+    places, weights = [np.zeros(0, np.int32)], [np.zeros(0, np.float32)]
+    for r in rows.mapInArrow(lambda it: _weigh(it, sent), "place binary, weight binary").toLocalIterator():
+        places.append(np.frombuffer(r["place"], np.int32))
+        weights.append(np.frombuffer(r["weight"], np.float32))
+    places, weights = np.concatenate(places), np.concatenate(weights)
+    if not len(places):
+        places, weights = np.zeros(1, np.int32), np.zeros(1, np.float32)
+    order = np.argsort(places)
+    return Model(places[order].astype(np.int64), weights[order], ordered(best.free)[0], bits), k + 1
+
+
+@dataclass
+class Point:
+    """Weights as a sum of the texts' features (one coefficient per text), the
+    scores they give the texts, and the free thresholds."""
+    by_text: np.ndarray
+    scores: np.ndarray
+    free: np.ndarray
+
+    def plus(self, step: float, other: Point) -> Point:
+        return Point(self.by_text + step * other.by_text, self.scores + step * other.scores,
+                     self.free + step * other.free)
+
+    def dot(self, other: Point) -> float:
+        return float(self.by_text @ other.scores + self.free @ other.free)
 
 
-def _minimise(evaluate, x: np.ndarray, max_passes: int, memory: int = 8) -> np.ndarray:
-    """L-BFGS with a halving line search; one pass over the rows per evaluation."""
-    value, grad = evaluate(x)
+def _minimise(value, slope, x: Point, max_passes: int, memory: int = 8) -> Point:
+    """L-BFGS with a halving line search; one pass over the rows per slope,
+    none per value."""
+    now, grad = value(x), slope(x)
     passes, pairs = 1, []
     while passes < max_passes:
-        q, kept = grad.copy(), []
+        q, kept = grad, []
         for s, y, r in reversed(pairs):
-            a = r * (s @ q)
-            q -= a * y
+            a = r * s.dot(q)
+            q = q.plus(-a, y)
             kept.append(a)
+        scale = 0.01
         if pairs:
             s, y, r = pairs[-1]
-            q *= (s @ y) / (y @ y)
-        else:
-            q *= 0.01
+            scale = s.dot(y) / y.dot(y)
+        q = q.plus(scale - 1.0, q)
         for (s, y, r), a in zip(pairs, reversed(kept)):
-            q += s * (a - r * (y @ q))
-        step, before = 1.0, value
-        while passes < max_passes:
-            new = x - step * q
-            new_value, new_grad = evaluate(new)
-            passes += 1
-            if new_value <= value - 1e-4 * step * float(grad @ q):
-                s, y = new - x, new_grad - grad
-                if s @ y > 1e-10:
-                    pairs = [*pairs[-(memory - 1):], (s, y, 1.0 / (s @ y))]
-                x, value, grad = new, new_value, new_grad
+            q = q.plus(a - r * y.dot(q), s)
+        step, before, down = 1.0, now, grad.dot(q)
+        for _ in range(max_passes):
+            new = x.plus(-step, q)
+            new_value = value(new)
+            if new_value <= now - 1e-4 * step * down:
+                new_grad = slope(new)
+                passes += 1
+                s, y = new.plus(-1.0, x), new_grad.plus(-1.0, grad)
+                if s.dot(y) > 1e-10:
+                    pairs = [*pairs[-(memory - 1):], (s, y, 1.0 / s.dot(y))]
+                x, now, grad = new, new_value, new_grad
                 break
             step /= 2
-        if before - value < 1e-5 * max(1.0, abs(before)):
+        if before - now < 1e-5 * max(1.0, abs(before)):
             break
     return x
 

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 from helpers_llm import awkward, empty, prose
 
 from tabvet.llm import ordinal as o
@@ -54,3 +55,35 @@ def test_awkward_rows_and_empty_tables(spark):
     assert o.grade(empty(spark), model, grades, 2).count() == 0
     nothing, one = o.fit(docs, marks.filter("doc_id = 1"))
     assert nothing is None and one == 3 and all(r.kept for r in o.grade(docs, nothing, one, 2).collect())
+
+
+def test_rare_words_have_weights(spark):
+    """A word of four rated texts, too rare for the former screen, decides."""
+    rows, marks = [], []
+    for i in range(300):
+        words = prose(60, 5000 + i).split()
+        grade = 0 if i % 15 == 0 else 1 if i % 15 == 1 else 2
+        if grade == 0:
+            words = [w.upper() + "!!" for w in words]
+        elif grade == 1:
+            words[7:7] = ["rarebad" if i % 75 == 1 else "badword"]
+        rows.append((i, " ".join(words)))
+        marks.append((i, grade))
+    fresh = prose(60, 9000)
+    docs = spark.createDataFrame([*rows, (1000, fresh), (1001, fresh + " rarebad")], "doc_id long, text string")
+    model, grades = o.fit(docs, spark.createDataFrame(marks, "doc_id long, grade int"), tasks=2)
+    place = np.unique(o.features(pa.array([t for _, t in rows]))[1])
+    assert np.isin(place, model.places).mean() > 0.99
+    got = {r.doc_id: r for r in o.grade(docs, model, grades, 2).filter("doc_id >= 1000").collect()}
+    assert got[1000].kept and got[1001].score < got[1000].score - 0.5
+
+
+def test_evidence_is_per_cut():
+    grade = np.array([0, 0, 1, 1, 2, 2, 2, 2])
+    text, at = np.array([0, 1, 2, 3, 4, 5]), np.array([0, 0, 1, 1, 1, 2])
+    z = o.evidence(text, at, 3, grade)
+    low, high = 6 / 8, 4 / 6
+    want = [abs(0 - 2 * low) / (2 * low * (1 - low)) ** 0.5, max(abs(3 - 3 * low) / (3 * low * (1 - low)) ** 0.5,
+            abs(1 - 3 * high) / (3 * high * (1 - high)) ** 0.5), max(abs(1 - low) / (low * (1 - low)) ** 0.5,
+            abs(1 - high) / (high * (1 - high)) ** 0.5)]
+    assert np.allclose(z, want)
