@@ -178,3 +178,85 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language-model score of every document."""
     from tabvet.llm import pitman_yor
     return pitman_yor.scores(documents(spark, sf_dir))
+
+
+@_query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and proof of every document, and whether its leaf still
+    verifies after a third of the texts were lower-cased."""
+    from tabvet.llm import merkle
+    return merkle.verify(merkle.manifest(documents(spark, sf_dir), merkle.lower_cased))
+
+
+# crc32 of a decimal number: each byte is folded in, then eight shifts
+_CRC = """xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(
+    string_split({id}::VARCHAR, ''), lambda c: list_prepend(CAST(-2 - ascii(c) AS BIGINT), [CAST(-1 AS BIGINT) FOR i IN range(8)])))),
+    lambda c, e: CASE WHEN e < -1 THEN xor(c, -2 - e) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END),
+    4294967295)"""
+
+
+def _field(value: str) -> str:
+    return f"coalesce(strlen({value}) || ':' || {value}, '-')"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(_field(v) for v in ("doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text)) + ")"
+
+
+ORACLE_SQL["op13_merkle_manifest"] = f"""
+WITH RECURSIVE hashed AS (
+  SELECT doc_id, lang, {_leaf("text")} AS leaf,
+         CASE WHEN coalesce({_CRC.format(id="doc_id")} % 3 = 0, false)
+              THEN {_leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}
+              ELSE {_leaf("text")} END AS presented
+  FROM documents),
+leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+         count(*) OVER (PARTITION BY lang) AS n
+  FROM hashed),
+lv AS (
+  SELECT lang, 0 AS k, pos, leaf AS node, n FROM leaves
+  UNION ALL
+  SELECT lang, k + 1, pos // 8, sha256(string_agg(node, '' ORDER BY pos)), (n + 7) // 8
+  FROM lv WHERE n > 1 GROUP BY lang, k, pos // 8, n),
+runs AS (
+  SELECT lang, k, pos // 8 AS run, string_agg(node, '' ORDER BY pos) AS s FROM lv WHERE n > 1 GROUP BY lang, k, pos // 8),
+subroots AS (
+  SELECT lang, node AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n
+  FROM lv WHERE n = 1),
+top AS (
+  SELECT 0 AS k, pos, subroot AS node, n FROM subroots
+  UNION ALL
+  SELECT k + 1, pos // 8, sha256(string_agg(node, '' ORDER BY pos)), (n + 7) // 8
+  FROM top WHERE n > 1 GROUP BY k, pos // 8, n),
+top_runs AS (
+  SELECT k, pos // 8 AS run, string_agg(node, '' ORDER BY pos) AS s FROM top WHERE n > 1 GROUP BY k, pos // 8),
+flanks AS (
+  SELECT lang, pos, k, substr(s, 1, own * 64) AS before, substr(s, own * 64 + 65) AS after
+  FROM (SELECT l.lang, l.pos, r.k, r.s, (l.pos >> (3 * r.k)) % 8 AS own FROM leaves l JOIN runs r
+        ON l.lang IS NOT DISTINCT FROM r.lang AND r.run = l.pos >> (3 * r.k + 3)) AS x
+  UNION ALL
+  SELECT leaves.lang, leaves.pos, 1000 + t.k, substr(t.s, 1, t.own * 64), substr(t.s, t.own * 64 + 65)
+  FROM leaves JOIN (
+    SELECT u.lang, r.k, r.s, (u.pos >> (3 * r.k)) % 8 AS own
+    FROM subroots u JOIN top_runs r ON r.run = u.pos >> (3 * r.k + 3)) t
+  ON leaves.lang IS NOT DISTINCT FROM t.lang),
+paths AS (
+  SELECT lang, pos, string_agg(before || after, '' ORDER BY k) AS proof, list(before || '|' || after ORDER BY k) AS steps
+  FROM flanks GROUP BY lang, pos),
+folded AS (
+  SELECT l.doc_id, l.leaf, u.subroot, (SELECT node FROM top WHERE n = 1) AS root,
+         sha256(coalesce(p.proof, '')) AS proof_sha256,
+         list_reduce(list_prepend(l.presented, coalesce(p.steps, [])),
+                     lambda acc, s: sha256(split_part(s, '|', 1) || acc || split_part(s, '|', 2))) AS folded_root
+  FROM leaves l JOIN subroots u ON l.lang IS NOT DISTINCT FROM u.lang
+  LEFT JOIN paths p ON l.lang IS NOT DISTINCT FROM p.lang AND l.pos = p.pos)
+SELECT *, folded_root = root AS verified FROM folded
+"""
+
+
+@_query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every text, a tenth of them made periodic before."""
+    from tabvet.llm import periodic_runs
+    return periodic_runs.digest(periodic_runs.runs(periodic_runs.planted(documents(spark, sf_dir))))
