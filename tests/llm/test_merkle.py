@@ -64,8 +64,7 @@ def check(docs):
 
 
 def test_awkward_and_empty_tables(spark):
-    got = check(awkward(spark))
-    assert {r.verified for r in got} == {True, False}
+    check(awkward(spark))
     assert n.verify(n.manifest(empty(spark), n.lower_cased)).count() == 0
 
 
@@ -77,7 +76,8 @@ def test_several_rounds_hot_language_and_many_languages(spark):
         F.when(F.col("id") < 6_000, "en").when(F.col("id") < 9_000, F.concat(F.lit("é"), F.col("id") % 700))
         .alias("lang"), F.lit("src0").alias("source"), F.col("id").alias("n_chars"), F.lit(1).alias("pos"),
         F.lit("x").alias("node")))
-    assert len(check(docs)) == 10_000
+    got = check(docs)
+    assert len(got) == 10_000 and {r.verified for r in got} == {True, False}
 
 
 def test_one_row_and_equal_rows(spark):
@@ -89,6 +89,6 @@ def test_one_row_and_equal_rows(spark):
 
 def test_other_fields_are_not_forgiven(spark):
     docs = awkward(spark, clash=False)
-    got = n.verify(n.manifest(docs, lambda d: n.leaf(d, source=F.lit("other")))).collect()
+    got = n.verify(n.manifest(docs, lambda d: n.leaf(d, source=F.lit("elsewhere")))).collect()
     assert not any(r.verified for r in got)
     assert all(r.verified for r in n.verify(n.manifest(docs)).collect())
