@@ -12,7 +12,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -78,20 +78,30 @@ BROADCAST_BYTES = 128 << 20
 
 def sized(side: DataFrame) -> DataFrame:
     """``side`` written once into the shared folder and marked for broadcast if
-    its rows measure at most BROADCAST_BYTES (texts by their length, other
+    its rows measure at most BROADCAST_BYTES (texts by their length, arrays of
+    plain values by 16 bytes each, other nested values by their JSON text, other
     values by 16 bytes); beyond that the join shuffles."""
     spark = side.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/side-{uuid.uuid4().hex}"
     side.write.parquet(path)
     kept = spark.read.schema(side.schema).parquet(path)
-    texts = [F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)) for f in side.schema
-             if isinstance(f.dataType, T.StringType)]
-    other = [16 * F.coalesce(F.size(F.col(f"`{f.name}`")), F.lit(1)) if isinstance(f.dataType, T.ArrayType) else F.lit(16)
-             for f in side.schema if not isinstance(f.dataType, T.StringType)]
-    size = kept.agg(F.sum(sum(texts + other, F.lit(0)).cast("long"))).first()[0] or 0
+    size = kept.agg(F.sum(sum((_bytes(f) for f in side.schema), F.lit(0)).cast("long"))).first()[0] or 0
     return F.broadcast(kept) if size <= BROADCAST_BYTES else kept
 
 
+def _bytes(field: T.StructField) -> Column:
+    """Bytes a value takes, about."""
+    col, kind = F.col(f"`{field.name}`"), field.dataType
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(col), F.lit(0))
+    if isinstance(kind, T.ArrayType) and not isinstance(kind.elementType, (T.StringType, T.BinaryType, T.ArrayType,
+                                                                          T.StructType, T.MapType)):
+        return 16 * F.greatest(F.coalesce(F.size(col), F.lit(1)), F.lit(1))
+    if isinstance(kind, (T.ArrayType, T.StructType, T.MapType)):
+        return F.coalesce(F.octet_length(F.to_json(F.struct(col))), F.lit(0))
+    return F.lit(16)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one of the driver's parquet tables."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
