@@ -260,3 +260,11 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Periodic runs of every text, a tenth of them made periodic before."""
     from tabvet.llm import periodic_runs
     return periodic_runs.digest(periodic_runs.runs(periodic_runs.planted(documents(spark, sf_dir))))
+
+
+@_query
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by its nearest rank-order profile."""
+    from tabvet.llm import language_id
+    docs = documents(spark, sf_dir)
+    return language_id.predict(docs, language_id.learn(docs))
