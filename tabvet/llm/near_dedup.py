@@ -19,10 +19,17 @@ through a pivot is found too and no bucket is expanded into pairs.  Classes
 are the connected components of the links found; the smallest doc_id names
 the class and stays.
 
-Defined results: a NULL or empty text (no words) is a class of its own;
-repeated rows are one class; rows with a NULL doc_id are left alone (a class
-of their own, kept); of rows with the same doc_id and the same words all
-share the class, and ``keep`` retains the first row of the smallest id.
+A multiset is a node of its own, whatever ids its texts have; a text is known
+by its doc_id and a 64-bit hash of its characters.
+
+Defined results: a NULL or empty text (no words) is a class of its own, kept;
+rows with a NULL doc_id are left alone (a class of their own, kept); repeated
+rows are one class, all marked as kept, and ``keep`` retains one of them.
+Different texts under one doc_id are documents of their own: each belongs to
+the class of its words, and is kept or dropped by itself.  A class is named by
+the smallest doc_id among its texts (two classes have the same name where that
+id has different texts) and keeps that id's text; of several texts of the id in
+one class, the one of the smallest hash.
 """
 
 from __future__ import annotations
@@ -34,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabvet.llm.common import body, stored
+from tabvet.llm.common import body, column_names, stored
 from tabvet.llm.components import components
 from tabvet.llm.shingles import elements, mix, occurrences, overlap, shingles
 from tabvet.llm.token_counts import slices
@@ -109,10 +116,11 @@ def _sign(batches: Iterator[pa.RecordBatch], words: int, bands: int, rows: int)
             keys = band_keys(signatures(*_weighted(hashes, text), n, bands * rows), bands, rows).view(np.int64)
             some = per > 0
             yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id").slice(first, n), pa.array(per), pa.array(names[0]), pa.array(names[1]),
+                batch.column("doc_id").slice(first, n), batch.column("mark").slice(first, n), pa.array(per),
+                pa.array(names[0]), pa.array(names[1]),
                 pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(np.where(some, bands, 0))]).astype(np.int32),
                                          keys[some].ravel())],
-                names=["doc_id", "n_shingles", "name1", "name2", "keys"])
+                names=["doc_id", "mark", "n_shingles", "name1", "name2", "keys"])
 
 
 def _weighted(hashes, text):
@@ -121,10 +129,15 @@ def _weighted(hashes, text):
 
 
 def signed(docs: DataFrame, words: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit name of the multiset and the band keys."""
-    plain = docs.select(docs["doc_id"].cast("long").alias("doc_id"), body(docs).alias("text"))
-    return plain.mapInArrow(lambda it: _sign(it, words, bands, rows),
-                            "doc_id long, n_shingles long, name1 long, name2 long, keys array<long>")
+    """doc_id, mark (hash of the text), n_shingles, a 128-bit name of the
+    multiset and the band keys."""
+    return _plain(docs).mapInArrow(lambda it: _sign(it, words, bands, rows),
+                                   "doc_id long, mark long, n_shingles long, name1 long, name2 long, keys array<long>")
+
+
+def _plain(docs: DataFrame) -> DataFrame:
+    text = body(docs)
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text"))
 
 
 def _compare(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
@@ -215,10 +228,9 @@ def _tiles(batches: Iterator[pa.RecordBatch], words: int, threshold: float) -> I
 
 def links(reps: DataFrame, docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD,
           near: float = NEAR, tile: int = TILE) -> DataFrame:
-    """Links (a, b) between different multisets at ``threshold`` or more;
-    ``reps``: doc_id and keys of one text of each multiset."""
-    spark = docs.sparkSession
-    banded = reps.select(F.col("doc_id").alias("doc"), F.explode("keys").alias("bucket"))
+    """Links (a, b) between multisets at ``threshold`` or more; ``reps``: node,
+    doc_id, mark and keys of one text of each multiset."""
+    banded = reps.select(F.col("node").alias("doc"), F.explode("keys").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     meets = stored(banded.join(shared, "bucket"), "buckets")
     # the pivot of a bucket meets the most others over all its buckets
@@ -229,12 +241,12 @@ def links(reps: DataFrame, docs: DataFrame, words: int = WORDS, threshold: float
     pairs = stored(meets.select("bucket", "doc").join(pivots, "bucket").filter("doc <> pivot")
                    .select("pivot", "doc").distinct(), "pairs")
 
-    wanted = stored(pairs.select("doc").union(pairs.select("pivot")).distinct(), "wanted")
-    bodies = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc"),
-                                                            body(docs).alias("text"))
+    members = pairs.select("doc").union(pairs.select("pivot")).distinct()
+    wanted = stored(reps.select(F.col("node").alias("doc"), "doc_id", "mark").join(members, "doc", "left_semi"), "wanted")
     small = wanted.count() <= BROADCAST_IDS
-    texts = stored(bodies.join(F.broadcast(wanted) if small else wanted, "doc", "left_semi")
-                   .dropDuplicates(["doc"]), "near-texts")
+    # equal rows have equal texts: any of them serves
+    texts = stored(_plain(docs).join(F.broadcast(wanted) if small else wanted, ["doc_id", "mark"])
+                   .select("doc", "text").dropDuplicates(["doc"]), "near-texts")
 
     pages = pairs.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / (2 * tile)).cast("int").alias("pages"))
     members = (pairs.join(pages, "pivot").join(texts, "doc")
@@ -270,32 +282,48 @@ def links(reps: DataFrame, docs: DataFrame, words: int = WORDS, threshold: float
     return straight.unionByName(stored(crossed, "crossed"))
 
 
-#: Ids of bucketed or dropped texts are broadcast up to this many (8 bytes each), joined by shuffle beyond.
+#: Keys of bucketed or dropped texts are broadcast up to this many (24 bytes each), joined by shuffle beyond.
 BROADCAST_IDS = 1_000_000
 
 
 def classes(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of ``docs``: doc_id, class_id (smallest doc_id of its
-    near-duplicates), kept (it is that document)."""
+    near-duplicates), kept (it is that id's text)."""
+    return _classified(docs, words, threshold).drop("mark")
+
+
+def _classified(docs: DataFrame, words: int, threshold: float) -> DataFrame:
     rows = stored(signed(docs, words), "signed")
     known = rows.filter("doc_id IS NOT NULL AND n_shingles > 0")
-    same = stored(known.groupBy("name1", "name2").agg(F.min("doc_id").alias("doc_id")), "multisets")
-    reps = known.join(same, ["doc_id", "name1", "name2"]).select("doc_id", "keys").dropDuplicates(["doc_id"])
+    first = known.groupBy("name1", "name2").agg(F.min(F.struct("doc_id", "mark")).alias("first"))
+    same = stored(first.select("name1", "name2", "first.doc_id", "first.mark",
+                               F.monotonically_increasing_id().alias("node")), "multisets")
+    reps = stored(known.join(same, ["name1", "name2", "doc_id", "mark"]).select("node", "doc_id", "mark", "keys")
+                  .dropDuplicates(["node"]), "representatives")
     found = components(links(reps, docs, words, threshold))
-    first = (same.join(found.select(F.col("node").alias("doc_id"), "label"), "doc_id", "left")
-             .select("name1", "name2", F.coalesce("label", "doc_id").alias("class_id")))
-    empty = rows.filter("doc_id IS NULL OR n_shingles = 0").select("doc_id", F.col("doc_id").alias("class_id"))
-    out = known.select("doc_id", "name1", "name2").join(first, ["name1", "name2"]).select("doc_id", "class_id")
-    return out.unionByName(empty).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
+    placed = same.join(found, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    heads = placed.groupBy("label").agg(F.min(F.struct("doc_id", "mark")).alias("head"))
+    named = placed.join(heads, "label").select("name1", "name2", "head")
+    out = known.select("doc_id", "mark", "name1", "name2").join(named, ["name1", "name2"]).select(
+        "doc_id", "mark", F.col("head.doc_id").alias("class_id"),
+        ((F.col("doc_id") == F.col("head.doc_id")) & (F.col("mark") == F.col("head.mark"))).alias("kept"))
+    alone = rows.filter("doc_id IS NULL OR n_shingles = 0").select(
+        "doc_id", "mark", F.col("doc_id").alias("class_id"), F.lit(True).alias("kept"))
+    return out.unionByName(alone)
 
 
 def keep(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` without those that a smaller id's class holds."""
-    found = stored(classes(docs, words, threshold), "classes")
-    gone = stored(found.filter("NOT kept").select("doc_id").distinct(), "gone")
+    """The rows of ``docs`` that their class keeps, repeated ones once; rows
+    without an id all stay."""
+    found = stored(_classified(docs, words, threshold), "classes")
+    gone = stored(found.filter("NOT kept").select("doc_id", "mark").distinct(), "gone")
+    doc, mark = column_names(docs, "_gone", "_mark")
+    gone = gone.select(F.col("doc_id").alias(doc), F.col("mark").alias(mark))
     if gone.count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
-    left = docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
-    again = found.filter("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1")
-    return left if again.isEmpty() else left.filter("doc_id IS NULL").unionByName(
-        left.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))
+    left = docs.join(gone, (docs["doc_id"] == F.col(doc)) & (F.xxhash64(body(docs)) == F.col(mark)), "left_anti")
+    again = found.filter("kept AND doc_id IS NOT NULL").groupBy("doc_id", "mark").count().filter("count > 1")
+    if again.isEmpty():
+        return left
+    known = left.filter("doc_id IS NOT NULL").withColumn(mark, F.xxhash64(body(docs)))
+    return left.filter("doc_id IS NULL").unionByName(known.dropDuplicates(["doc_id", mark]).drop(mark))

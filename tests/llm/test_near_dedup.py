@@ -22,12 +22,13 @@ def jaccard(a, b):
 
 
 def brute(rows):
-    """Class per (id, text) by all pairs."""
-    known = [r for r in rows if r[0] is not None and bag(r[1])]
-    label = {r[0]: r[0] for r in known}
-    bags = [(i, bag(t)) for i, t in known]
+    """(id, text) -> class and whether it stays, by all pairs."""
+    known = sorted({r for r in rows if r[0] is not None and bag(r[1])})
+    mark = {t: h for t, h in {(t, marks[t]) for _, t in known}}
+    label = {r: (r[0], mark[r[1]]) for r in known}
+    bags = [(r, bag(r[1])) for r in known]
+    links = [(a, b) for k, (a, x) in enumerate(bags) for b, y in bags[:k] if jaccard(x, y) >= 0.8]
     moved = True
-    links = [(a, b) for k, (a, x) in enumerate(bags) for b, y in bags[:k] if a != b and jaccard(x, y) >= 0.8]
     while moved:
         moved = False
         for a, b in links:
@@ -35,25 +36,43 @@ def brute(rows):
             if label[a] != low or label[b] != low:
                 label[a] = label[b] = low
                 moved = True
-    return [(i, label[i] if i is not None and bag(t) else i) for i, t in rows]
+    return [(i, label[i, t][0], label[i, t] == (i, mark[t])) if (i, t) in label else (i, i, True) for i, t in rows]
+
+
+marks = {}
 
 
 def check(docs):
+    from pyspark.sql import functions as F
     rows = [(r.doc_id, r.text) for r in docs.collect()]
+    marks.update({r.text: r.h for r in docs.select("text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()})
+    want = brute(rows)
     got = n.classes(docs).collect()
-    assert Counter((r.doc_id, r.class_id) for r in got) == Counter(brute(rows))
+    assert Counter((r.doc_id, r.class_id, r.kept) for r in got) == Counter(want)
     kept = n.keep(docs)
     assert kept.columns == docs.columns
-    ids = [r.doc_id for r in kept.collect()]
-    want = {r.doc_id for r in got if r.kept and r.doc_id is not None}
-    assert sorted(i for i in ids if i is not None) == sorted(want)
-    assert ids.count(None) == sum(i is None for i, _ in rows)
+    stay = {r for r, (_, _, k) in zip(rows, want) if k and r[0] is not None}
+    out = [(r.doc_id, r.text) for r in kept.collect()]
+    empties = {r for r in rows if not bag(r[1])}
+    assert sorted(x for x in out if x[0] is not None and x not in empties) == sorted(x for x in stay if x not in empties)
+    assert {x[0] for x in out if x in empties} == {x[0] for x in empties}
+    assert sum(x[0] is None for x in out) == sum(i is None for i, _ in rows)
 
 
 def test_awkward_rows(spark):
     check(awkward(spark))
 
 
+def test_different_texts_under_one_id(spark):
+    a, b, c = prose(60, 21), prose(60, 22), prose(60, 23)
+    near_a, near_b = a.replace(a.split()[30], "changed", 1), b.replace(b.split()[30], "changed", 1)
+    docs = spark.createDataFrame([(3, a), (5, a), (5, b), (5, c), (7, near_b), (2, near_a), (7, a), (9, c), (9, c), (5, c + " "),
+                                  (4, None), (4, ""), (4, a)], "doc_id long, text string")
+    check(docs)
+    kept = {(r.doc_id, r.text) for r in n.keep(docs).collect()}
+    assert (5, b) in kept and (2, near_a) in kept and len({t for i, t in kept if i == 5 and t.strip() == c}) == 1
+
+
 def test_empty_table(spark):
     assert n.classes(empty(spark)).count() == 0
     assert n.keep(empty(spark)).count() == 0
