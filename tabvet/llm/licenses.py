@@ -1,14 +1,17 @@
 """Operator 8: licence scans.
 
 An Aho-Corasick automaton over the words of each text finds notice phrases
-and identifier tags; a shunting-yard parser evaluates the ``and`` / ``or`` /
-``with`` expression after an identifier tag.
+and identifier tags (words apart by dashes, blanks or anything else that is no
+word); a shunting-yard parser evaluates the ``and`` / ``or`` / ``with``
+expression between the tag's colon and the end of its line, in time linear in
+the line.
 
 Words are runs of ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]`` after lower-casing A-Z
 (letters, digits and everything beyond ASCII), numbered from 0.
 
 Defined results: a NULL or empty text has no words, no findings and score 0;
-an expression that does not parse gives no labels; identifiers that are not
+an expression that does not parse, of any length, gives no labels; a tag inside
+the expression of another is read as part of it; identifiers that are not
 in the table are reported under their own name.
 """
 
@@ -67,7 +70,10 @@ UNKNOWN_RESTRICTION = 0.6
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _WORDS = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-_EXPRESSION = re.compile(rb"spdx-license-identifier[ \t]*:[ \t]*([^\r\n]*)")
+#: What follows a tag: a colon and the rest of the line.
+_EXPRESSION = re.compile(rb"[ \t]*:[ \t]*([^\r\n]*)")
+#: Ends of comments that may close the line.
+_CLOSING = re.compile(r"\*/|-->|\*\)")
 _TOKEN = re.compile(r"[()]|[a-z0-9][a-z0-9.+:-]*")
 _BINDS = {"or": 1, "and": 2, "with": 3}
 
@@ -118,20 +124,23 @@ def evaluate(expression: str) -> tuple[list[str], float] | None:
     steps = postfix(expression)
     if steps is None:
         return None
-    values: list[tuple[frozenset, float, str]] = []
+    # the stack holds (restriction, place among the operands, or -1 for what an operator gave)
+    values: list[tuple[float, int]] = []
+    names: list[str | None] = []
     for step in steps:
         if step not in _BINDS:
-            values.append((frozenset([step]), restriction(step), step))
+            values.append((restriction(step), len(names)))
+            names.append(step)
             continue
-        right, left = values.pop(), values.pop()
+        (right, exception), (left, base) = values.pop(), values.pop()
         if step == "with":
-            if len(left[0]) != 1 or len(right[0]) != 1 or not right[2] or not left[2]:
+            if base < 0 or exception < 0:
                 return None
-            values.append((left[0], left[1] / 2, ""))
+            names[exception] = None
+            values.append((left / 2, -1))
         else:
-            pick = min if step == "or" else max
-            values.append((left[0] | right[0], pick(left[1], right[1]), ""))
-    return sorted(values[0][0]), values[0][1]
+            values.append((min(left, right) if step == "or" else max(left, right), -1))
+    return sorted({n for n in names if n is not None}), values[0][0]
 
 
 @lru_cache(maxsize=4)
@@ -149,20 +158,30 @@ def find(text: bytes, phrases: tuple[tuple[str, str], ...]) -> tuple[int, list[d
     low = text.translate(_LOWER)
     words = low.translate(_WORDS).split()
     line = b" " + b" ".join(words) + b" "
-    hits, tagged, blanks = [], False, None
+    hits, tags, blanks = [], [], None
     for end, (phrase, label) in _automaton(phrases).iter(line.decode("latin-1")):
-        if phrase == TAG:
-            tagged = True
-            continue
         if blanks is None:
             blanks = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
+        size = phrase.count(" ") + 1
         at = int(np.searchsorted(blanks, end - len(phrase) - 1))
-        hits.append({"label": label, "phrase": phrase, "first": at, "words": phrase.count(" ") + 1})
+        if phrase == TAG:
+            tags.append(at + size - 1)
+        else:
+            hits.append({"label": label, "phrase": phrase, "first": at, "words": size})
     hits.sort(key=lambda h: (h["first"], h["words"], h["label"]))
     expressions = []
-    if tagged:
-        for m in _EXPRESSION.finditer(low):
-            said = re.sub(r"(\*/|-->|\*\)).*$", "", m[1].decode("utf-8", "replace")).strip()
+    if tags:
+        inside = np.frombuffer(low.translate(_WORDS) + b" ", np.uint8) != 32
+        word_ends = np.flatnonzero(inside[:-1] & ~inside[1:]) + 1
+        read = 0                                    # an expression takes its line: tags in it are part of it
+        for last in sorted(tags):
+            m = _EXPRESSION.match(low, int(word_ends[last])) if word_ends[last] >= read else None
+            if m is None:
+                continue
+            read = m.end()
+            said = m[1].decode("utf-8", "replace")
+            closing = _CLOSING.search(said)
+            said = (said[:closing.start()] if closing else said).strip()
             value = evaluate(said)
             if value:
                 expressions.append({"expression": said, "labels": value[0], "restriction": value[1]})
