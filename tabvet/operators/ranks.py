@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabvet.session import sized
+
 DEFAULT_BUCKETS = 256
 
 
@@ -50,14 +52,15 @@ def order_key(df: DataFrame, value_col: str) -> F.Column:
 TEXT_SAMPLE = 16_384
 
 
-def _text_bounds(values: DataFrame, group_cols: list[str], value_col: str, n_buckets: int) -> DataFrame:
+def _text_bounds(values: DataFrame, group_cols: list[str], value_col: str, n_buckets: int,
+                 small=F.broadcast) -> DataFrame:
     """(group..., _bounds): texts that cut each group's distinct values into
     ``n_buckets`` ranges of like size, from about TEXT_SAMPLE of them picked
     by hash.  Whole texts are compared, so a common beginning does no harm."""
     values = values.select(*group_cols, value_col)
     sizes = values.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_group_size"))
     place = F.pmod(F.xxhash64(value_col), F.lit(1 << 40)) / float(1 << 40)
-    picked = (values.join(F.broadcast(sizes), group_cols).filter(place * F.col("_group_size") < TEXT_SAMPLE)
+    picked = (values.join(small(sizes), group_cols).filter(place * F.col("_group_size") < TEXT_SAMPLE)
               .groupBy(*group_cols).agg(F.array_sort(F.collect_list(value_col)).alias("_s")))
     cut = F.transform(F.sequence(F.lit(1), F.lit(n_buckets - 1)),
                       lambda i: F.get("_s", F.floor(i * F.size("_s") / n_buckets).cast("int")))
@@ -75,10 +78,12 @@ def value_counts(df: DataFrame, group_cols: list[str], value_col: str) -> DataFr
 
 def cumulative(counts: DataFrame, group_cols: list[str], value_col: str,
                count_cols: list[str] | str = "cnt",
-               n_buckets: int = DEFAULT_BUCKETS, with_next: bool = False) -> DataFrame:
+               n_buckets: int = DEFAULT_BUCKETS, with_next: bool = False, many_groups: bool = False) -> DataFrame:
     """Add ``cum_<c>`` = inclusive running sum of each count column in
     ascending ``value_col`` order within each group, plus ``tot_<c>``
-    (group total)."""
+    (group total).  ``many_groups``: the groups are data values, not columns,
+    so their bounds and offsets are broadcast only if they measure small."""
+    small = sized if many_groups else F.broadcast
     if isinstance(count_cols, str):
         count_cols = [count_cols]
     g = list(group_cols)
@@ -86,14 +91,13 @@ def cumulative(counts: DataFrame, group_cols: list[str], value_col: str,
         counts, g = counts.withColumn("_all", F.lit(0)), ["_all"]
     if isinstance(counts.schema[value_col].dataType, T.StringType):
         keyed = counts.withColumn("_okey", F.col(f"`{value_col}`"))
-        bounds = _text_bounds(keyed, g, "_okey", n_buckets)
+        bounds = _text_bounds(keyed, g, "_okey", n_buckets, small)
     else:
         probs = [i / n_buckets for i in range(1, n_buckets)]
         keyed = counts.withColumn("_okey", order_key(counts, value_col))
         bounds = (keyed.groupBy(*g)
                   .agg(F.array_distinct(F.percentile_approx("_okey", probs, 10000)).alias("_bounds")))
-    # one row per group: bounded by the number of groups (columns) -> broadcast
-    b = keyed.join(F.broadcast(bounds), g)
+    b = keyed.join(small(bounds), g)
     b = b.withColumn("_bucket", _bucket_expr("_bounds", "_okey")).drop("_bounds", "_okey")
     totals = b.groupBy(*g, "_bucket").agg(*[F.sum(c).alias(f"_bt_{c}") for c in count_cols])
     wo = Window.partitionBy(*g).orderBy("_bucket")
@@ -103,7 +107,7 @@ def cumulative(counts: DataFrame, group_cols: list[str], value_col: str,
         *g, "_bucket",
         *[(F.sum(f"_bt_{c}").over(wo) - F.col(f"_bt_{c}")).alias(f"_off_{c}") for c in count_cols],
         *[F.sum(f"_bt_{c}").over(wg).alias(f"tot_{c}") for c in count_cols])
-    j = b.join(F.broadcast(offsets), g + ["_bucket"])
+    j = b.join(small(offsets), g + ["_bucket"])
     wv = Window.partitionBy(*g, "_bucket").orderBy(value_col).rowsBetween(Window.unboundedPreceding, 0)
     extra = []
     if with_next:
@@ -113,7 +117,7 @@ def cumulative(counts: DataFrame, group_cols: list[str], value_col: str,
         firsts = b.groupBy(*g, "_bucket").agg(F.min(value_col).alias("_first"))
         nxt = firsts.select(*g, "_bucket", F.lead("_first").over(Window.partitionBy(*g).orderBy("_bucket"))
                             .alias("_next_bucket_first"))
-        j = j.join(F.broadcast(nxt), g + ["_bucket"])
+        j = j.join(small(nxt), g + ["_bucket"])
         extra = [F.coalesce(F.lead(value_col).over(wl), F.col("_next_bucket_first")).alias("next_v")]
     return j.select(
         *[c for c in counts.columns if c != "_all"],

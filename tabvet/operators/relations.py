@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabvet.operators.information import neighbour_information
 from tabvet.operators.ranks import average_ranks
 from tabvet.session import cut_lineage
 from tabvet.operators import typing as TY
@@ -227,8 +228,8 @@ def equal_width_bins(df: DataFrame, cols: list[str], k: int = 20) -> dict:
 def relationship_matrix(df: DataFrame, cols: list[str], min_rows: int = 10) -> DataFrame:
     """Symmetric long matrix (col1, col2, kind, score) over column pairs:
     numerical-numerical |Spearman|; categorical-categorical gated Cramér's
-    V; otherwise min(MI/2, 1) (numeric partner binned into 20 bins when it
-    is the second column, the re-aim of the kNN estimator)."""
+    V; otherwise min(MI/2, 1): of a class and a number by nearest neighbours
+    (information.py), of other mixtures from contingency counts."""
     types = {r["feature"]: r["relationship_type"] for r in TY.relationship_types(df, cols).collect()}
     pairs = list(combinations(cols, 2))
     num_pairs = [(a, b) for a, b in pairs if types[a] == "numerical" and types[b] == "numerical"]
@@ -246,10 +247,20 @@ def relationship_matrix(df: DataFrame, cols: list[str], min_rows: int = 10) -> D
     if cat_pairs:
         parts.append(cramers_v(df, cat_pairs).select("col1", "col2", F.lit("cramers_v").alias("kind"), "score"))
     if mix_pairs:
-        to_bin = sorted({b for a, b in mix_pairs if types[b] == "numerical"})
-        mi = mutual_information(df, mix_pairs, equal_width_bins(df, to_bin))
-        parts.append(mi.select("col1", "col2", F.lit("mutual_info").alias("kind"),
-                               F.least(F.col("mi") / 2.0, F.lit(1.0)).alias("score")))
+        with_number = [p for p in mix_pairs if "numerical" in (types[p[0]], types[p[1]])]
+        plain = [p for p in mix_pairs if p not in with_number]
+        share = F.least(F.col("mi") / 2.0, F.lit(1.0)).alias("score")
+        if with_number:
+            # the estimator takes (class, number): given pairs are turned round and back
+            turned = [(b, a) if types[a] == "numerical" else (a, b) for a, b in with_number]
+            mi = neighbour_information(df, turned)
+            back = spark.createDataFrame([(*t, *p) for t, p in zip(turned, with_number)],
+                                         "col1 string, col2 string, _a string, _b string")
+            parts.append(mi.join(F.broadcast(back), ["col1", "col2"])
+                         .select(F.col("_a").alias("col1"), F.col("_b").alias("col2"),
+                                 F.lit("mutual_info").alias("kind"), share))
+        if plain:
+            parts.append(mutual_information(df, plain).select("col1", "col2", F.lit("mutual_info").alias("kind"), share))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

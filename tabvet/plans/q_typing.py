@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tabvet.functions.normal import phi_sql
 from tabvet.operators import relations as R
 from tabvet.operators import typing as TY
+from tabvet.operators.information import digamma_sql, neighbour_information
 from tabvet.plans.registry import query, r6
 from tabvet.session import table
 
@@ -262,19 +263,56 @@ def c11_mutual_information(spark, sf):
     return mi.select("col1", "col2", r6("mi").alias("mi"), r6(F.least(F.col("mi") / 2.0, F.lit(1.0))).alias("score"))
 
 
+def knn_mi_sql(src: str, a: str, b: str, idx: int, k: int = 3) -> str:
+    """CTEs ending in k{idx}(mi): nearest-neighbour MI of class ``a`` and number
+    ``b``, row by row over windows."""
+    dist = ", ".join(
+        f"CASE WHEN i > {s} AND nc - i >= {k} - {s} THEN greatest("
+        + (f"v - lag(v, {s}) OVER w" if s else "0.0") + ", " + (f"lead(v, {k - s}) OVER w - v" if k - s else "0.0") + ") END"
+        for s in range(k + 1))
+    return f"""
+k{idx}_t AS (SELECT CAST({a} AS VARCHAR) AS a, CAST({b} AS DOUBLE) AS v,
+  count(*) OVER (PARTITION BY {a}) AS nc, row_number() OVER (PARTITION BY {a} ORDER BY {b}) AS i
+  FROM {src} WHERE {a} IS NOT NULL AND {b} IS NOT NULL),
+k{idx}_r AS (SELECT a, v, nc, least(nc - 1, {k}) AS kc,
+  CASE WHEN nc > {k} THEN least({dist}) ELSE greatest(v - min(v) OVER (PARTITION BY a), max(v) OVER (PARTITION BY a) - v) END AS r
+  FROM k{idx}_t WHERE nc > 1 WINDOW w AS (PARTITION BY a ORDER BY v)),
+k{idx}_d AS (SELECT v, r, kc, nc, count(*) AS cnt FROM k{idx}_r GROUP BY ALL),
+k{idx}_v AS (SELECT v AS u, count(*) AS c, sum(count(*)) OVER (ORDER BY v) AS upto FROM k{idx}_r GROUP BY v),
+k{idx}_m AS (SELECT d.*, CASE WHEN r > 0 THEN
+    coalesce(hi.upto, 0) - coalesce(lo.upto, 0) - CASE WHEN hi.u = v + r THEN hi.c ELSE 0 END ELSE own.c END AS m
+  FROM k{idx}_d d ASOF LEFT JOIN k{idx}_v hi ON d.v + d.r >= hi.u ASOF LEFT JOIN k{idx}_v lo ON d.v - d.r >= lo.u
+  JOIN k{idx}_v own ON own.u = d.v),
+k{idx} AS (SELECT greatest(0.0, {digamma_sql("sum(cnt)")} + sum(cnt * ({digamma_sql("kc")} - {digamma_sql("nc")}
+    - {digamma_sql("greatest(m, 1)")})) / sum(cnt)) AS mi FROM k{idx}_m)"""
+
+
+@query("c11_neighbour_information", f"""
+WITH {knn_mi_sql('orders', 'o_orderstatus', 'o_totalprice', 1)}, {knn_mi_sql('lineitem', 'l_returnflag', 'l_extendedprice', 2)},
+     {knn_mi_sql('lineitem', 'l_linestatus', 'l_quantity', 3)}
+SELECT 'o_orderstatus' AS col1, 'o_totalprice' AS col2, round(mi, 6) AS mi, round(least(mi / 2.0, 1.0), 6) AS score FROM k1
+UNION ALL SELECT 'l_returnflag', 'l_extendedprice', round(mi, 6), round(least(mi / 2.0, 1.0), 6) FROM k2
+UNION ALL SELECT 'l_linestatus', 'l_quantity', round(mi, 6), round(least(mi / 2.0, 1.0), 6) FROM k3""")
+def c11_neighbour_information(spark, sf):
+    li = table(spark, sf, "lineitem")
+    mi = neighbour_information(table(spark, sf, "orders"), [("o_orderstatus", "o_totalprice")]).unionByName(
+        neighbour_information(li, [("l_returnflag", "l_extendedprice"), ("l_linestatus", "l_quantity")]))
+    return mi.select("col1", "col2", r6("mi").alias("mi"), r6(F.least(F.col("mi") / 2.0, F.lit(1.0))).alias("score"))
+
+
 REL_COLS = ["l_quantity", "l_discount", "l_returnflag", "l_linestatus"]
 
 _REL_SQL = f"""
-{_mi_sql('l_quantity', 'l_returnflag', 1)}, {_mi_sql('l_quantity', 'l_linestatus', 2)},
-{_mi_sql('l_discount', 'l_returnflag', 3)}, {_mi_sql('l_discount', 'l_linestatus', 4)},
+{knn_mi_sql('lineitem', 'l_returnflag', 'l_quantity', 1)}, {knn_mi_sql('lineitem', 'l_linestatus', 'l_quantity', 2)},
+{knn_mi_sql('lineitem', 'l_returnflag', 'l_discount', 3)}, {knn_mi_sql('lineitem', 'l_linestatus', 'l_discount', 4)},
 {_mi_sql('l_returnflag', 'l_linestatus', 5)},
 rk AS (SELECT {_RANK_SQL.format(c='l_quantity')} AS ra, {_RANK_SQL.format(c='l_discount')} AS rb FROM lineitem),
 half AS (
   SELECT 'l_quantity' AS col1, 'l_discount' AS col2, 'spearman' AS kind, abs(corr(ra, rb)) AS score FROM rk
-  UNION ALL SELECT col1, col2, 'mutual_info', least(mi / 2.0, 1.0) FROM m1
-  UNION ALL SELECT col1, col2, 'mutual_info', least(mi / 2.0, 1.0) FROM m2
-  UNION ALL SELECT col1, col2, 'mutual_info', least(mi / 2.0, 1.0) FROM m3
-  UNION ALL SELECT col1, col2, 'mutual_info', least(mi / 2.0, 1.0) FROM m4
+  UNION ALL SELECT 'l_quantity', 'l_returnflag', 'mutual_info', least(mi / 2.0, 1.0) FROM k1
+  UNION ALL SELECT 'l_quantity', 'l_linestatus', 'mutual_info', least(mi / 2.0, 1.0) FROM k2
+  UNION ALL SELECT 'l_discount', 'l_returnflag', 'mutual_info', least(mi / 2.0, 1.0) FROM k3
+  UNION ALL SELECT 'l_discount', 'l_linestatus', 'mutual_info', least(mi / 2.0, 1.0) FROM k4
   UNION ALL SELECT col1, col2, 'mutual_info', least(mi / 2.0, 1.0) FROM m5),
 mat AS (SELECT * FROM half UNION ALL SELECT col2, col1, kind, score FROM half)"""
 
