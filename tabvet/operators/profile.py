@@ -220,30 +220,6 @@ def jarque_bera(profile: DataFrame, alpha: float = 0.05) -> DataFrame:
                           (F.exp(-jb / 2.0) > alpha).alias("is_gaussian"))
 
 
-# Tail behaviour (Pickands re-aim) ---------------------------------------
-
-def tail_behavior(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Excesses over the 90th percentile; if more than 10, the Pickands-type
-    index ξ = log2((Q75 - Q50) / Q50) of the excesses classifies LIGHT
-    (<0.3) / MODERATE (<1) / HEAVY; else INSUFFICIENT_DATA.
-    Re-aimed estimator: the reference fits a GPD by maximum likelihood."""
-    long = to_long(df, cols).filter(F.col("v").isNotNull())
-    p90 = quantiles(long, ["feature"], "v", [0.9]).select("feature", F.col("q").alias("thr"))
-    ex = long.join(F.broadcast(p90), "feature").filter(F.col("v") > F.col("thr")) \
-        .select("feature", (F.col("v") - F.col("thr")).alias("e"))
-    cnt = ex.groupBy("feature").agg(F.count(F.lit(1)).alias("n_excess"))
-    qs = quantiles(ex, ["feature"], "e", [0.5, 0.75]).groupBy("feature").pivot("p", [0.5, 0.75]).agg(F.first("q"))
-    qs = qs.select("feature", F.col("`0.5`").alias("e50"), F.col("`0.75`").alias("e75"))
-    j = p90.join(cnt, "feature", "left").join(qs, "feature", "left").fillna(0, ["n_excess"])
-    xi = F.log2((F.col("e75") - F.col("e50")) / F.col("e50"))
-    label = (F.when(F.col("n_excess") <= 10, F.lit("INSUFFICIENT_DATA"))
-             .when(xi.isNull(), F.lit("UNKNOWN"))
-             .when(xi < 0.3, F.lit("LIGHT_TAILED")).when(xi < 1.0, F.lit("MODERATE_TAILED"))
-             .otherwise(F.lit("HEAVY_TAILED")))
-    return j.select("feature", "thr", "n_excess", F.when(F.col("n_excess") > 10, xi).alias("tail_index"),
-                    label.alias("tail_behavior"))
-
-
 # Hierarchy detection ----------------------------------------------------
 
 def hierarchy(df: DataFrame, cols: list[str]) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from tabvet.session import cut_lineage
 from tabvet.operators import profile as P
+from tabvet.operators.tails import tail_behavior
 
 _TEMPORAL = (T.DateType, T.TimestampType, T.TimestampNTZType)
 
@@ -166,7 +167,7 @@ def deep_types(df: DataFrame, cols: list[str], strict: bool = False, alpha: floa
         ks = P.ks_normal(df, num).select("feature", "ks_p_value")
         jb = P.jarque_bera(prof).select("feature", "is_gaussian")
         mm = P.multimodality(df, num).select("feature", "is_multimodal")
-        tail = P.tail_behavior(df, num).select("feature", "tail_behavior")
+        tail = tail_behavior(df, num).select("feature", "tail_behavior")
         cyc = P.cyclicity(prof)
         j = prof.join(ks, "feature").join(jb, "feature").join(mm, "feature").join(tail, "feature").join(cyc, "feature")
         cyclic_first = F.lit(not strict) & F.col("is_cyclic")

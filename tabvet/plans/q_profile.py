@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tabvet.functions.hashing import hu_sql
 from tabvet.functions.normal import phi_sql
 from tabvet.operators import profile as P
+from tabvet.operators import tails as T
 from tabvet.plans.registry import query, r6
 from tabvet.plans.sqlgen import counts_sql, kolmogorov_sql, long_sql
 from tabvet.session import table
@@ -198,20 +199,17 @@ def b14_jarque_bera(spark, sf):
 WITH long AS ({long_sql('orders', ['o_totalprice'])} UNION ALL {long_sql('lineitem', ['l_extendedprice', 'l_quantity'])}),
 thr AS (SELECT feature, quantile_cont(v, 0.9) AS thr FROM long GROUP BY feature),
 ex AS (SELECT feature, v - thr AS e FROM long JOIN thr USING (feature) WHERE v > thr),
-q AS (SELECT feature, count(*) AS n_excess, quantile_cont(e, 0.5) AS e50, quantile_cont(e, 0.75) AS e75
-      FROM ex GROUP BY feature),
-j AS (SELECT thr.feature, thr.thr, coalesce(q.n_excess, 0) AS n_excess, log2((e75 - e50) / e50) AS xi
-      FROM thr LEFT JOIN q USING (feature))
-SELECT feature, round(thr, 6) AS thr, CAST(n_excess AS BIGINT) AS n_excess,
-  round(CASE WHEN n_excess > 10 THEN xi END, 6) AS tail_index,
-  CASE WHEN n_excess <= 10 THEN 'INSUFFICIENT_DATA' WHEN xi IS NULL THEN 'UNKNOWN'
-       WHEN xi < 0.3 THEN 'LIGHT_TAILED' WHEN xi < 1.0 THEN 'MODERATE_TAILED' ELSE 'HEAVY_TAILED' END AS tail_behavior
-FROM j""")
+{T.fit_sql("ex")}
+SELECT feature, round(thr, 6) AS thr, CAST(coalesce(n, 0) AS BIGINT) AS n_excess,
+  round(CASE WHEN n > 10 THEN shape END, 3) AS tail_index,
+  CASE WHEN coalesce(n, 0) <= 10 THEN 'INSUFFICIENT_DATA' WHEN shape IS NULL THEN 'UNKNOWN'
+       WHEN shape < 0.3 THEN 'LIGHT_TAILED' WHEN shape < 1.0 THEN 'MODERATE_TAILED' ELSE 'HEAVY_TAILED' END AS tail_behavior
+FROM thr LEFT JOIN gpd USING (feature)""")
 def b16_tail_behavior(spark, sf):
-    li = _li(spark, sf)
-    o = table(spark, sf, "orders")
-    t = P.tail_behavior(o, ["o_totalprice"]).unionByName(P.tail_behavior(li, ["l_extendedprice", "l_quantity"]))
-    return t.select("feature", r6("thr").alias("thr"), "n_excess", r6("tail_index").alias("tail_index"),
+    long = _li(spark, sf)
+    t = T.tail_behavior(table(spark, sf, "orders"), ["o_totalprice"]).unionByName(
+        T.tail_behavior(long, ["l_extendedprice", "l_quantity"]))
+    return t.select("feature", r6("thr").alias("thr"), "n_excess", r6("tail_index", 3).alias("tail_index"),
                     "tail_behavior")
 
 
