@@ -10,7 +10,7 @@ by the sequence kernel.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabvet.functions.hashing import hu, normal_draw
@@ -38,22 +38,18 @@ def bootstrap(spark, real: DataFrame, key: str, n: int, seed: int = 1) -> DataFr
 DRAW_RANGES = 1024
 
 
-def categorical_table(real: DataFrame, col: str, given: list[str] | None = None) -> DataFrame:
+def categorical_table(real: DataFrame, col: str, given: list[str] | None = None, weight: str | None = None) -> DataFrame:
     """Empirical (conditional) category counts: (given..., _cat, _lo, _hi,
     _total), a category of the sorted ones owning the stretch [_lo, _hi) of
-    its condition group's counts.  One row per category, never a list."""
+    its condition group's counts.  One row per category, never a list; a
+    group's running sum is cut into ranges, so a group of very many
+    categories is no single task.  ``weight``: column of counts."""
     given = given or []
-    c = real.filter(F.col(col).isNotNull()).groupBy(*given, F.col(col).cast("string").alias("_cat")) \
-        .agg(F.count(F.lit(1)).alias("_n"))
-    if not given:
-        c = cumulative(c, [], "_cat", "_n").select("_cat", "_n", F.col("cum__n").alias("_hi"),
-                                                   F.col("tot__n").alias("_total"))
-    else:
-        group = Window.partitionBy(*given)
-        upto = group.orderBy("_cat").rowsBetween(Window.unboundedPreceding, 0)
-        total = c.groupBy(*given).agg(F.sum("_n").alias("_total"))
-        c = c.withColumn("_hi", F.sum("_n").over(upto)).join(total, given)
-    return c.select(*given, "_cat", (F.col("_hi") - F.col("_n")).alias("_lo"), "_hi", "_total")
+    n = F.sum(weight) if weight else F.count(F.lit(1))
+    c = real.filter(F.col(col).isNotNull()).groupBy(*given, F.col(col).cast("string").alias("_cat")).agg(n.alias("_n"))
+    c = cumulative(c, given, "_cat", "_n", many_groups=bool(given))
+    return c.select(*given, "_cat", (F.col("cum__n") - F.col("_n")).alias("_lo"), F.col("cum__n").alias("_hi"),
+                    F.col("tot__n").alias("_total"))
 
 
 def draw_categorical(df: DataFrame, table: DataFrame, given: list[str], out: str, row_id: str, seed: int) -> DataFrame:

@@ -136,9 +136,9 @@ def _leading_count(arr: Column, pred) -> Column:
 
 
 def quantiles(df: DataFrame, group_cols: list[str], value_col: str, probs: list[float],
-              n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+              n_buckets: int = DEFAULT_BUCKETS, many_groups: bool = False) -> DataFrame:
     """Exact linear-interpolation quantiles (pandas/NumPy default) per
-    group, distributed: each distinct value knows its position range
+    group (``many_groups``: groups are data values, see ``cumulative``), distributed: each distinct value knows its position range
     [a, b] from the PS kernel; the targets it serves (lo_i = floor((n-1)p_i)
     or hi_i = ceil((n-1)p_i) inside [a, b]) form one contiguous index range
     found by two binary searches over the sorted probabilities, so a value
@@ -148,7 +148,7 @@ def quantiles(df: DataFrame, group_cols: list[str], value_col: str, probs: list[
     """
     probs = sorted(float(p) for p in probs)
     vc = value_counts(df, group_cols, value_col)
-    c = cumulative(vc, group_cols, value_col, "cnt", n_buckets)
+    c = cumulative(vc, group_cols, value_col, "cnt", n_buckets, many_groups=many_groups)
     # the probability array is attached once as a column (one-row broadcast)
     c = with_const_array(c, "_parr", probs)
     parr = F.col("_parr")

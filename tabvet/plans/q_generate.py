@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tabvet.functions.hashing import hu_sql
 from tabvet.operators import generate as G
+from tabvet.operators.dependent import dependent_synthesis
 from tabvet.operators.rules import RuleSet
 from tabvet.plans.registry import query, r6
 from tabvet.session import table
@@ -100,6 +101,49 @@ def k05_conditional_synthesis(spark, sf):
     return _k5(spark, sf).select("row_id", "o_orderstatus", "o_orderpriority", r6("o_totalprice", 4).alias("o_totalprice"))
 
 
+_K5D_COLS = [("is_big", []), ("o_orderstatus", []), ("o_totalprice", ["is_big"]),
+             ("o_orderpriority", ["o_orderstatus", "is_big"]), ("o_orderdate", ["o_totalprice"])]
+_K5D_EDGES = [("is_big", "o_totalprice", 0.9), ("o_orderstatus", "o_orderpriority", 0.5), ("is_big", "o_orderpriority", 0.4),
+              ("o_totalprice", "o_orderdate", 0.3)]
+
+
+def _k5d_sql() -> str:
+    """Ancestral draws column by column; every drawn configuration is a real one here."""
+    edge = "list_sort(list_distinct([" + ", ".join("quantile_cont({x}, %r)" % (i / 8) for i in range(9)) + "]))"
+    code = "CAST(len(list_filter(e_{c}[2:len(e_{c}) - 1], lambda b: b < {x})) AS VARCHAR)"
+    price, day = "o_totalprice", "CAST(epoch(o_orderdate) AS DOUBLE)"
+    out = f"""e AS (SELECT {edge.format(x=price)} AS e_p, {edge.format(x=day)} AS e_d FROM orders),
+codes AS (SELECT '=' || CASE WHEN o_totalprice > 200000 THEN 'big' ELSE 'small' END AS is_big, '=' || o_orderstatus AS o_orderstatus,
+  {code.format(c='p', x=price)} AS o_totalprice, '=' || o_orderpriority AS o_orderpriority, {code.format(c='d', x=day)} AS o_orderdate
+  FROM orders, e),
+d0 AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS row_id FROM orders)"""
+    for k, (c, given) in enumerate(_K5D_COLS, 1):
+        g = "".join(f"{x}, " for x in given)
+        part = f"PARTITION BY {', '.join(given)}" if given else ""
+        on = f"USING ({', '.join(given)})" if given else "ON true"
+        out += f""",
+c{k} AS (SELECT {g}v, sum(n) OVER ({part} ORDER BY v) AS cum, sum(n) OVER ({part}) AS tot
+  FROM (SELECT {g}{c} AS v, count(*) AS n FROM codes GROUP BY ALL)),
+d{k} AS (SELECT d.*, x.{c} FROM d{k - 1} d JOIN (SELECT row_id, arg_min(v, cum) FILTER (WHERE cum > u * tot) AS {c}
+  FROM (SELECT *, {hu_sql(f'7:{c}', 'row_id')} AS u FROM d{k - 1}) q JOIN c{k} {on} GROUP BY row_id) x USING (row_id))"""
+    return out
+
+
+@query("k05_dependent_synthesis", f"""WITH {_k5d_sql()}
+SELECT row_id, substr(is_big, 2) AS is_big, substr(o_orderstatus, 2) AS o_orderstatus, substr(o_orderpriority, 2) AS o_orderpriority,
+  round(e_p[CAST(o_totalprice AS INT) + 1] + {hu_sql('7:o_totalprice:v', 'row_id')}
+        * (e_p[CAST(o_totalprice AS INT) + 2] - e_p[CAST(o_totalprice AS INT) + 1]), 4) AS o_totalprice,
+  CAST(round(e_d[CAST(o_orderdate AS INT) + 1] + {hu_sql('7:o_orderdate:v', 'row_id')}
+        * (e_d[CAST(o_orderdate AS INT) + 2] - e_d[CAST(o_orderdate AS INT) + 1])) AS BIGINT) AS order_second
+FROM d{len(_K5D_COLS)}, e""")
+def k05_dependent_synthesis(spark, sf):
+    o = _orders(spark, sf).withColumn("is_big", F.when(F.col("o_totalprice") > 200000, "big").otherwise("small"))
+    d = dependent_synthesis(spark, o, o.count(), _K5D_EDGES, ["is_big", "o_orderstatus", "o_orderpriority"], ["o_totalprice"],
+                            ["o_orderdate"], bins=8, seed=7)
+    return d.select("row_id", "is_big", "o_orderstatus", "o_orderpriority", r6("o_totalprice", 4).alias("o_totalprice"),
+                    F.unix_seconds(F.col("o_orderdate").cast("timestamp")).alias("order_second"))
+
+
 @query("k06_smote")
 def k06_smote(spark, sf):
     lab = table(spark, sf, "labels")
