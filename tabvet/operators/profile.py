@@ -14,9 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabvet.functions.hashing import hu
 from tabvet.functions.normal import phi
-from tabvet.session import cut_lineage
 from tabvet.operators.ranks import DEFAULT_BUCKETS, cumulative, sorted_gaps, value_counts, with_const_array
 
 _FLOATS = (T.FloatType, T.DoubleType)
@@ -366,81 +364,3 @@ def anderson_darling(df: DataFrame, cols: list[str], n_buckets: int = DEFAULT_BU
     term = w1 * F.log(cdf) + w2 * F.log(1.0 - cdf)
     s = c.groupBy("feature").agg(F.sum(term).alias("s"), F.first("tot_cnt").alias("n"))
     return s.select("feature", (-F.col("n") - F.col("s") / F.col("n")).alias("anderson_statistic"))
-
-
-# Power law on the frequency spectrum ---------------------------------
-
-def power_law_fit(df: DataFrame, col: str, min_support: int = 50, min_tail_fraction: float = 0.05,
-                  min_n_tail: int = 100, alpha_bounds=(1.2, 5.0), ks_strict: float = 0.2) -> DataFrame:
-    """The 'data' are the category frequencies x.  For each distinct
-    frequency as candidate x_min: n_tail and Σ ln x over x >= x_min come from
-    suffix sums of the counts-of-counts table, α = 1 + n_tail / Σ ln(x / x_min);
-    KS between the tail's ECDF and 1 - (x / x_min)^(1-α) joins the candidates
-    with the tail's support.  The table has one row per distinct frequency
-    (k of them need k (k + 1) / 2 counted items at least, so it stays small),
-    and the tail rules leave only candidates with enough items above them.
-    Best x_min = smallest KS among candidates passing the tail rules;
-    power law if the tail rules hold, α within bounds and KS <= 0.2
-    (``power_law`` also asks for the bootstrap p-value of B21)."""
-    freqs = df.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("x"))
-    cc = freqs.groupBy("x").agg(F.count(F.lit(1)).alias("m")).withColumn("mlnx", F.col("m") * F.log("x"))
-    c = cumulative(cc, [], "x", ["m", "mlnx"])
-    total = F.col("tot_m")
-    tail = c.select("x", "m", "cum_m", "tot_m",
-                    (F.col("tot_m") - F.col("cum_m") + F.col("m")).alias("n_tail"),
-                    (F.col("tot_mlnx") - F.col("cum_mlnx") + F.col("mlnx")).alias("sum_ln"))
-    cand = tail.select(
-        F.col("x").alias("x_min"), "n_tail", "tot_m", (F.col("cum_m") - F.col("m")).alias("before"),
-        (F.col("sum_ln") - F.col("n_tail") * F.log("x")).alias("s"))
-    cand = cand.filter((F.col("n_tail") >= min_n_tail) & (F.col("n_tail") / F.col("tot_m") >= min_tail_fraction)
-                       & (F.col("s") > 0)).withColumn("alpha", 1.0 + F.col("n_tail") / F.col("s"))
-    sup = c.select(F.col("x").alias("u"), F.col("cum_m").alias("cu"))
-    j = sup.join(cand, F.col("u") >= F.col("x_min"))
-    ecdf = (F.col("cu") - F.col("before")) / F.col("n_tail")
-    model = 1.0 - F.pow(F.col("u") / F.col("x_min"), 1.0 - F.col("alpha"))
-    ks = j.groupBy("x_min", "alpha", "n_tail", "tot_m").agg(F.max(F.abs(ecdf - model)).alias("ks"))
-    best = ks.agg(F.min_by(F.struct("x_min", "alpha", "n_tail", "tot_m", "ks"), F.struct("ks", "x_min")).alias("b"))
-    sup_size = cc.agg(F.sum("m").alias("support_size"))
-    k = F.lit(1)
-    out = sup_size.withColumn("_k", k).join(best.withColumn("_k", k), "_k", "left").select(
-        F.lit(col).alias("feature"), "support_size", F.col("b.x_min").alias("x_min"), F.col("b.alpha").alias("alpha"),
-        F.col("b.ks").alias("ks"), F.col("b.n_tail").alias("n_tail"),
-        (F.col("b.n_tail") / F.col("support_size")).alias("tail_fraction"))
-    ok = ((F.col("support_size") >= min_support) & F.col("x_min").isNotNull()
-          & (F.col("alpha") >= alpha_bounds[0]) & (F.col("alpha") <= alpha_bounds[1]) & (F.col("ks") <= ks_strict))
-    return out.withColumn("is_power_law", F.coalesce(ok, F.lit(False)))
-
-
-def power_law_bootstrap(fit: DataFrame, runs: int = 200, seed: int = 42) -> DataFrame:
-    """``runs`` synthetic tails of n_tail draws x = x_min U^{1/(1-α)},
-    rounded and floored at x_min (U a hash uniform of (seed, run, i)); KS
-    of each against the fitted model; p = share of runs with KS >= the
-    observed KS.  The runs x n_tail draw rows come from a distributed range;
-    the one-row fit is known to the driver."""
-    one = fit.filter(F.col("x_min").isNotNull()).select("x_min", "alpha", "n_tail", "ks").first()
-    n_tail = int(one["n_tail"]) if one else 0
-    draws = fit.sparkSession.range(runs * n_tail).select(
-        F.lit(one["x_min"] if one else 1).alias("x_min"), F.lit(one["alpha"] if one else 2.0).alias("alpha"),
-        F.lit(n_tail).cast("long").alias("n_tail"), F.lit(one["ks"] if one else 0.0).alias("ks"),
-        F.expr(f"CAST(id div {max(n_tail, 1)} + 1 AS INT)").alias("run"), (F.col("id") % max(n_tail, 1) + 1).alias("i"))
-    u = F.greatest(hu(seed, "run", "i"), F.lit(1e-300))
-    x = F.greatest(F.round(F.col("x_min") * F.pow(u, 1.0 / (1.0 - F.col("alpha")))), F.col("x_min").cast("double"))
-    sims = draws.select("run", "x_min", "alpha", "n_tail", "ks", x.alias("x"))
-    vc = sims.groupBy("run", "x_min", "alpha", "n_tail", "ks", "x").agg(F.count(F.lit(1)).alias("m"))
-    c = cumulative(vc, ["run"], "x", "m")
-    model = 1.0 - F.pow(F.col("x") / F.col("x_min"), 1.0 - F.col("alpha"))
-    per = c.groupBy("run", "ks").agg(F.max(F.abs(F.col("cum_m") / F.col("n_tail") - model)).alias("ks_sim"))
-    return per.agg(F.avg((F.col("ks_sim") >= F.col("ks")).cast("double")).alias("p_value"),
-                   F.count(F.lit(1)).alias("runs"))
-
-
-def power_law(df: DataFrame, col: str, p_min: float = 0.05, runs: int = 200, **rules) -> DataFrame:
-    """B20 with B21: the fit's row with the bootstrap p-value; a power law
-    also needs p >= ``p_min``.  A fit that fails the other rules is not
-    bootstrapped (p_value NULL)."""
-    fit = cut_lineage(power_law_fit(df, col, **rules))
-    if not fit.first()["is_power_law"]:
-        return fit.withColumn("p_value", F.lit(None).cast("double"))
-    p = power_law_bootstrap(fit, runs).select(F.lit(col).alias("feature"), "p_value")
-    return fit.join(p, "feature", "left").withColumn(
-        "is_power_law", F.col("is_power_law") & F.coalesce(F.col("p_value") >= p_min, F.lit(False)))

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from tabvet.session import cut_lineage
 from tabvet.operators import profile as P
+from tabvet.operators.powerlaw import power_laws
 from tabvet.operators.tails import tail_behavior
 
 _TEMPORAL = (T.DateType, T.TimestampType, T.TimestampNTZType)
@@ -188,12 +189,14 @@ def deep_types(df: DataFrame, cols: list[str], strict: bool = False, alpha: floa
         part = j.select("feature", F.lit(False).alias("is_numeric"), t.alias("deep_type"), "unique_count")
         out = part if out is None else out.unionByName(part)
     out = cut_lineage(out)
-    # one row per column comes back; only the columns that the test applies to are fitted
-    for r in out.collect():
-        if r["deep_type"] in POWER_LAW_TYPES and r["unique_count"] >= 20:
-            if P.power_law(df, r["feature"]).first()["is_power_law"]:
-                out = out.withColumn("deep_type", F.when(F.col("feature") == r["feature"], POWER_LAW_TYPES[r["deep_type"]])
-                                     .otherwise(F.col("deep_type")))
+    # one row per column comes back; only the columns that the test applies to are fitted, all at once
+    asked = [r["feature"] for r in out.collect() if r["deep_type"] in POWER_LAW_TYPES and r["unique_count"] >= 20]
+    if asked:
+        laws = power_laws(df, asked).filter("is_power_law").select("feature", F.lit(True).alias("_law"))
+        other = F.create_map(*[F.lit(x) for pair in POWER_LAW_TYPES.items() for x in pair])
+        out = (out.join(F.broadcast(cut_lineage(laws)), "feature", "left")
+               .withColumn("deep_type", F.when(F.col("_law"), other[F.col("deep_type")]).otherwise(F.col("deep_type")))
+               .drop("_law"))
     return out.drop("unique_count")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tabvet.functions.hashing import hu_sql
 from tabvet.functions.normal import phi_sql
+from tabvet.operators import powerlaw as PL
 from tabvet.operators import profile as P
 from tabvet.operators import tails as T
 from tabvet.plans.registry import query, r6
@@ -383,13 +384,13 @@ def _pl_round(df):
 
 @query("b20_power_law_partkey", _pl_sql("lineitem", "l_partkey"))
 def b20_power_law_partkey(spark, sf):
-    return _pl_round(P.power_law_fit(_li(spark, sf), "l_partkey"))
+    return _pl_round(PL.power_law_fit(_li(spark, sf), "l_partkey"))
 
 
 @query("b20_power_law_words", _pl_sql("(SELECT unnest(string_split(text, ' ')) AS word FROM documents)", "word"))
 def b20_power_law_words(spark, sf):
     words = table(spark, sf, "documents").select(F.explode(F.split("text", " ")).alias("word"))
-    return _pl_round(P.power_law_fit(words, "word"))
+    return _pl_round(PL.power_law_fit(words, "word"))
 
 
 @query("b21_power_law_bootstrap", f"""WITH {_pl_ctes('lineitem', 'l_partkey')},
@@ -401,5 +402,5 @@ rc AS (SELECT *, sum(m) OVER (PARTITION BY run ORDER BY x) AS cum FROM v),
 p AS (SELECT run, ks, max(abs(cum / n_tail - (1.0 - power(x / x_min, 1.0 - alpha)))) AS ks_sim FROM rc GROUP BY run, ks)
 SELECT round(avg(CAST(ks_sim >= ks AS DOUBLE)), 6) AS p_value, count(*) AS runs FROM p""")
 def b21_power_law_bootstrap(spark, sf):
-    fit = P.power_law_fit(_li(spark, sf), "l_partkey")
-    return P.power_law_bootstrap(fit, runs=200).select(r6("p_value").alias("p_value"), "runs")
+    fit = PL.power_law_fit(_li(spark, sf), "l_partkey")
+    return PL.power_law_bootstrap(fit, runs=200).select(r6("p_value").alias("p_value"), "runs")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tabvet.operators import encode as E
 from tabvet.operators import generate as G
 from tabvet.operators import privacy as PV
+from tabvet.operators import powerlaw as PL
 from tabvet.operators import profile as P
 
 
@@ -63,7 +64,7 @@ def test_power_law_fit_matches_numpy(spark):
     freqs = np.minimum(rng.zipf(2.0, 300), 1000)
     cats = np.repeat(np.arange(300), freqs)
     df = spark.createDataFrame(pd.DataFrame({"c": cats}))
-    got = P.power_law_fit(df, "c").first()
+    got = PL.power_law_fit(df, "c").first()
     freqs = pd.Series(cats).value_counts().values
     x_min, a, ks, n_tail = _numpy_power_law(freqs)
     assert got["x_min"] == x_min and got["n_tail"] == n_tail

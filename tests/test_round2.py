@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabvet import session
-from tabvet.operators import heal, metriclog, privacy, profile, ranks, rules
+from tabvet.operators import heal, metriclog, powerlaw as PL, privacy, profile, ranks, rules
 
 
 def test_shared_folder_is_asked_for_on_a_cluster():
@@ -83,7 +83,7 @@ def test_pattern_overlap_is_whole(spark):
 def test_power_law_looks_at_all_frequencies(spark):
     # more distinct frequencies than any fixed number of top ones would show
     df = spark.range(1, 1500).select("id", F.explode(F.sequence(F.lit(1), (F.lit(3000) / F.col("id")).cast("int") + 1)).alias("k"))
-    fit = profile.power_law_fit(df, "id").head()
+    fit = PL.power_law_fit(df, "id").head()
     assert fit["is_power_law"] and fit["n_tail"] >= 100
 
 
