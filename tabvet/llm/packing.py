@@ -24,6 +24,8 @@ from tabvet.llm.common import body, scratch, stored
 from tabvet.llm.token_counts import slices
 
 LONGEST = 2048
+#: Text bytes encoded and cut at a time (a longer text is worked on alone).
+SLICE_BYTES = 2 << 20
 #: First numbers of up to this many (bucket, task) pairs are broadcast (20 bytes each), joined by shuffle beyond.
 BROADCAST_PARTS = 1_000_000
 
@@ -56,7 +58,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, long
     part = TaskContext.get().partitionId()
     seen = np.zeros(longest.bit_length(), np.int64)          # pieces so far per bucket
     for batch in batches:
-        for first, rows in slices(batch.column("text")):
+        for first, rows in slices(batch.column("text"), SLICE_BYTES):
             ids, per = encoder.encode(batch.column("text").slice(first, rows), end_id)
             doc, start, length = cut(per, longest)
             at = (np.cumsum(per) - per)[doc] + start
