@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 250_000
 #: Stands between words that go to the library in one call.
 _MARK = "\x01"
 _GROUP = 64
