@@ -15,9 +15,13 @@ banded; in each bucket every member is compared with one pivot, the member
 that meets the most others, by exact multiset overlap.  Members that do not
 reach the threshold but are near the pivot are then compared with the pivot's
 other members in tiles of at most 2 x TILE texts, so a link that does not go
-through a pivot is found too and no bucket is expanded into pairs.  Classes
-are the connected components of the links found; the smallest doc_id names
-the class and stays.
+through a pivot is found too and no bucket is expanded into pairs.  Members
+far from the pivot, and those that can still be linked with one of them (by
+the triangle inequality they are under NEAR + 1 - threshold to the pivot), get
+a new pivot among themselves, until no bucket holds a far one with another: so
+every two texts over the threshold that share a bucket end in one class.
+Classes are the connected components of the links found; the smallest doc_id
+names the class and stays.
 
 A multiset is a node of its own, whatever ids its texts have; a text is known
 by its doc_id and a 64-bit hash of its characters.
@@ -45,6 +49,7 @@ from tabvet.llm.common import body, column_names, stored
 from tabvet.llm.components import components
 from tabvet.llm.shingles import elements, mix, occurrences, overlap, shingles
 from tabvet.llm.token_counts import slices
+from tabvet.session import sized
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -232,41 +237,67 @@ def links(reps: DataFrame, docs: DataFrame, words: int = WORDS, threshold: float
     doc_id, mark and keys of one text of each multiset."""
     banded = reps.select(F.col("node").alias("doc"), F.explode("keys").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    meets = stored(banded.join(shared, "bucket"), "buckets")
-    # the pivot of a bucket meets the most others over all its buckets
-    centre = meets.groupBy("doc").agg(F.sum("n").alias("meets"))
-    pivots = stored(meets.join(centre, "doc").groupBy("bucket")
-                    .agg(F.max(F.struct("meets", (-F.col("doc")).alias("d"))).alias("p"))
-                    .select("bucket", (-F.col("p.d")).alias("pivot")), "pivots")
-    pairs = stored(meets.select("bucket", "doc").join(pivots, "bucket").filter("doc <> pivot")
-                   .select("pivot", "doc").distinct(), "pairs")
-
-    members = pairs.select("doc").union(pairs.select("pivot")).distinct()
+    meets = stored(banded.join(shared, "bucket").select("bucket", "doc", "n"), "buckets")
+    members = meets.select("doc").distinct()
     wanted = stored(reps.select(F.col("node").alias("doc"), "doc_id", "mark").join(members, "doc", "left_semi"), "wanted")
     small = wanted.count() <= BROADCAST_IDS
     # equal rows have equal texts: any of them serves
     texts = stored(_plain(docs).join(F.broadcast(wanted) if small else wanted, ["doc_id", "mark"])
                    .select("doc", "text").dropDuplicates(["doc"]), "near-texts")
-
-    pages = pairs.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / (2 * tile)).cast("int").alias("pages"))
-    members = (pairs.join(pages, "pivot").join(texts, "doc")
-               .select("pivot", F.pmod(F.xxhash64("doc"), F.col("pages")).cast("int").alias("page"),
+    found = None
+    while True:
+        # the pivot of a bucket meets the most others over all its buckets
+        centre = meets.groupBy("doc").agg(F.sum("n").alias("meets"))
+        pivots = stored(meets.join(centre, "doc").groupBy("bucket")
+                        .agg(F.max(F.struct("meets", (-F.col("doc")).alias("d"))).alias("p"))
+                        .select("bucket", (-F.col("p.d")).alias("pivot")), "pivots")
+        dealt = meets.select("bucket", "doc").join(pivots, "bucket").filter("doc <> pivot")
+        measured = _measured(stored(dealt.select("pivot", "doc").distinct(), "pairs"), texts, words, tile)
+        straight = (measured.filter(F.col("similarity") >= threshold)
+                    .select(F.col("pivot").alias("a"), F.col("doc").alias("b")))
+        new = straight.unionByName(_crossed(measured, texts, words, threshold, near, tile))
+        found = new if found is None else found.unionByName(new)
+        # what is far from its pivot gets another one, with all that may be linked to it
+        far = F.col("similarity") < near
+        if measured.filter(far).isEmpty():
+            return found
+        rest = sized(measured.filter(F.col("similarity") < near + 1 - threshold)
+                     .select("pivot", "doc", far.alias("far")))
+        left = dealt.join(rest, ["pivot", "doc"])
+        again = left.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("far")).filter("far AND n > 1")
+        meets = stored(left.select("bucket", "doc").join(again.select("bucket", "n"), "bucket"), "buckets")
+        if meets.isEmpty():
+            return found
+
+
+def _measured(pairs: DataFrame, texts: DataFrame, words: int, tile: int) -> DataFrame:
+    """pivot, doc and similarity of all pairs; a pivot's members are dealt to
+    pages of some 2 x ``tile``."""
+    paged = pairs.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / (2 * tile)).cast("int").alias("pages"))
+    paged = stored(paged, "pages")
+    # a pivot of one page needs no look-up, so a hot one is not dealt by its key
+    wide = sized(paged.filter("pages > 1"))
+    members = (pairs.join(wide, "pivot", "left").join(texts, "doc")
+               .select("pivot", F.pmod(F.xxhash64("doc"), F.coalesce("pages", F.lit(1))).cast("int").alias("page"),
                        F.lit(True).alias("member"), "doc", "text"))
-    heads = (pages.join(texts.withColumnRenamed("doc", "pivot"), "pivot")
+    heads = (paged.join(texts.withColumnRenamed("doc", "pivot"), "pivot")
              .select("pivot", F.explode(F.sequence(F.lit(0), F.col("pages") - 1)).alias("page"),
                      F.lit(False).alias("member"), F.col("pivot").alias("doc"), "text"))
-    measured = stored(members.unionByName(heads).repartition("pivot", "page")
-                      .sortWithinPartitions("pivot", "page", "member", "doc")
-                      .mapInArrow(lambda it: _compare(it, words), "pivot long, doc long, similarity double"), "measured")
+    return stored(members.unionByName(heads).repartition("pivot", "page")
+                  .sortWithinPartitions("pivot", "page", "member", "doc")
+                  .mapInArrow(lambda it: _compare(it, words), "pivot long, doc long, similarity double"), "measured")
+
+
+def _crossed(measured: DataFrame, texts: DataFrame, words: int, threshold: float, near: float, tile: int) -> DataFrame:
+    """Links (a, b) of members near a pivot that it does not link, with its
+    other members."""
     linked = F.col("similarity") >= threshold
-    straight = measured.filter(linked).select(F.col("pivot").alias("a"), F.col("doc").alias("b"))
-
-    # groups with members near their pivot that it does not link
-    sizes = (measured.filter(F.col("similarity") >= near).groupBy("pivot")
-             .agg(F.sum(F.when(linked, 0).otherwise(1)).alias("loose"), F.sum(F.when(linked, 1).otherwise(0)).alias("tight"))
-             .filter("loose > 0 AND loose + tight > 1")
-             .select("pivot", F.ceil(F.col("loose") / tile).cast("int").alias("pu"),
-                     F.ceil(F.col("tight") / tile).cast("int").alias("pl")))
+    sizes = sized(measured.filter(F.col("similarity") >= near).groupBy("pivot")
+                  .agg(F.sum(F.when(linked, 0).otherwise(1)).alias("loose"),
+                       F.sum(F.when(linked, 1).otherwise(0)).alias("tight"))
+                  .filter("loose > 0 AND loose + tight > 1")
+                  .select("pivot", F.ceil(F.col("loose") / tile).cast("int").alias("pu"),
+                          F.ceil(F.col("tight") / tile).cast("int").alias("pl")))
     around = (measured.filter(F.col("similarity") >= near).join(sizes, "pivot")
               .select("pivot", "doc", linked.alias("linked"), "pu", "pl",
                       F.when(linked, F.col("pu") + F.pmod(F.xxhash64("doc"), F.greatest("pl", F.lit(1))))
@@ -279,7 +310,7 @@ def links(reps: DataFrame, docs: DataFrame, words: int = WORDS, threshold: float
     crossed = (tiled.join(texts, "doc").repartition("pivot", "i", "j")
                .sortWithinPartitions("pivot", "i", "j", "doc")
                .mapInArrow(lambda it: _tiles(it, words, threshold), "a long, b long"))
-    return straight.unionByName(stored(crossed, "crossed"))
+    return stored(crossed, "crossed")
 
 
 #: Keys of bucketed or dropped texts are broadcast up to this many (24 bytes each), joined by shuffle beyond.

@@ -135,3 +135,27 @@ def test_components_against_union_find(spark):
                     seen[x] = start
                     todo += near[x]
     assert got == seen
+
+
+def test_members_far_from_their_pivot_get_another(spark):
+    """Bucket 1 has a pivot that is like none of its members; two of them are
+    near-duplicates of one another, two more are like nothing."""
+    words = prose(60, 41).split()
+    texts = {0: prose(60, 40), 1: " ".join(words), 2: " ".join(words[:59] + ["other"]), 3: prose(60, 42),
+             4: prose(60, 43), 5: prose(60, 44)}
+    # node 0 meets the most others, so it is the pivot of both buckets
+    keys = {0: [1, 2], 1: [1], 2: [1], 3: [1], 4: [1], 5: [2]}
+    from pyspark.sql import functions as F
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    reps = (docs.select(F.col("doc_id").alias("node"), "doc_id", F.xxhash64("text").alias("mark"))
+            .join(spark.createDataFrame(list(keys.items()), "node long, keys array<long>"), "node"))
+    assert {tuple(sorted(r)) for r in n.links(reps, docs).collect()} == {(1, 2)}
+
+
+def test_shared_halves(spark):
+    """Texts put together from common halves meet in buckets whose pivot is
+    like only one half of them."""
+    halves = [prose(40, 50 + k) for k in range(6)]
+    rows = [(10 * a + b, f"{halves[a]} {halves[b]}") for a in range(6) for b in range(6) if a != b]
+    rows += [(100 + i, t.rsplit(" ", 1)[0] + " end") for i, t in rows[::3]]
+    check(spark.createDataFrame(rows, "doc_id long, text string"))
