@@ -16,10 +16,10 @@ that meets the most others, by exact multiset overlap.  Members that do not
 reach the threshold but are near the pivot are then compared with the pivot's
 other members in tiles of at most 2 x TILE texts, so a link that does not go
 through a pivot is found too and no bucket is expanded into pairs.  Members
-far from the pivot, and those that can still be linked with one of them (by
-the triangle inequality they are under NEAR + 1 - threshold to the pivot), get
-a new pivot among themselves, until no bucket holds a far one with another: so
-every two texts over the threshold that share a bucket end in one class.
+far from the pivot meet, in tiles again, those of their bucket that can still
+be linked with one of them (by the triangle inequality these are under NEAR +
+1 - threshold to the pivot): every two texts over the threshold that share a
+bucket end in one class.
 Classes are the connected components of the links found; the smallest doc_id
 names the class and stays.
 
@@ -244,30 +244,25 @@ def links(reps: DataFrame, docs: DataFrame, words: int = WORDS, threshold: float
     # equal rows have equal texts: any of them serves
     texts = stored(_plain(docs).join(F.broadcast(wanted) if small else wanted, ["doc_id", "mark"])
                    .select("doc", "text").dropDuplicates(["doc"]), "near-texts")
-    found = None
-    while True:
-        # the pivot of a bucket meets the most others over all its buckets
-        centre = meets.groupBy("doc").agg(F.sum("n").alias("meets"))
-        pivots = stored(meets.join(centre, "doc").groupBy("bucket")
-                        .agg(F.max(F.struct("meets", (-F.col("doc")).alias("d"))).alias("p"))
-                        .select("bucket", (-F.col("p.d")).alias("pivot")), "pivots")
-        dealt = meets.select("bucket", "doc").join(pivots, "bucket").filter("doc <> pivot")
-        measured = _measured(stored(dealt.select("pivot", "doc").distinct(), "pairs"), texts, words, tile)
-        straight = (measured.filter(F.col("similarity") >= threshold)
-                    .select(F.col("pivot").alias("a"), F.col("doc").alias("b")))
-        new = straight.unionByName(_crossed(measured, texts, words, threshold, near, tile))
-        found = new if found is None else found.unionByName(new)
-        # what is far from its pivot gets another one, with all that may be linked to it
-        far = F.col("similarity") < near
-        if measured.filter(far).isEmpty():
-            return found
-        rest = sized(measured.filter(F.col("similarity") < near + 1 - threshold)
-                     .select("pivot", "doc", far.alias("far")))
-        left = dealt.join(rest, ["pivot", "doc"])
-        again = left.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("far")).filter("far AND n > 1")
-        meets = stored(left.select("bucket", "doc").join(again.select("bucket", "n"), "bucket"), "buckets")
-        if meets.isEmpty():
-            return found
+    # the pivot of a bucket meets the most others over all its buckets
+    centre = meets.groupBy("doc").agg(F.sum("n").alias("meets"))
+    pivots = stored(meets.join(centre, "doc").groupBy("bucket")
+                    .agg(F.max(F.struct("meets", (-F.col("doc")).alias("d"))).alias("p"))
+                    .select("bucket", (-F.col("p.d")).alias("pivot")), "pivots")
+    dealt = meets.select("bucket", "doc").join(pivots, "bucket").filter("doc <> pivot")
+    measured = _measured(stored(dealt.select("pivot", "doc").distinct(), "pairs"), texts, words, tile)
+    straight = measured.filter(F.col("similarity") >= threshold).select(F.col("pivot").alias("a"), F.col("doc").alias("b"))
+    found = straight.unionByName(_crossed(measured, texts, words, threshold, near, tile))
+    # what is far from its pivot meets those of its bucket that may be linked to it
+    far = F.col("similarity") < near
+    if measured.filter(far).isEmpty():
+        return found
+    rest = sized(measured.filter(F.col("similarity") < near + 1 - threshold).select("pivot", "doc", far.alias("far")))
+    left = stored(dealt.join(rest, ["pivot", "doc"]).select("bucket", "doc", "far"), "left")
+    again = left.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("far")).filter("far AND n > 1")
+    unlinked = left.join(again.select("bucket"), "bucket").select(
+        F.col("bucket").alias("pivot"), "doc", F.lit(float(near)).alias("similarity"))
+    return found.unionByName(_crossed(unlinked, texts, words, threshold, near, tile))
 
 
 def _measured(pairs: DataFrame, texts: DataFrame, words: int, tile: int) -> DataFrame:

@@ -137,7 +137,7 @@ def test_components_against_union_find(spark):
     assert got == seen
 
 
-def test_members_far_from_their_pivot_get_another(spark):
+def test_members_far_from_their_pivot_are_compared(spark):
     """Bucket 1 has a pivot that is like none of its members; two of them are
     near-duplicates of one another, two more are like nothing."""
     words = prose(60, 41).split()
