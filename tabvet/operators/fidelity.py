@@ -21,6 +21,7 @@ from tabvet.operators.profile import kolmogorov_p, to_long
 from tabvet.operators.ranks import _bucket_expr, cumulative
 from tabvet.operators.relations import chi2_sf, correlation_matrix
 from tabvet.session import cut_lineage
+from tabvet.sources.io import scratch_path
 
 REAL, SYNTH = 0, 1
 
@@ -618,7 +619,9 @@ def _m_corr(real, synth, num, cat):
 def audit(real: DataFrame, synth: DataFrame, numeric: list[str], categorical: list[str],
           tests: list[str] | None = None) -> DataFrame:
     """Run the named metrics; a metric that fails to plan or run is
-    isolated and reported with an error row instead of failing the audit."""
+    isolated and reported with an error row instead of failing the audit.
+    Each metric's few rows are written when it runs, so a failure in execution
+    is its own."""
     parts = []
     spark = real.sparkSession
     for name in tests or list(METRICS):
@@ -626,10 +629,11 @@ def audit(real: DataFrame, synth: DataFrame, numeric: list[str], categorical: li
             if name not in METRICS:
                 raise KeyError(f"unknown test: {name}")
             part = METRICS[name](real, synth, numeric, categorical)
-            part.schema  # planning errors surface here
-            parts.append(part.select(F.lit(name).alias("test"), "feature", "metric",
-                                     F.col("value").cast("double").alias("value"),
-                                     F.lit(None).cast("string").alias("error")))
+            part = part.select(F.lit(name).alias("test"), "feature", "metric",
+                               F.col("value").cast("double").alias("value"), F.lit(None).cast("string").alias("error"))
+            path = scratch_path(spark, "audit")
+            part.write.parquet(path)
+            parts.append(spark.read.schema(part.schema).parquet(path))
         except Exception as exc:  # isolate the failing test
             msg = exc.args[0] if isinstance(exc, KeyError) and exc.args else str(exc).splitlines()[0][:200]
             parts.append(spark.createDataFrame([(name, None, None, None, msg)],
