@@ -407,20 +407,6 @@ def interpret_coverage(c: Column) -> Column:
             .when(c >= 0.5, "Acceptable mode coverage").otherwise("Poor mode coverage - possible mode collapse"))
 
 
-def diversity(df: DataFrame, cols: list[str]) -> DataFrame:
-    """I24 (re-aimed from mean / max pairwise L2 distance of one training
-    batch to the whole table): the root mean square distance over all pairs
-    of rows, sqrt(2 Σ var_j) with ddof-1 variances, over the diagonal of the
-    bounding box, which no pair exceeds.  Rows with a NULL are left out; a
-    table without spread scores 1."""
-    d = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).dropna()
-    a = d.agg(F.sqrt(2 * sum((F.var_samp(c) for c in cols), F.lit(0.0))).alias("rms_distance"),
-              F.sqrt(sum((F.pow(F.max(c) - F.min(c), 2) for c in cols), F.lit(0.0))).alias("bounding_diagonal"))
-    return a.select("rms_distance", "bounding_diagonal",
-                    F.when(F.col("bounding_diagonal") > 0, F.col("rms_distance") / F.col("bounding_diagonal"))
-                    .otherwise(F.lit(1.0)).alias("diversity_score"))
-
-
 def mean_cosine_similarity(df: DataFrame, cols: list[str]) -> DataFrame:
     """Mean pairwise cosine similarity over all distinct pairs in
     closed form: (‖Σ x̂‖² - Σ ‖x̂‖²) / (n (n - 1)), x̂ = x / ‖x‖ (zero rows

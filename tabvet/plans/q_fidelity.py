@@ -9,8 +9,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tabvet.functions.hashing import hu_sql
 from tabvet.functions.normal import phi_inv_sql, phi_sql
 from tabvet.operators import fidelity as FI
+from tabvet.operators import spread
 from tabvet.plans.registry import query, r6
 from tabvet.plans.sqlgen import kolmogorov_sql
 from tabvet.session import table
@@ -365,15 +367,21 @@ def i22_kmeans_mode_coverage(spark, sf):
     return FI.kmeans_coverage(real, synth, NUM_L)
 
 
-@query("i24_diversity", """
-WITH a AS (SELECT sqrt(2 * (var_samp(o_totalprice) + var_samp(o_custkey))) AS r,
-                  sqrt(power(max(o_totalprice) - min(o_totalprice), 2) + power(CAST(max(o_custkey) - min(o_custkey) AS DOUBLE), 2)) AS b
-           FROM orders)
-SELECT round(r, 4) AS rms_distance, round(b, 4) AS bounding_diagonal, round(r / b, 6) AS diversity_score FROM a""")
+@query("i24_diversity", f"""
+WITH p AS (SELECT o_orderkey AS k, CAST(o_totalprice AS DOUBLE) AS x, CAST(o_custkey AS DOUBLE) AS y, r,
+                  floor({hu_sql(42, "r", "o_orderkey")} * greatest(n // 2, 1)) AS b
+           FROM orders, range(4) AS s(r), (SELECT count(*) AS n FROM orders)),
+m AS (SELECT avg(d) AS mean, stddev_samp(d) / sqrt(count(*)) AS err, count(*) AS pairs
+      FROM (SELECT sqrt(power(p.x - q.x, 2) + power(p.y - q.y, 2)) AS d
+            FROM p JOIN p AS q ON p.r = q.r AND p.b = q.b AND p.k < q.k)),
+l AS (SELECT sqrt(max(power(CAST(u.o_totalprice - v.o_totalprice AS DOUBLE), 2)
+                      + power(CAST(u.o_custkey - v.o_custkey AS DOUBLE), 2))) AS longest FROM orders AS u, orders AS v)
+SELECT round(mean, 4) AS mean_distance, round(err, 4) AS mean_error, pairs, round(longest, 4) AS max_distance,
+       round(mean / longest, 6) AS diversity_score FROM m, l""")
 def i24_diversity(spark, sf):
-    d = FI.diversity(table(spark, sf, "orders"), ["o_totalprice", "o_custkey"])
-    return d.select(r6("rms_distance", 4).alias("rms_distance"), r6("bounding_diagonal", 4).alias("bounding_diagonal"),
-                    r6("diversity_score").alias("diversity_score"))
+    d = spread.diversity(table(spark, sf, "orders"), ["o_totalprice", "o_custkey"], ["o_orderkey"])
+    return d.select(*[r6(c, 4).alias(c) for c in ("mean_distance", "mean_error")], "pairs",
+                    r6("max_distance", 4).alias("max_distance"), r6("diversity_score").alias("diversity_score"))
 
 
 @query("i25_cosine_similarity", """
@@ -403,7 +411,7 @@ def i26_joint_entropy(spark, sf):
 def i27_collapse_verdict(spark, sf):
     o = table(spark, sf, "orders")
     real, synth = pair_orders(spark, sf)
-    d = FI.diversity(o, ["o_totalprice", "o_custkey"]).select("diversity_score")
+    d = spread.diversity(o, ["o_totalprice", "o_custkey"], ["o_orderkey"]).select("diversity_score")
     s = FI.mean_cosine_similarity(o, ["o_totalprice", "o_custkey"])
     c = FI.kmeans_coverage(real, synth, NUM_O).select("mode_coverage")
     k = F.lit(1)
