@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tabvet.functions.hashing import hu_sql
-from tabvet.functions.normal import phi_sql
+from tabvet.functions.normal import phi_inv_sql, phi_sql
 from tabvet.operators import powerlaw as PL
 from tabvet.operators import profile as P
 from tabvet.operators import tails as T
@@ -196,6 +196,32 @@ def b14_jarque_bera(spark, sf):
                      "is_gaussian")
 
 
+def _poly_sql(coefs, x):
+    return "(" + " + ".join(f"({c!r}) * power({x}, {k})" for k, c in enumerate(coefs)) + ")"
+
+
+# the SQL is for more than 11 values
+@query("b14_shapiro_wilk", f"""
+WITH long AS ({long_sql('customer', ['c_acctbal'])}),
+s AS (SELECT feature, count(v) AS n, avg(v) AS mu, var_samp(v) * (count(v) - 1) AS ss FROM long GROUP BY feature),
+r AS (SELECT feature, v, row_number() OVER (PARTITION BY feature ORDER BY v) AS i FROM long WHERE v IS NOT NULL),
+m AS (SELECT r.*, n, mu, ss, {phi_inv_sql("((i - 0.375) / (n + 0.25))")} AS m FROM r JOIN s USING (feature) WHERE n <= 5000),
+t AS (SELECT feature, sum(m * m) AS mm, max(m) AS top, max(m) FILTER (WHERE i = n - 1) AS second,
+             {_poly_sql(P.SW_LARGEST, "(1 / sqrt(max(n)))")} + max(m) / sqrt(sum(m * m)) AS a1,
+             {_poly_sql(P.SW_SECOND, "(1 / sqrt(max(n)))")} + max(m) FILTER (WHERE i = n - 1) / sqrt(sum(m * m)) AS a2
+      FROM m GROUP BY feature),
+w AS (SELECT feature, power(sum((v - mu) * CASE WHEN i = n THEN a1 WHEN i = 1 THEN -a1 WHEN i = n - 1 THEN a2 WHEN i = 2 THEN -a2
+               ELSE m / sqrt((mm - 2 * top * top - 2 * second * second) / (1 - 2 * a1 * a1 - 2 * a2 * a2)) END), 2) / max(ss) AS w
+      FROM m JOIN t USING (feature) GROUP BY feature),
+z AS (SELECT feature, n, w, (ln(1 - w) - {_poly_sql(P.SW_MEAN, "ln(n)")}) / exp({_poly_sql(P.SW_SD, "ln(n)")}) AS z
+      FROM s LEFT JOIN w USING (feature))
+SELECT feature, n, round(w, 6) AS shapiro_w, round(1 - {phi_sql("z")}, 6) AS shapiro_p, 1 - {phi_sql("z")} > 0.05 AS is_gaussian
+FROM z""")
+def b14_shapiro_wilk(spark, sf):
+    w = P.shapiro_wilk(table(spark, sf, "customer"), ["c_acctbal"])
+    return w.select("feature", "n", r6("shapiro_w").alias("shapiro_w"), r6("shapiro_p").alias("shapiro_p"), "is_gaussian")
+
+
 @query("b16_tail_behavior", f"""
 WITH long AS ({long_sql('orders', ['o_totalprice'])} UNION ALL {long_sql('lineitem', ['l_extendedprice', 'l_quantity'])}),
 thr AS (SELECT feature, quantile_cont(v, 0.9) AS thr FROM long GROUP BY feature),
