@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabvet.operators import mixtures
 from tabvet.operators.profile import kolmogorov_p, to_long
 from tabvet.operators.ranks import _bucket_expr, cumulative
 from tabvet.operators.relations import chi2_sf, correlation_matrix
@@ -375,26 +376,30 @@ def kmeans_coverage(real: DataFrame, synth: DataFrame, cols: list[str], k: int =
 def gmm_coverage(real: DataFrame, synth: DataFrame, cols: list[str], k_range=(2, 10), seed: int = 42,
                  min_unique: int = 10) -> DataFrame:
     """Gaussian mixture on real features with more than ``min_unique``
-    values, k chosen by BIC over ``k_range``; coverage = share of real
-    modes hit by synthetic rows; per-mode shares on both sides."""
-    from pyspark.ml.clustering import GaussianMixture
+    values, k chosen by BIC over ``k_range`` (all sizes fitted side by side);
+    coverage = share of real modes hit by synthetic rows; per-mode shares on
+    both sides."""
     uniq = real.agg(*[F.count_distinct(c).alias(c) for c in cols]).first()
     use = [c for c in cols if uniq[c] > min_unique] or cols
     fr = _features(real, use).cache()
     n = fr.count()
     d = len(use)
+    sizes = list(range(k_range[0], k_range[1] + 1))
+    begun = mixtures.starts(fr, sizes, seed)
+    pts = mixtures.points(fr, use, n).cache()
     best = None
-    for k in range(k_range[0], k_range[1] + 1):
-        m = GaussianMixture(k=k, seed=seed, featuresCol="features", predictionCol="m", maxIter=100).fit(fr)
+    for k, m in zip(sizes, mixtures.fit(pts, use, begun)):
         params = k * (d + d * (d + 1) / 2) + (k - 1)
-        bic = -2 * m.summary.logLikelihood + params * math.log(n)
+        bic = -2 * m.log_likelihood + params * math.log(n)
         if best is None or bic < best[0]:
             best = (bic, k, m)
     _, k, model = best
-    rl = model.transform(fr).groupBy("m").agg(F.count(F.lit(1)).alias("real_n"))
-    sl = model.transform(_features(synth, use)).groupBy("m").agg(F.count(F.lit(1)).alias("synth_n"))
-    j = rl.join(sl, "m", "left").fillna(0, ["synth_n"])
+    rl = cut_lineage(mixtures.mode_counts(pts, use, model, "real_n"))
+    pts.unpersist()
     fr.unpersist()
+    fs = _features(synth, use)
+    sl = mixtures.mode_counts(mixtures.points(fs, use, n), use, model, "synth_n")
+    j = rl.join(sl, "m", "left").fillna(0, ["synth_n"])
     w = Window.partitionBy()
     return j.select(F.lit(k).alias("k"), "m", (F.col("real_n") / F.sum("real_n").over(w)).alias("real_share"),
                     (F.col("synth_n") / F.sum("synth_n").over(w)).alias("synth_share"),
