@@ -119,6 +119,19 @@ def dp_report(bounds: DataFrame) -> DataFrame:
                         .when(e < 10.0, "Weak differential privacy (e < 10)").otherwise("Insufficient differential privacy"))
 
 
+#: Rows that one task of a forest is given at least and at most, and the tasks beyond which it is given more than
+#: the least: each task sends the statistics of all nodes of a level.
+TASK_ROWS, MOST_ROWS, TASKS = 50_000, 1_000_000, 24
+
+
+def _spread(data: DataFrame, rows: int, cols: list[str]) -> DataFrame:
+    """``data`` in as many parts as its rows ask for, however its files are
+    cut; parts and their order depend on the values alone, as the forests'
+    bootstrap counts rows by part.  Few rows stay as they are."""
+    tasks = max(min(rows // TASK_ROWS, TASKS), rows // MOST_ROWS)
+    return data.repartition(tasks, *cols).sortWithinPartitions(*cols) if tasks > 1 else data
+
+
 def membership_risk(train: DataFrame, holdout: DataFrame, synth: DataFrame, cols: list[str], n_shadow: int = 3,
                     trees: int = 100, depth: int = 10, seed: int = 42) -> DataFrame:
     """Shadow random forests separating (train ∪ synthetic) members
@@ -135,7 +148,7 @@ def membership_risk(train: DataFrame, holdout: DataFrame, synth: DataFrame, cols
     tot = sum(counts.values())
     wcol = F.when(F.col("label") == 1.0, F.lit(tot / (2.0 * counts.get(1.0, 1)))).otherwise(
         F.lit(tot / (2.0 * counts.get(0.0, 1))))
-    data = data.withColumn("w", wcol)
+    data = _spread(data.withColumn("w", wcol), tot, ["label", *cols]).cache()
     row_text = F.concat_ws("|", "label", *[F.col(c).cast("string") for c in cols])
     aucs = []
     for i in range(n_shadow):
@@ -144,6 +157,7 @@ def membership_risk(train: DataFrame, holdout: DataFrame, synth: DataFrame, cols
         rf = RandomForestClassifier(numTrees=trees, maxDepth=depth, weightCol="w", seed=seed + i)
         model = rf.fit(train_part)
         aucs.append(BinaryClassificationEvaluator(metricName="areaUnderROC").evaluate(model.transform(test_part)))
+    data.unpersist()
     spark = train.sparkSession
     mean = sum(aucs) / len(aucs)
     std = (sum((a - mean) ** 2 for a in aucs) / len(aucs)) ** 0.5
