@@ -353,22 +353,33 @@ def sincos(c: Column, period: float, name: str) -> list[Column]:
 # Hashing, target / frequency, binary, dummies
 # ---------------------------------------------------------------------------
 
+def _hash_position(c: Column, n: int) -> Column:
+    """md5(text) as a 128-bit integer, modulo 2n: folded 7 hex digits at a
+    time, so that no product leaves 64 bits."""
+    h = F.md5(c.cast("string"))
+    r = F.lit(0).cast("long")
+    for at in range(1, 33, 7):
+        digits = min(7, 33 - at)
+        part = F.conv(F.substring(h, at, digits), 16, 10).cast("long")
+        r = (r * (16 ** digits % (2 * n)) + part) % (2 * n)
+    return r
+
+
 def hash_bucket(c: Column, n: int) -> tuple[Column, Column]:
     """(index, sign) of md5(text) as a 128-bit integer H: index = H mod n,
-    sign = +1 if (H div n) is even else -1.  H mod 2n is folded digit by
-    digit (Horner) so no 128-bit arithmetic is needed."""
-    h = F.md5(c.cast("string"))
-    m = 2 * n
-    r = F.aggregate(F.sequence(F.lit(1), F.lit(32)), F.lit(0).cast("long"),
-                    lambda acc, i: (acc * 16 + F.conv(F.substr(h, i, F.lit(1)), 16, 10).cast("long")) % m)
-    return r % n, F.when((r / n).cast("long") % 2 == 0, F.lit(1.0)).otherwise(F.lit(-1.0))
+    sign = +1 if (H div n) is even else -1."""
+    r = _hash_position(c, n)
+    return r % n, F.when(r < n, F.lit(1.0)).otherwise(F.lit(-1.0))
 
 
-def feature_hashing(df: DataFrame, col: str, n: int = 32) -> dict[str, Column]:
-    """``{col}_hash_{i}`` columns; NULL rows are all zeros."""
-    idx, sign = hash_bucket(_c(col), n)
-    notnull = _c(col).isNotNull()
-    return {f"{col}_hash_{i}": F.when(notnull & (idx == i), sign).otherwise(F.lit(0.0)) for i in range(n)}
+def feature_hashing(df: DataFrame, col: str, n: int = 32) -> tuple[DataFrame, dict[str, Column]]:
+    """``df`` with the text's position, found once a row, and the
+    ``{col}_hash_{i}`` columns over it; NULL rows are all zeros."""
+    at = f"_{col}_position"
+    r = _c(at)
+    placed = df.withColumn(at, F.when(_c(col).isNotNull(), _hash_position(_c(col), n)))
+    return placed, {f"{col}_hash_{i}": F.when(r == i, F.lit(1.0)).when(r == i + n, F.lit(-1.0)).otherwise(F.lit(0.0))
+                    for i in range(n)}
 
 
 def target_encoding(df: DataFrame, col: str, target: str, smoothing: float = 10.0,
@@ -746,7 +757,7 @@ def prepare(df: DataFrame, cols: list[str], key: str, target: str | None = None,
     facts = {r["feature"]: r for r in column_facts(df, cols).collect()}
     out_cols: list = [F.col(key)]
     report = []
-    frame = df
+    frame = placed = df
     joins = []
     for c in cols:
         t = st[c]
@@ -755,7 +766,7 @@ def prepare(df: DataFrame, cols: list[str], key: str, target: str | None = None,
             report.append((c, t, card, "dropped", 0, f"Dropped invariant column: {c}"))
         elif t == "IDENTIFIER":
             if card < id_hash_max:
-                h = feature_hashing(df, c, hash_components)
+                placed, h = feature_hashing(placed, c, hash_components)
                 out_cols += [v.alias(n) for n, v in h.items()]
                 report.append((c, t, card, "feature_hashing", hash_components, None))
             else:
@@ -769,7 +780,7 @@ def prepare(df: DataFrame, cols: list[str], key: str, target: str | None = None,
             report.append((c, t, card, "binary_encoding", 1, None))
         elif t == "CATEGORICAL":
             if card > high_cardinality and target is None:
-                h = feature_hashing(df, c, hash_components)
+                placed, h = feature_hashing(placed, c, hash_components)
                 out_cols += [v.alias(n) for n, v in h.items()]
                 report.append((c, t, card, "feature_hashing", hash_components, None))
             elif card > categorical_max:
@@ -784,7 +795,7 @@ def prepare(df: DataFrame, cols: list[str], key: str, target: str | None = None,
         else:  # CONTINUOUS
             out_cols.append(_c(c).cast("double").alias(c))
             report.append((c, t, card, "continuous", 1, None))
-    prepared = df.select(*out_cols)
+    prepared = placed.select(*out_cols)
     for j in joins:
         prepared = prepared.join(j, key)
     cont = [r[0] for r in report if r[3] == "continuous"]

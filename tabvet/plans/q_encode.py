@@ -211,8 +211,8 @@ def _hash_sql(col: str, n: int) -> str:
 @query("d16_feature_hashing", f"SELECT c_custkey, {_hash_sql('c_name', 32)} FROM customer")
 def d16_feature_hashing(spark, sf):
     c = table(spark, sf, "customer")
-    h = E.feature_hashing(c, "c_name", 32)
-    return c.select("c_custkey", *[v.alias(k) for k, v in h.items()])
+    placed, h = E.feature_hashing(c, "c_name", 32)
+    return placed.select("c_custkey", *[v.alias(k) for k, v in h.items()])
 
 
 @query("d17_target_encoding", """
