@@ -52,22 +52,33 @@ def numeric_profile(df: DataFrame, cols: list[str] | None = None, exact_distinct
     cols = cols or numeric_columns(df)
     long = to_long(df, cols)
     v = F.col("v")
-    finite = F.when(~v.isin(float("inf"), float("-inf")), v)
-    distinct = F.count_distinct(v) if exact_distinct else F.approx_count_distinct(v)
-    return (long.groupBy("feature").agg(
+    infinite = v.isin(float("inf"), float("-inf"))
+    finite = F.when(~infinite, v)
+    first = long.groupBy("feature").agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.count(v).alias("non_null"),
         F.avg(v.isNull().cast("double")).alias("missing_rate"),
         F.avg(finite).alias("mean"),
-        F.stddev_samp(finite).alias("std"),
-        F.skewness(finite).alias("skewness"),
-        F.kurtosis(finite).alias("kurtosis"),
         F.min(v).alias("min"),
         F.max(v).alias("max"),
-        distinct.alias("unique_count"),
         F.coalesce(F.bool_and(v == F.floor(v)), F.lit(False)).alias("is_integer"),
         F.coalesce(F.bool_and(v > 0), F.lit(False)).alias("is_positive"),
-        F.count_if(v.isin(float("inf"), float("-inf"))).alias("n_inf")))
+        F.count_if(infinite).alias("n_inf"),
+        F.count(finite).alias("_n"), (F.min(finite) == F.max(finite)).alias("_constant"))
+    # moments as sums of powers around the mean: the code of Spark's own is too long to be compiled
+    d = finite - F.col("_mean")
+    around = long.join(F.broadcast(first.select("feature", F.col("mean").alias("_mean"))), "feature") \
+        .groupBy("feature").agg(*[F.sum(x).alias(f"_{k}") for k, x in ((2, d * d), (3, d * d * d), (4, d * d * d * d))])
+    # distinct values are counted apart, as they would carry all of the above along with every value
+    distinct = long.groupBy("feature").agg(
+        (F.count_distinct(v) if exact_distinct else F.approx_count_distinct(v)).alias("unique_count"))
+    n, m2 = F.col("_n"), F.when(F.col("_constant"), F.lit(0.0)).otherwise(F.col("_2"))
+    return first.join(F.broadcast(around), "feature", "left").join(F.broadcast(distinct), "feature", "left").select(
+        "feature", "n_rows", "non_null", "missing_rate", "mean",
+        F.when(n > 1, F.sqrt(m2 / (n - 1))).alias("std"),
+        F.when(m2 > 0, F.sqrt(n) * F.col("_3") / F.sqrt(m2 * m2 * m2)).alias("skewness"),
+        F.when(m2 > 0, n * F.col("_4") / (m2 * m2) - 3.0).alias("kurtosis"),
+        "min", "max", "unique_count", "is_integer", "is_positive", "n_inf")
 
 
 def column_health(profile: DataFrame, max_missing: float = 0.5) -> DataFrame:
