@@ -55,17 +55,25 @@ def class_value_counts(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame
     return long.groupBy("pair", "a", "v").agg(F.count(F.lit(1)).alias("cnt"))
 
 
-def _radius(k: int) -> Column:
-    """Distance at which the rows around reach ``_k``; needs the window
-    columns of :func:`radii`."""
-    near = [F.struct(F.lit(0.0).alias("d"), (F.col("cnt") - 1).alias("c"))]
-    for j in range(1, k + 1):
-        near.append(F.struct((F.col("v") - F.col(f"_lv{j}")).alias("d"), F.col(f"_lc{j}").alias("c")))
-        near.append(F.struct((F.col(f"_rv{j}") - F.col("v")).alias("d"), F.col(f"_rc{j}").alias("c")))
-    ordered = F.array_sort(F.filter(F.array(*near), lambda x: x["d"].isNotNull()))
-    start = F.struct(F.col("_k").alias("left"), F.lit(0.0).alias("r"))
-    return F.aggregate(ordered, start, lambda acc, x: F.struct(
-        (acc["left"] - x["c"]).alias("left"), F.when(acc["left"] > 0, x["d"]).otherwise(acc["r"]).alias("r")))["r"]
+def _with_radius(df: DataFrame, k: int) -> DataFrame:
+    """Adds ``r``, the distance at which the rows around reach ``_k``; needs
+    the window columns of :func:`radii`.  Of n rows still wanted, some are the
+    nearest at the left and the rest at the right: the split that reaches least
+    far.  Steps are columns of their own, which keeps the compiled code small."""
+    for j in range(2, k + 1):                   # rows among the j nearest values at a side
+        df = df.withColumns({f"_{s}c{j}": F.col(f"_{s}c{j}") + F.col(f"_{s}c{j - 1}") for s in "lr"})
+    # distance of the n-th nearest row at a side, NULL where there is none
+    df = df.withColumns({f"_{s}d{n}": F.abs(F.col("v") - F.coalesce(*[
+        F.when(F.col(f"_{s}c{j}") >= n, F.col(f"_{s}v{j}")) for j in range(1, k + 1)]))
+        for s in "lr" for n in range(1, k + 1)})
+    df = df.withColumns({f"_w{n}": F.least(*[F.col(f"_ld{n}") if i == n else F.col(f"_rd{n}") if i == 0 else
+                                             F.when(F.col(f"_ld{i}") > F.col(f"_rd{n - i}"), F.col(f"_ld{i}"))
+                                             .when(F.col(f"_ld{i}").isNotNull(), F.col(f"_rd{n - i}"))
+                                             for i in range(n + 1)]) for n in range(1, k + 1)})
+    wanted, r = F.col("_k") - (F.col("cnt") - 1), F.when(F.col("cnt") > F.col("_k"), F.lit(0.0))
+    for n in range(1, k + 1):
+        r = r.when(wanted == n, F.col(f"_w{n}"))
+    return df.withColumn("r", r)
 
 
 def radii(counts: DataFrame, k: int) -> DataFrame:
@@ -83,8 +91,8 @@ def radii(counts: DataFrame, k: int) -> DataFrame:
     for j in range(1, k + 1):
         lent = (lent.withColumn(f"_lv{j}", F.lag("v", j).over(w)).withColumn(f"_lc{j}", F.lag("cnt", j).over(w))
                 .withColumn(f"_rv{j}", F.lead("v", j).over(w)).withColumn(f"_rc{j}", F.lead("cnt", j).over(w)))
-    return (lent.filter("_chunk = _own").withColumn("_k", F.least(F.lit(k), F.col("n_class") - 1))
-            .select("pair", "a", "v", "cnt", "n_class", "_k", _radius(k).alias("r")))
+    near = lent.filter("_chunk = _own").withColumn("_k", F.least(F.lit(k), F.col("n_class") - 1))
+    return _with_radius(near, k).select("pair", "a", "v", "cnt", "n_class", "_k", "r")
 
 
 def neighbour_information(df: DataFrame, pairs: list[tuple[str, str]], k: int = NEIGHBOURS) -> DataFrame:

@@ -32,6 +32,19 @@ def _bucket_expr(bounds: str, v: str) -> F.Column:
         f"acc -> acc.lo)")
 
 
+def with_bucket(df: DataFrame, bounds: str, v: str, n_buckets: int, name: str = "_bucket") -> DataFrame:
+    """Adds ``name``: number of ``bounds`` elements strictly below ``v``, by
+    binary search over the sorted array of fewer than ``n_buckets``.  A step is
+    a column of its own, so the steps are compiled and none is run twice."""
+    df = df.withColumn(name, F.lit(0))
+    step = 1 << max(n_buckets - 1, 1).bit_length() - 1
+    while step:
+        below = F.coalesce(F.get(bounds, F.col(name) + (step - 1)) < F.col(v), F.lit(False))
+        df = df.withColumn(name, F.col(name) + F.when(below, F.lit(step)).otherwise(F.lit(0)))
+        step //= 2
+    return df
+
+
 def order_key(df: DataFrame, value_col: str) -> F.Column:
     """A double that is monotone (non-decreasing) in the value's sort
     order: numbers as themselves; text as its first 6 UTF-8 bytes read as a
@@ -98,7 +111,7 @@ def cumulative(counts: DataFrame, group_cols: list[str], value_col: str,
         bounds = (keyed.groupBy(*g)
                   .agg(F.array_distinct(F.percentile_approx("_okey", probs, 10000)).alias("_bounds")))
     b = keyed.join(small(bounds), g)
-    b = b.withColumn("_bucket", _bucket_expr("_bounds", "_okey")).drop("_bounds", "_okey")
+    b = with_bucket(b, "_bounds", "_okey", n_buckets).drop("_bounds", "_okey")
     totals = b.groupBy(*g, "_bucket").agg(*[F.sum(c).alias(f"_bt_{c}") for c in count_cols])
     wo = Window.partitionBy(*g).orderBy("_bucket")
     wg = Window.partitionBy(*g)
@@ -149,7 +162,7 @@ def sorted_gaps(df: DataFrame, group_cols: list[str], value_col: str,
     probs = [i / n_buckets for i in range(1, n_buckets)]
     bounds = d.groupBy(*g).agg(F.array_distinct(F.percentile_approx("x", probs, 10000)).alias("_bounds"))
     b = d.join(F.broadcast(bounds), g)
-    b = b.withColumn("_bucket", _bucket_expr("_bounds", "x")).drop("_bounds")
+    b = with_bucket(b, "_bounds", "x", n_buckets).drop("_bounds")
     w = Window.partitionBy(*g, "_bucket").orderBy("x")
     inner = b.select(*g, "x", F.lead("x").over(w).alias("next_x")).filter(F.col("next_x").isNotNull())
     mm = b.groupBy(*g, "_bucket").agg(F.min("x").alias("bmin"), F.max("x").alias("bmax"))

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabvet.operators.ranks import _bucket_expr, order_key, with_const_array
+from tabvet.operators.ranks import order_key, with_bucket, with_const_array
 
 ROWS_PER_CHUNK = 1_000_000
 
@@ -36,7 +36,7 @@ def row_index(df: DataFrame, entity: list[str], order: list[str],
         probs = [i / nb for i in range(1, nb)]
         bounds = d.agg(F.array_distinct(F.percentile_approx("_ok", probs, 10000)).alias("b")).first()["b"]
         d = with_const_array(d, "_bnd", bounds)
-        d = d.withColumn("_bk", _bucket_expr("_bnd", "_ok")).drop("_bnd")
+        d = with_bucket(d, "_bnd", "_ok", nb, "_bk").drop("_bnd")
     else:
         d = d.withColumn("_bk", F.lit(0))
     counts = d.groupBy(*entity, "_bk").agg(F.count(F.lit(1)).alias("_c"))
