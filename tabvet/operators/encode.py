@@ -559,8 +559,8 @@ def impute_nonfinite(df: DataFrame, cols: list[str]) -> DataFrame:
     out = {}
     for c in cols:
         x = _c(c).cast("double")
-        bad = x.isNull() | F.isnan(x) | x.isin(float("inf"), float("-inf"))
-        out[c] = F.when(bad, F.lit(med.get(c))).otherwise(x)
+        # NaN is above infinity; a short condition, since code of many columns is compiled as one method
+        out[c] = F.when(F.abs(x) < float("inf"), x).otherwise(F.lit(med.get(c)))
     return df.select(*[(out[c].alias(c) if c in out else _c(c)) for c in df.columns])
 
 
@@ -801,9 +801,7 @@ def prepare(df: DataFrame, cols: list[str], key: str, target: str | None = None,
     cont = [r[0] for r in report if r[3] == "continuous"]
     if cont:
         prepared = variance_guard(impute_nonfinite(prepared, cont), cont, key, tol)
-    final = [F.col(key)] + [F.when(F.isnan(F.col(f"`{c}`").cast("double")) | F.col(f"`{c}`").isNull()
-                                   | F.col(f"`{c}`").cast("double").isin(float("inf"), float("-inf")), F.lit(0.0))
-                            .otherwise(F.col(f"`{c}`").cast("double")).alias(c)
+    final = [F.col(key)] + [F.when(F.abs(_c(c).cast("double")) < float("inf"), _c(c).cast("double")).otherwise(F.lit(0.0)).alias(c)
                             for c in prepared.columns if c != key]
     spark = df.sparkSession
     rep = spark.createDataFrame(report, "feature string, semantic_type string, cardinality long, "

@@ -17,7 +17,7 @@ from tabvet.functions.hashing import hu, normal_draw
 from tabvet.operators import sequence as S
 from tabvet.operators.privacy import knn_pairs
 from tabvet.operators.ranks import cumulative
-from tabvet.session import sized
+from tabvet.session import cut_lineage, sized
 
 def indexed(real: DataFrame, key: str) -> tuple[DataFrame, int]:
     """Dense 1..n index of the real rows in key order."""
@@ -132,6 +132,7 @@ def smote(spark, df: DataFrame, target: str, minority, key: str, numeric: list[s
     base = df.withColumn("synthetic", F.lit(False))
     if n_min < k or n_syn == 0:
         return base
+    mino = cut_lineage(mino)            # read by six jobs
     idx, _ = indexed(mino, key)
     nbr = knn_pairs(mino.select(key, *numeric), numeric, key, k)
     out = spark.range(n_syn).withColumnRenamed("id", "row_id")
