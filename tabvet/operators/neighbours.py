@@ -113,17 +113,22 @@ def _nearest(queries: pd.DataFrame, base: pd.DataFrame, cols: list[str], k: int,
         for j in range(len(cols)):
             d2 += (q[:, j:j + 1] - b[None, :, j]) ** 2
         dist = np.sqrt(d2)
-        order = np.argsort(dist, axis=1, kind="stable")
-        sorted_d = np.take_along_axis(dist, order, 1)
-        before = np.cumsum(n[order], 1) - n[order]
+        # a point has one row at least, so the k-th nearest point bounds what is sorted
+        bound = np.partition(dist, k - 1, axis=1)[:, k - 1] if len(b) > k else np.full(len(q), np.inf)
+        row, col = np.nonzero(dist <= np.where(np.isnan(bound), np.inf, bound)[:, None])
+        near = dist[row, col]
+        order = np.lexsort((col, near, row))
+        row, col, near = row[order], col[order], near[order]
+        rows = n[col]
+        upto = np.cumsum(rows) - rows
+        before = upto - upto[np.searchsorted(row, row)]
         # all points at the distance that completes k rows stay: ties are settled by key later
-        last = np.where((before < k).all(1), np.inf, np.take_along_axis(
-            sorted_d, np.maximum((before < k).sum(1) - 1, 0)[:, None], 1)[:, 0])
-        take = (sorted_d <= last[:, None]) & (sorted_d <= part["_r"].to_numpy()[:, None])
-        row, col = np.nonzero(take)
-        picked = order[row, col]
+        last = np.full(len(q), -1.0)
+        np.maximum.at(last, row[before < k], near[before < k])
+        take = near <= np.minimum(last, part["_r"].to_numpy())[row]
+        row, picked, near = row[take], col[take], near[take]
         frame = part[cols].iloc[row].reset_index(drop=True)
-        frame["_d"], frame["_n"] = sorted_d[row, col], n[picked]
+        frame["_d"], frame["_n"] = near, n[picked]
         if "_keys" in names:
             frame["_keys"] = base["_keys"].to_numpy()[picked]
         out.append(frame[names])

@@ -5,9 +5,11 @@ import bisect
 import math
 import random
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
-from tabvet.operators import encode, generate, information, ranks
+from tabvet.operators import encode, generate, information, neighbours, ranks
 
 
 def plan(df):
@@ -58,3 +60,34 @@ def test_prepare_fills_what_is_not_finite_and_smote_makes_the_minority_once(spar
     assert grown.filter("synthetic").count() == 40
     synthetic = plan(grown.filter("synthetic"))
     assert "LogicalRDD" in synthetic and "= P)" not in synthetic
+
+
+def test_cell_search_keeps_ties_and_rows_that_complete_k():
+    r = np.random.default_rng(0)
+    for _ in range(150):
+        m, q, k, span = (int(r.integers(1, x)) for x in (40, 30, 8, 12))
+        base = pd.DataFrame({"a": r.integers(0, span, m) * 1.0, "b": r.integers(0, span, m) * 1.0, "_n": r.integers(1, 4, m)})
+        base["_keys"] = [[i] for i in range(m)]
+        asked = pd.DataFrame({"a": r.integers(0, span, q) * 1.0, "b": r.integers(0, span, q) * 1.0,
+                              "_r": np.where(r.random(q) < 0.5, np.inf, r.random(q) * 5)})
+        got = neighbours._nearest(asked, base, ["a", "b"], k, ["a", "b", "_d", "_n", "_keys"])
+        want = []
+        for x in asked.itertuples():
+            held, last = 0, 0.0
+            for d, i in sorted((math.sqrt((x.a - y.a) ** 2 + (x.b - y.b) ** 2), y.Index) for y in base.itertuples()):
+                if held >= k and d > last:
+                    break
+                held, last = held + base["_n"][i], d if held < k else last
+                if d <= x[3]:
+                    want.append((x.a, x.b, d, base["_n"][i], [i]))
+        assert [tuple(x) for x in got.itertuples(index=False)] == want
+
+
+def test_cell_search_does_not_sort_whole_cells(monkeypatch):
+    sizes = []
+    whole = np.argsort
+    monkeypatch.setattr(np, "argsort", lambda a, *x, **y: sizes.append(np.size(a)) or whole(a, *x, **y))
+    r = np.random.default_rng(1)
+    base = pd.DataFrame({"a": r.random(1000), "_n": 1})
+    neighbours._nearest(pd.DataFrame({"a": r.random(50), "_r": np.inf}), base, ["a"], 5, ["a", "_d", "_n"])
+    assert max(sizes, default=0) < 50 * 1000
