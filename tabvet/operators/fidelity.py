@@ -379,14 +379,13 @@ def gmm_coverage(real: DataFrame, synth: DataFrame, cols: list[str], k_range=(2,
     values, k chosen by BIC over ``k_range`` (all sizes fitted side by side);
     coverage = share of real modes hit by synthetic rows; per-mode shares on
     both sides."""
-    uniq = real.agg(*[F.count_distinct(c).alias(c) for c in cols]).first()
-    use = [c for c in cols if uniq[c] > min_unique] or cols
-    fr = _features(real, use).cache()
+    use = mixtures.varied(real, cols, min_unique) or cols
+    fr, fs = (df.select(*[F.col(c).cast("double").alias(c) for c in use]).dropna() for df in (real, synth))
     n = fr.count()
     d = len(use)
     sizes = list(range(k_range[0], k_range[1] + 1))
-    begun = mixtures.starts(fr, sizes, seed)
-    pts = mixtures.points(fr, use, n).cache()
+    begun = mixtures.starts(fr, sizes, seed, n)
+    pts = mixtures.packed(mixtures.points(fr, use, n), use, n).cache()
     best = None
     for k, m in zip(sizes, mixtures.fit(pts, use, begun)):
         params = k * (d + d * (d + 1) / 2) + (k - 1)
@@ -396,9 +395,7 @@ def gmm_coverage(real: DataFrame, synth: DataFrame, cols: list[str], k_range=(2,
     _, k, model = best
     rl = cut_lineage(mixtures.mode_counts(pts, use, model, "real_n"))
     pts.unpersist()
-    fr.unpersist()
-    fs = _features(synth, use)
-    sl = mixtures.mode_counts(mixtures.points(fs, use, n), use, model, "synth_n")
+    sl = mixtures.mode_counts(fs.withColumn("n", F.lit(1)), use, model, "synth_n")
     j = rl.join(sl, "m", "left").fillna(0, ["synth_n"])
     w = Window.partitionBy()
     return j.select(F.lit(k).alias("k"), "m", (F.col("real_n") / F.sum("real_n").over(w)).alias("real_share"),

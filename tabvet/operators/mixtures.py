@@ -1,8 +1,8 @@
 """Gaussian mixtures of several sizes fitted by EM side by side.
 
 Start, update, floor of the densities and stopping rule are those of Spark's
-``GaussianMixture``; the start is taken from it (``maxIter=0``).  Equal points
-are one point with a count, and every round is one job over the points for all
+``GaussianMixture``, the start with the rows it would draw.  Equal points are
+one point with a count, and every round is one job over the points for all
 mixtures that have not stopped: a task returns sums per component, so a round
 sends components x features^2 numbers per task to the driver.
 """
@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 EPSILON = 2.0 ** -52
 #: Distinct points a task has, where there are more than cores.
 TASK_POINTS = 500_000
+#: Rows that Spark's GaussianMixture starts a component from.
+START_ROWS = 5
 
 
 @dataclass
@@ -44,47 +46,110 @@ class Mixture:
         return roots, -0.5 * (d * np.log(2 * np.pi) + np.log(safe).sum(1))
 
 
+def varied(df: DataFrame, cols: list[str], least: int) -> list[str]:
+    """The columns with more than ``least`` distinct values; a task stops
+    comparing a column's values once it has seen that many."""
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [set() for _ in cols]
+        for batch in batches:
+            for values, column in zip(found, batch.columns):
+                if len(values) <= least:  # +0 and -0, and any NaN, are one value
+                    some = column.drop_null().unique()[:least + 3].to_pylist()
+                    values.update(repr(0.0 if v == 0 else v) for v in some)
+        for i, values in enumerate(found):
+            yield pa.RecordBatch.from_arrays([pa.array([i] * len(values), pa.int32()), pa.array(sorted(values), pa.string())],
+                                             names=["i", "v"])
+    values = {(r["i"], r["v"]) for r in df.select(*cols).mapInArrow(seen, "i int, v string").distinct().collect()}
+    return [c for i, c in enumerate(cols) if sum(j == i for j, _ in values) > least]
+
+
 def points(features: DataFrame, cols: list[str], rows: int) -> DataFrame:
-    """(cols..., n): distinct points with their counts, spread over the cores."""
-    spark = features.sparkSession
+    """(cols..., n): distinct points with their counts."""
+    return features.groupBy(*cols).agg(F.count(F.lit(1)).alias("n"))
+
+
+def packed(pts: DataFrame, cols: list[str], rows: int) -> DataFrame:
+    """``pts`` as one binary value for some 10,000 points (coordinates, then
+    counts), spread over the cores, so a round reads them without unpacking rows."""
+    spark = pts.sparkSession
     tasks = max(spark.sparkContext.defaultParallelism, -(-rows // TASK_POINTS))
-    return features.groupBy(*cols).agg(F.count(F.lit(1)).alias("n")).repartition(tasks, *cols)
 
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x, n in _chunks(batches, cols, 10_000):
+            yield pa.RecordBatch.from_arrays([pa.array([np.vstack([x, n]).tobytes()], pa.binary())], names=["points"])
+    return pts.mapInArrow(pack, "points binary").repartition(tasks)
 
-def starts(features: DataFrame, sizes: list[int], seed: int) -> list[Mixture]:
-    """Where Spark's GaussianMixture begins for each size."""
-    from pyspark.ml.clustering import GaussianMixture
-    out = []
+
+def starts(rows: DataFrame, sizes: list[int], seed: int, n: int | None = None) -> list[Mixture]:
+    """Where Spark's GaussianMixture begins for each size, from the rows that
+    it would draw of ``n``; a ``features`` column is left out."""
+    cols = [c for c in rows.columns if c != "features"]
+    drawn = rows.select(*cols)._jdf.toJavaRDD()
+    n, out = rows.count() if n is None else n, []
     for k in sizes:
-        model = GaussianMixture(k=k, seed=seed, featuresCol="features", predictionCol="m", maxIter=0).fit(features)
-        parts = model.gaussiansDF.collect()
-        out.append(Mixture(np.array(model.weights), np.array([g["mean"].toArray() for g in parts]),
-                           np.array([g["cov"].toArray() for g in parts])))
+        x = np.array([[r.getDouble(i) for i in range(len(cols))] for r in _drawn(rows, drawn, START_ROWS * k, n, seed)])
+        x = x.reshape(k, START_ROWS, len(cols))
+        means = x.mean(1)
+        out.append(Mixture(np.full(k, 1.0 / k), means, ((x - means[:, None]) ** 2).mean(1)[:, :, None] * np.eye(len(cols))))
     return out
 
 
+def _drawn(rows: DataFrame, rdd, size: int, n: int, seed: int) -> list:
+    """``RDD.takeSample`` with replacement, without counting the rows each time."""
+    if not n:
+        raise ValueError("no rows to start a mixture from")
+    random = rows.sparkSession._jvm.java.util.Random(seed)
+    fraction = (size + (12.0 if size < 6 else 9.0 if size < 16 else 6.0) * np.sqrt(size)) / n
+    found: list = []
+    while len(found) < size:
+        found = list(rdd.sample(True, float(fraction), random.nextInt()).collect())
+    for i in range(len(found) - 1, 0, -1):
+        j = random.nextInt(i + 1)
+        found[i], found[j] = found[j], found[i]
+    return found[:size]
+
+
 def _densities(mixtures: list[Mixture]):
-    """Weighted densities of points under all components side by side."""
+    """Weighted densities of points (d x points) under all components, a row
+    for each; they are overwritten by the next call."""
     weights = np.concatenate([m.weights for m in mixtures])
     means = np.concatenate([m.means for m in mixtures])
     roots, logs = (np.concatenate(x) for x in zip(*(m.whitening() for m in mixtures)))
     k, d = means.shape
-    flat = roots.transpose(1, 0, 2).reshape(d, k * d)
-    shift = np.einsum("kd,kde->ke", means, roots).ravel()
+    roots = roots.transpose(2, 0, 1) * np.sqrt(0.5)
+    flat = np.concatenate([roots, -np.einsum("kd,ekd->ek", means, roots)[:, :, None]], 2).reshape(d * k, d + 1)
+    with np.errstate(divide="ignore"):
+        logs = (logs + np.log(weights))[:, None]
+    kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     def of(x: np.ndarray) -> np.ndarray:
-        y = x @ flat - shift
+        size = x.shape[1]
+        if size not in kept:
+            kept.clear()
+            kept[size] = np.empty((d * k, size)), np.empty((k, size))
+        y, p = kept[size]
+        np.matmul(flat, np.vstack([x, np.ones(size)]), out=y)
         y *= y
-        return weights * np.exp(logs - 0.5 * y.reshape(len(x), k, d).sum(2)) + EPSILON
+        np.subtract(logs, y[:k], out=p)
+        for i in range(1, d):
+            p -= y[i * k:(i + 1) * k]
+        np.maximum(p, -600.0, out=p)  # far below EPSILON's last digit, and faster than numbers that vanish
+        np.exp(p, out=p)
+        p += EPSILON
+        return p
     return of
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], cols: list[str], rows: int = 8192):
+def _chunks(batches: Iterator[pa.RecordBatch], cols: list[str], rows: int = 512):
+    """(points, d x rows at most; counts) of batches of points, packed or not."""
     for batch in batches:
-        x = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in cols])
-        n = batch.column("n").to_numpy(zero_copy_only=False).astype(float)
-        for i in range(0, len(n), rows):
-            yield x[i:i + rows], n[i:i + rows]
+        if batch.schema.names == ["points"]:
+            blocks = (np.frombuffer(b.as_buffer()).reshape(len(cols) + 1, -1) for b in batch.column(0))
+        else:
+            blocks = [np.vstack([batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in (*cols, "n")])]
+        for block in blocks:
+            for i in range(0, block.shape[1], rows):
+                yield block[:-1, i:i + rows], block[-1, i:i + rows]
 
 
 def _expected(batches: Iterator[pa.RecordBatch], cols: list[str], mixtures: list[Mixture]) -> Iterator[pa.RecordBatch]:
@@ -92,14 +157,18 @@ def _expected(batches: Iterator[pa.RecordBatch], cols: list[str], mixtures: list
     shares, shares x point and shares x products of two coordinates."""
     of, d = _densities(mixtures), len(cols)
     left, right = np.triu_indices(d)
-    edges = np.concatenate([[0], np.cumsum([len(m.weights) for m in mixtures])])
+    sizes = [len(m.weights) for m in mixtures]
+    edges = np.concatenate([[0], np.cumsum(sizes)])
+    whole = np.repeat(np.eye(len(mixtures)), sizes, axis=1)
     likelihood, sums = np.zeros(len(mixtures)), np.zeros((edges[-1], 1 + d + len(left)))
     for x, n in _chunks(batches, cols):
         p = of(x)
-        total = np.add.reduceat(p, edges[:-1], axis=1)
-        likelihood += n @ np.log(total)
-        p *= np.repeat(n[:, None] / total, np.diff(edges), axis=1)
-        sums += p.T @ np.column_stack([np.ones(len(x)), x, x[:, left] * x[:, right]])
+        total = whole @ p
+        likelihood += np.log(total) @ n
+        np.divide(n, total, out=total)
+        for part, a, b in zip(total, edges, edges[1:]):
+            p[a:b] *= part
+        sums += p @ np.vstack([np.ones(x.shape[1]), x, x[left] * x[right]]).T
     yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([likelihood, sums.ravel()]).tolist()])], names=["s"])
 
 
@@ -139,7 +208,7 @@ def mode_counts(pts: DataFrame, cols: list[str], mixture: Mixture, name: str) ->
     def best(batches):
         of, found = _densities([mixture]), np.zeros(len(mixture.weights), np.int64)
         for x, n in _chunks(batches, cols):
-            found += np.bincount(of(x).argmax(1), n, minlength=len(found)).astype(np.int64)
+            found += np.bincount(of(x).argmax(0), n, minlength=len(found)).astype(np.int64)
         hit = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array(hit, pa.int32()), pa.array(found[hit])], names=["m", "n"])
     return pts.mapInArrow(best, "m int, n long").groupBy("m").agg(F.sum("n").alias(name))
