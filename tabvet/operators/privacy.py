@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabvet.functions.hashing import hu
-from tabvet.operators import neighbours
+from tabvet.operators import forest, neighbours
 from tabvet.operators.ranks import cumulative
 
 
@@ -124,11 +124,15 @@ def dp_report(bounds: DataFrame) -> DataFrame:
 TASK_ROWS, MOST_ROWS, TASKS = 50_000, 1_000_000, 24
 
 
+def _tasks(rows: int) -> int:
+    return max(min(rows // TASK_ROWS, TASKS), rows // MOST_ROWS)
+
+
 def _spread(data: DataFrame, rows: int, cols: list[str]) -> DataFrame:
     """``data`` in as many parts as its rows ask for, however its files are
     cut; parts and their order depend on the values alone, as the forests'
     bootstrap counts rows by part.  Few rows stay as they are."""
-    tasks = max(min(rows // TASK_ROWS, TASKS), rows // MOST_ROWS)
+    tasks = _tasks(rows)
     return data.repartition(tasks, *cols).sortWithinPartitions(*cols) if tasks > 1 else data
 
 
@@ -136,34 +140,64 @@ def membership_risk(train: DataFrame, holdout: DataFrame, synth: DataFrame, cols
                     trees: int = 100, depth: int = 10, seed: int = 42) -> DataFrame:
     """Shadow random forests separating (train ∪ synthetic) members
     from held-out rows, balanced by class weights; AUC on a hash-split 30 %
-    evaluation part; mean / std over shadow models."""
-    from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.evaluation import BinaryClassificationEvaluator
-    from pyspark.ml.feature import VectorAssembler
+    evaluation part; mean / std over shadow models.  Where rows are many and
+    their features' bins make few cells, the forests are grown from counts."""
     members = train.select(*cols).unionByName(synth.select(*cols)).withColumn("label", F.lit(1.0))
     non = holdout.select(*cols).withColumn("label", F.lit(0.0))
     data = members.unionByName(non).dropna()
-    data = VectorAssembler(inputCols=cols, outputCol="features").transform(data)
     counts = {r["label"]: r["count"] for r in data.groupBy("label").count().collect()}
     tot = sum(counts.values())
-    wcol = F.when(F.col("label") == 1.0, F.lit(tot / (2.0 * counts.get(1.0, 1)))).otherwise(
-        F.lit(tot / (2.0 * counts.get(0.0, 1))))
-    data = _spread(data.withColumn("w", wcol), tot, ["label", *cols]).cache()
+    weights = [tot / (2.0 * counts.get(c, 1)) for c in (0.0, 1.0)]
     row_text = F.concat_ws("|", "label", *[F.col(c).cast("string") for c in cols])
-    aucs = []
-    for i in range(n_shadow):
-        u = hu(seed + i, row_text)  # deterministic split, stable under re-execution
-        train_part, test_part = data.filter(u >= 0.3), data.filter(u < 0.3)
-        rf = RandomForestClassifier(numTrees=trees, maxDepth=depth, weightCol="w", seed=seed + i)
-        model = rf.fit(train_part)
-        aucs.append(BinaryClassificationEvaluator(metricName="areaUnderROC").evaluate(model.transform(test_part)))
-    data.unpersist()
+    learnt = [hu(seed + i, row_text) >= 0.3 for i in range(n_shadow)]  # deterministic split, stable under re-execution
+    aucs = None
+    if _tasks(tot) > 1 and n_shadow < 63:
+        aucs = _counted_aucs(data, cols, weights, tot, learnt, trees, depth, seed)
+    if aucs is None:
+        aucs = _forest_aucs(data, cols, weights, tot, learnt, trees, depth, seed)
     spark = train.sparkSession
     mean = sum(aucs) / len(aucs)
     std = (sum((a - mean) ** 2 for a in aucs) / len(aucs)) ** 0.5
     return spark.createDataFrame([(float(mean), float(std), len(aucs))], "auc_mean double, auc_std double, n_shadow int")
 
 
+def _counted_aucs(data: DataFrame, cols: list[str], weights: list[float], rows: int, learnt: list[Column], trees: int,
+                  depth: int, seed: int) -> list[float] | None:
+    """The forests from counts of cells; None if a forest has too many cells."""
+    parts = sum((F.when(u, F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, u in enumerate(learnt)), F.lit(0).cast("long"))
+    data = data.repartition(_tasks(rows), "label", *cols).select(
+        "label", parts.alias("parts"), *[F.col(c).cast("double").alias(c) for c in cols]).cache()
+    try:
+        splits = forest.bounds(data, cols, weights, len(learnt))
+        if max(forest.cells(s) for s in splits) > forest.MOST_CELLS:
+            return None
+        out = []
+        for i, (held, known) in enumerate(forest.counts(data, cols, splits)):
+            score = forest.votes(known, [len(s) + 1 for s in splits[i]], weights, trees, depth, seed + i)
+            out.append(forest.auc(score, held))
+        return out
+    finally:
+        data.unpersist()
+
+
+def _forest_aucs(data: DataFrame, cols: list[str], weights: list[float], rows: int, learnt: list[Column], trees: int,
+                 depth: int, seed: int) -> list[float]:
+    """The forests by Spark's own learner."""
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+    from pyspark.ml.feature import VectorAssembler
+    data = VectorAssembler(inputCols=cols, outputCol="features").transform(data)
+    wcol = F.when(F.col("label") == 1.0, F.lit(weights[1])).otherwise(F.lit(weights[0]))
+    data = _spread(data.withColumn("w", wcol), rows, ["label", *cols]).cache()
+    aucs = []
+    for i, u in enumerate(learnt):
+        rf = RandomForestClassifier(numTrees=trees, maxDepth=depth, weightCol="w", seed=seed + i)
+        model = rf.fit(data.filter(u))
+        aucs.append(BinaryClassificationEvaluator(metricName="areaUnderROC").evaluate(model.transform(data.filter(~u))))
+    data.unpersist()
+    return aucs
+
+
 def risk_band(auc: Column, rare: Column, unique: Column) -> Column:
     """AUC <= .55 and rare < .2 -> low; AUC <= .65 or unique < .3 ->
     medium; else high."""
