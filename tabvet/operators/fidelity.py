@@ -381,11 +381,11 @@ def gmm_coverage(real: DataFrame, synth: DataFrame, cols: list[str], k_range=(2,
     both sides."""
     use = mixtures.varied(real, cols, min_unique) or cols
     fr, fs = (df.select(*[F.col(c).cast("double").alias(c) for c in use]).dropna() for df in (real, synth))
-    n = fr.count()
+    n, distinct = fr.agg(F.count(F.lit(1)), F.approx_count_distinct(F.struct(*use))).first()
     d = len(use)
     sizes = list(range(k_range[0], k_range[1] + 1))
     begun = mixtures.starts(fr, sizes, seed, n)
-    pts = mixtures.packed(mixtures.points(fr, use, n), use, n).cache()
+    pts = mixtures.packed(mixtures.points(fr, use, n), use, distinct).cache()
     best = None
     for k, m in zip(sizes, mixtures.fit(pts, use, begun)):
         params = k * (d + d * (d + 1) / 2) + (k - 1)

@@ -47,20 +47,15 @@ class Mixture:
 
 
 def varied(df: DataFrame, cols: list[str], least: int) -> list[str]:
-    """The columns with more than ``least`` distinct values; a task stops
-    comparing a column's values once it has seen that many."""
-    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = [set() for _ in cols]
-        for batch in batches:
-            for values, column in zip(found, batch.columns):
-                if len(values) <= least:  # +0 and -0, and any NaN, are one value
-                    some = column.drop_null().unique()[:least + 3].to_pylist()
-                    values.update(repr(0.0 if v == 0 else v) for v in some)
-        for i, values in enumerate(found):
-            yield pa.RecordBatch.from_arrays([pa.array([i] * len(values), pa.int32()), pa.array(sorted(values), pa.string())],
-                                             names=["i", "v"])
-    values = {(r["i"], r["v"]) for r in df.select(*cols).mapInArrow(seen, "i int, v string").distinct().collect()}
-    return [c for i, c in enumerate(cols) if sum(j == i for j, _ in values) > least]
+    """The columns with more than ``least`` distinct values.  A sketch of few
+    values has as many registers, so one that tells of far more is certain and
+    only the other columns are counted exactly."""
+    def count(by, some):
+        return dict(zip(some, df.agg(*[by(c) for c in some]).first())) if some else {}
+    about = count(F.approx_count_distinct, cols if least <= 20 else [])
+    sure = [c for c in about if about[c] > 100]
+    exact = count(F.count_distinct, [c for c in cols if c not in sure])
+    return [c for c in cols if c in sure or exact[c] > least]
 
 
 def points(features: DataFrame, cols: list[str], rows: int) -> DataFrame:
@@ -68,11 +63,12 @@ def points(features: DataFrame, cols: list[str], rows: int) -> DataFrame:
     return features.groupBy(*cols).agg(F.count(F.lit(1)).alias("n"))
 
 
-def packed(pts: DataFrame, cols: list[str], rows: int) -> DataFrame:
-    """``pts`` as one binary value for some 10,000 points (coordinates, then
-    counts), spread over the cores, so a round reads them without unpacking rows."""
+def packed(pts: DataFrame, cols: list[str], distinct: int) -> DataFrame:
+    """``pts``, ``distinct`` or so, as one binary value for some 10,000 points
+    (coordinates, then counts), spread over the cores, so a round reads them
+    without unpacking rows."""
     spark = pts.sparkSession
-    tasks = max(spark.sparkContext.defaultParallelism, -(-rows // TASK_POINTS))
+    tasks = max(spark.sparkContext.defaultParallelism, -(-distinct // TASK_POINTS))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x, n in _chunks(batches, cols, 10_000):
