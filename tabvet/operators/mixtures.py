@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 EPSILON = 2.0 ** -52
+#: Error of an exponent that rounding may make.
+ROUNDED = 1e-11
 #: Distinct points a task has, where there are more than cores.
 TASK_POINTS = 500_000
 #: Rows that Spark's GaussianMixture starts a component from.
@@ -107,28 +109,43 @@ def _drawn(rows: DataFrame, rdd, size: int, n: int, seed: int) -> list:
 
 def _densities(mixtures: list[Mixture]):
     """Weighted densities of points (d x points) under all components, a row
-    for each; they are overwritten by the next call."""
+    for each; they are overwritten by the next call.  The exponents are one
+    product of the coordinates' monomials wherever rounding keeps that within
+    ``ROUNDED``, else sums of squares."""
     weights = np.concatenate([m.weights for m in mixtures])
     means = np.concatenate([m.means for m in mixtures])
     roots, logs = (np.concatenate(x) for x in zip(*(m.whitening() for m in mixtures)))
     k, d = means.shape
-    roots = roots.transpose(2, 0, 1) * np.sqrt(0.5)
-    flat = np.concatenate([roots, -np.einsum("kd,ekd->ek", means, roots)[:, :, None]], 2).reshape(d * k, d + 1)
+    left, right = np.triu_indices(d)
     with np.errstate(divide="ignore"):
         logs = (logs + np.log(weights))[:, None]
-    kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    squares = roots.transpose(2, 0, 1) * np.sqrt(0.5)
+    squares = np.concatenate([squares, -np.einsum("kd,ekd->ek", means, squares)[:, :, None]], 2).reshape(d * k, d + 1)
+    middle, scale = means.mean(0), np.sqrt(np.mean([np.diag(c) for m in mixtures for c in m.covs], 0))
+    scale = np.where(scale > 0, scale, 1.0)[:, None]
+    at, inverse = (means - middle) / scale[:, 0], roots * scale * np.sqrt(0.5)
+    inverse = inverse @ inverse.transpose(0, 2, 1)
+    product = np.concatenate([logs - np.einsum("ki,kij,kj->k", at, inverse, at)[:, None], 2 * np.einsum("kij,kj->ki", inverse, at),
+                              -inverse[:, left, right] * np.where(left == right, 1, 2)], 1)
+    most = np.abs(product)
+    kept: dict[int, np.ndarray] = {}
 
     def of(x: np.ndarray) -> np.ndarray:
         size = x.shape[1]
         if size not in kept:
             kept.clear()
-            kept[size] = np.empty((d * k, size)), np.empty((k, size))
-        y, p = kept[size]
-        np.matmul(flat, np.vstack([x, np.ones(size)]), out=y)
-        y *= y
-        np.subtract(logs, y[:k], out=p)
-        for i in range(1, d):
-            p -= y[i * k:(i + 1) * k]
+            kept[size] = np.empty((k, size))
+        p = kept[size]
+        z = (x - middle[:, None]) / scale
+        z = np.vstack([np.ones(size), z, z[left] * z[right]])
+        if (most @ np.abs(z).max(1)).max() * EPSILON <= ROUNDED:
+            np.matmul(product, z, out=p)
+        else:
+            y = squares @ np.vstack([x, np.ones(size)])
+            y *= y
+            np.subtract(logs, y[:k], out=p)
+            for i in range(1, d):
+                p -= y[i * k:(i + 1) * k]
         np.maximum(p, -600.0, out=p)  # far below EPSILON's last digit, and faster than numbers that vanish
         np.exp(p, out=p)
         p += EPSILON
@@ -136,7 +153,7 @@ def _densities(mixtures: list[Mixture]):
     return of
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], cols: list[str], rows: int = 512):
+def _chunks(batches: Iterator[pa.RecordBatch], cols: list[str], rows: int = 1024):
     """(points, d x rows at most; counts) of batches of points, packed or not."""
     for batch in batches:
         if batch.schema.names == ["points"]:

@@ -54,3 +54,21 @@ def test_columns_with_more_values_than_asked(spark):
     assert M.varied(df, ["a", "b", "c"], 1) == ["a", "b"]
     assert M.varied(df, ["a", "b", "c"], 2) == ["b"]
     assert M.varied(df, ["a", "b", "c"], 4) == ["b"] and M.varied(df, ["a", "b", "c"], 5) == []
+
+
+def test_densities_near_and_far_of_wide_and_narrow_components(monkeypatch):
+    covs = np.array([[[4.0, 1.0], [1.0, 9e6]], [[1e-12, 0.0], [0.0, 25.0]], [[2.0, 0.0], [0.0, 0.0]]])
+    m = M.Mixture(np.array([0.5, 0.3, 0.2]), np.array([[10.0, 5e4], [3.0, 7e4], [20.0, 6e4]]), covs)
+    x = np.random.default_rng(1).normal([[10.0], [5e4]], [[3.0], [9e3]], (2, 300))
+    x[:, :20] = m.means[1][:, None] + np.linspace(-2, 2, 20) * [[1e-6], [5.0]]
+    want = np.empty((3, 300))
+    for i, c in enumerate(covs):
+        values, vectors = np.linalg.eigh(c)
+        used = values > 0
+        q = (((x - m.means[i][:, None]).T @ vectors[:, used]) ** 2 / values[used]).sum(1)
+        want[i] = m.weights[i] * np.exp(-0.5 * q) / (2 * np.pi * np.sqrt(values[used].prod())) + M.EPSILON
+    assert np.allclose(M._densities([m])(x), want, rtol=1e-6)
+    wide = M.Mixture(m.weights[:1], m.means[:1], covs[:1])
+    quick = M._densities([wide])(x).copy()
+    monkeypatch.setattr(M, "ROUNDED", 0.0)
+    assert np.allclose(quick, M._densities([wide])(x), rtol=1e-10)
