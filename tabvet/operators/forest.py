@@ -129,7 +129,7 @@ def votes(learnt: np.ndarray, shape: list[int], weights: list[float], trees: int
 
 
 def _gini(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    n = np.maximum(a + b, np.finfo(float).tiny)
+    n = np.where(a + b > 0, a + b, 1.0)
     return np.where(a + b > 0, 1.0 - (a / n) ** 2 - (b / n) ** 2, 0.0)
 
 
